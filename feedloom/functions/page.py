@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import fixed
 from feedloom.functions.regex import WS, java
 from feedloom.functions.text import clean_noise, strip, truncate
+from feedloom.functions.urls import contains_any
 
 Predicate = Callable[[Column], Column]
 
@@ -237,9 +238,9 @@ def article_text_v1() -> Column:
     return F.coalesce(inner(first(_is_main)), strip("bare_text"))
 
 
-def related_text() -> Column:
-    """Displayed text of the content element, cleaned, for use as a related story."""
-    return clean_noise(F.coalesce(inner(first(_is_main)), F.lit(fixed.NO_CONTENT)))
+def related_text_raw() -> Column:
+    """Displayed text of the content element, for use as a related story."""
+    return F.coalesce(inner(first(_is_main)), F.lit(fixed.NO_CONTENT))
 
 
 def paragraphs_text() -> Column:
@@ -254,11 +255,6 @@ def paragraphs_text() -> Column:
     return F.array_join(F.filter(texts, lambda t: F.length(t) > 30), "\n\n")
 
 
-def source_text() -> Column:
-    """Start of the paragraphs, cleaned, for use as an external source; '' if there are none."""
-    return clean_noise(truncate(paragraphs_text(), fixed.EXTERNAL_TEXT_CHARS))
-
-
 # --- links --------------------------------------------------------------------------------
 def page_links() -> Column:
     """All links of the page: array of (pos, title, href, url) in document order."""
@@ -276,13 +272,6 @@ def _card(stamp: Callable[[Column], Column]) -> Callable[[Column, Column], Colum
     )
 
 
-def _contains_any(column: Column, texts: tuple[str, ...]) -> Column:
-    found = F.lit(False)
-    for text in texts:
-        found = found | column.contains(text)
-    return found
-
-
 def feed_cards(story_paths: tuple[str, ...]) -> Column:
     """Story cards of a feed page: array of (pos, href, timestamp) in document order."""
     truncated = both(tag("span"), has_class("truncate"))
@@ -293,7 +282,7 @@ def feed_cards(story_paths: tuple[str, ...]) -> Column:
         ))
 
     return F.transform(
-        select(lambda e: (e.tag == "a") & _contains_any(e.href, story_paths)), _card(stamp)
+        select(lambda e: (e.tag == "a") & contains_any(e.href, story_paths)), _card(stamp)
     )
 
 
@@ -311,8 +300,8 @@ def feed_cards_v1(story_paths: tuple[str, ...]) -> Column:
         ))
 
     def card(e: Column) -> Column:
-        wanted = _contains_any(e.href, story_paths) | has_class("group/card")(e)
-        return (e.tag == "a") & wanted & (e.href != "") & ~_contains_any(e.href, ("auth", "library"))
+        wanted = contains_any(e.href, story_paths) | has_class("group/card")(e)
+        return (e.tag == "a") & wanted & (e.href != "") & ~contains_any(e.href, ("auth", "library"))
 
     return F.transform(select(card), _card(stamp))
 
@@ -322,7 +311,7 @@ def is_challenge_page(html: Column | str) -> Column:
     """Bot-challenge page, told from its HTML without parsing it."""
     html = F.col(html) if isinstance(html, str) else html
     title = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return title.contains(fixed.CHALLENGE_TITLE) | _contains_any(html, fixed.CHALLENGE_MARKS)
+    return title.contains(fixed.CHALLENGE_TITLE) | contains_any(html, fixed.CHALLENGE_MARKS)
 
 
 def is_logged_out() -> Column:
@@ -330,7 +319,7 @@ def is_logged_out() -> Column:
     return F.exists(
         _elements(),
         lambda e: (e.tag == "button")
-        & _contains_any(
+        & contains_any(
             F.lower(F.regexp_replace(inner(e), r"(?U)\s+", " ")),
             tuple(text.lower() for text in fixed.LOGIN_BUTTONS),
         ),

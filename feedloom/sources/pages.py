@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import page
+from feedloom.functions.fixed import EXTERNAL_TEXT_CHARS
+from feedloom.functions.text import clean_noise, truncate
 from feedloom.profile import SiteProfile
 from feedloom.sources.dom import parse_pages
 
@@ -29,16 +31,33 @@ def page_facts(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """One row per page with everything the harvest needs, parsed once.
 
     Stage the result (``operators.staging.stage``) when several joins read it: each then
-    scans only its own columns of the staged table and no page is parsed twice.
+    scans only its own columns of the staged table and no page is parsed twice. Texts are
+    cleaned here, once per page, because many stories may link to the same page;
+    ``source_content`` is NULL for a page without paragraphs.
     """
-    return parse_pages(pages).select(
-        "url",
-        page.article_title(profile.site_name).alias("title"),
-        page.page_date_text().alias("date_text"),
-        page.article_text().alias("content"),
-        page.related_text().alias("related_content"),
-        page.source_text().alias("source_content"),
-        page.page_links().alias("links"),
+    paragraphs = F.col("paragraphs")
+    return (
+        parse_pages(pages)
+        .select(
+            "url",
+            page.article_title(profile.site_name).alias("title"),
+            page.page_date_text().alias("date_text"),
+            page.article_text_raw().alias("content"),
+            page.related_text_raw().alias("related_content"),
+            page.paragraphs_text().alias("paragraphs"),
+            page.page_links().alias("links"),
+        )
+        .select(
+            "url",
+            "title",
+            "date_text",
+            clean_noise("content").alias("content"),
+            clean_noise("related_content").alias("related_content"),
+            F.when(
+                paragraphs != "", clean_noise(truncate(paragraphs, EXTERNAL_TEXT_CHARS))
+            ).alias("source_content"),
+            "links",
+        )
     )
 
 
