@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
 from feedloom.functions.dates import AsOf
 from feedloom.functions.render import render_markdown
+from feedloom.operators.staging import stage
 from feedloom.plans.harvest import Recency, harvest
 from feedloom.profile import SiteProfile
 from feedloom.sources.store import (
@@ -17,7 +19,29 @@ from feedloom.sources.store import (
     write_articles_json,
     write_digest_markdown,
 )
-from feedloom.operators.staging import stage
+
+
+def run_since_last(
+    spark: SparkSession,
+    state: str,
+    run_start: datetime,
+    build: Callable[[Recency], DataFrame],
+    save: Callable[[DataFrame], None],
+    as_of: AsOf | None = None,
+) -> DataFrame:
+    """Build and save what is newer than the last run, then record this run's start.
+
+    The result is staged, so that deciding whether there is anything to save and saving it
+    do not compute it twice. The mark is written last and only if something was saved: a run
+    that fails is simply repeated.
+    """
+    now = run_start if as_of is None else as_of
+    cut = Recency(now, "since_last", last_run_time(spark, state, now))
+    found = stage(build(cut), "since-last")
+    if not found.isEmpty():
+        save(found)
+        save_last_run(spark, run_start, state)
+    return found
 
 
 def incremental_harvest(
@@ -32,21 +56,19 @@ def incremental_harvest(
     as_of: AsOf | None = None,
     skip_stored: bool = False,
 ) -> DataFrame:
-    """Harvest what is newer than the last run and append it to the store.
+    """Harvest what is newer than the last run and append it to the store and the digest.
 
     The cut-off reaches five minutes behind the mark, so an article may be stored twice;
-    ``skip_stored`` leaves out what the store holds. The mark is the start of the run and is
-    written last, and only if an article was stored: a run that fails is simply repeated.
+    ``skip_stored`` leaves out what the store holds.
     """
-    now = run_start if as_of is None else as_of
-    cut = Recency(now, "since_last", last_run_time(spark, state, now))
-    known = read_articles(spark, store) if skip_stored else None
-    found = harvest(items, pages, profile, cut, dedup_against=known).articles
-    articles = stage(found, "articles")
-    if articles.isEmpty():
-        return articles
-    write_articles_json(articles, store)
-    if digest is not None:
-        write_digest_markdown(articles, render_markdown(profile.site_name), digest)
-    save_last_run(spark, run_start, state)
-    return articles
+
+    def build(cut: Recency) -> DataFrame:
+        known = read_articles(spark, store) if skip_stored else None
+        return harvest(items, pages, profile, cut, dedup_against=known).articles
+
+    def save(articles: DataFrame) -> None:
+        if digest is not None:
+            write_digest_markdown(articles, render_markdown(profile.site_name), digest)
+        write_articles_json(articles, store)
+
+    return run_since_last(spark, state, run_start, build, save, as_of)
