@@ -1,7 +1,8 @@
 """What is read from a parsed page: titles, dates, texts, links.
 
-All functions build Spark expressions over the columns of ``schema.DOM``; an element is a
-lambda variable over ``elements``.
+Every function returns a Spark expression over the columns of ``schema.DOM``. The pieces are
+SQL texts, because selecting elements is all lambdas over the ``elements`` array and SQL states
+those briefly; in them ``e`` (or another short name) is one element.
 """
 
 from __future__ import annotations
@@ -12,162 +13,149 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions import fixed
-from feedloom.functions.regex import WS, java
-from feedloom.functions.text import clean_noise, strip, truncate
+from feedloom.functions.regex import java, literal, strip_sql
+from feedloom.functions.text import clean_noise
 from feedloom.functions.urls import contains_any
 
-Predicate = Callable[[Column], Column]
+Predicate = Callable[[str], str]
 
-_IGNORE_CASE = "(?idU)"
 
+# --- selecting elements -------------------------------------------------------------------
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _elements() -> Column:
-    return F.col("elements")
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, with ``value`` evaluated once however often it is used."""
-    return F.get(F.transform(F.array(value), body), 0)
 
+def _tag(*names: str) -> Predicate:
+    return lambda e: f"{e}.tag IN ({', '.join(map(_quoted, names))})"
 
-def inner(element: Column) -> Column:
-    """Displayed text of an element."""
-    return let(
-        element,
-        lambda e: strip(F.substring(F.col("inner_text"), e.t0 + 1, e.t1 - e.t0)),
+
+def _has_class(*tokens: str) -> Predicate:
+    # The plain substring test first: it is cheap and settles most elements.
+    return lambda e: " AND ".join(
+        f"contains({e}.cls, {_quoted(t)}) AND rlike({e}.cls, r'(?:^|\\s)\\Q{t}\\E(?:\\s|$)')"
+        for t in tokens
     )
 
 
-def _parent_text(element: Column) -> Column:
-    return F.substring(F.col("inner_text"), element.p0 + 1, element.p1 - element.p0)
+def _class_contains(*texts: str) -> Predicate:
+    return lambda e: "(" + " OR ".join(f"contains({e}.cls, {_quoted(t)})" for t in texts) + ")"
 
 
-def tag(*names: str) -> Predicate:
-    return lambda e: e.tag.isin(*names)
+def _all(*tests: Predicate) -> Predicate:
+    return lambda e: " AND ".join(f"({test(e)})" for test in tests)
 
 
-def has_class(*tokens: str) -> Predicate:
-    # The plain substring test first: it is cheap and settles most elements.
-    def test(e: Column) -> Column:
-        found = e.cls.isNotNull()
-        for token in tokens:
-            found = found & e.cls.contains(token) & e.cls.rlike(rf"(?:^|\s)\Q{token}\E(?:\s|$)")
-        return found
+def _inside(area: str) -> Predicate:
+    return lambda e: f"{e}.idx > {area}.idx AND {e}.idx <= {area}.last"
 
-    return test
 
+def _select(test: Predicate) -> str:
+    """Matching elements in document order."""
+    return f"filter(elements, e -> {test('e')})"
 
-def class_contains(*texts: str) -> Predicate:
-    def test(e: Column) -> Column:
-        found = F.lit(False)
-        for text in texts:
-            found = found | e.cls.contains(text)
-        return found
-
-    return test
 
+def _first(test: Predicate) -> str:
+    return f"get({_select(test)}, 0)"
 
-def both(*tests: Predicate) -> Predicate:
-    def test(e: Column) -> Column:
-        found = tests[0](e)
-        for other in tests[1:]:
-            found = found & other(e)
-        return found
 
-    return test
+def _within_any(area: Predicate, wanted: Predicate) -> str:
+    """Elements that pass ``wanted`` and have an ancestor that passes ``area``."""
+    return _let(
+        f"filter(elements, a -> {area('a')})",
+        "areas",
+        _select(_all(wanted, lambda e: f"exists(areas, a -> {_inside('a')(e)})")),
+    )
 
 
-def select(test: Predicate, source: Column | None = None) -> Column:
-    """Matching elements in document order."""
-    return F.filter(_elements() if source is None else source, test)
+def _span(text: str, start: str, end: str) -> str:
+    return f"substring({text}, {start} + 1, {end} - {start})"
 
 
-def first(test: Predicate, source: Column | None = None) -> Column:
-    return F.get(select(test, source), 0)
+def _text(e: str) -> str:
+    """Displayed text of the element named ``e``."""
+    return strip_sql(_span("inner_text", f"{e}.t0", f"{e}.t1"))
 
 
-def inside(element: Column, ancestor: Column) -> Column:
-    return (element.idx > ancestor.idx) & (element.idx <= ancestor.last)
+def _text_of(element: str) -> str:
+    """Displayed text of an element given by an expression."""
+    return _let(element, "one", _text("one"))
 
 
-def within_any(test: Predicate, wanted: Predicate) -> Column:
-    """Elements that pass ``wanted`` and have an ancestor that passes ``test``."""
-    return let(
-        select(test),
-        lambda ancestors: select(
-            both(wanted, lambda e: F.exists(ancestors, lambda a: inside(e, a)))
-        ),
-    )
+def _matches(text: str, pattern: str) -> str:
+    return f"rlike({text}, {literal(java(pattern))})"
 
 
-def _is_main(e: Column) -> Column:
-    return has_class("prose")(e) | (e.dir == "auto") | e.tag.isin("article", "main")
+_is_main: Predicate = lambda e: (
+    f"({_has_class('prose')(e)}) OR {e}.dir = 'auto' OR {_tag('article', 'main')(e)}"
+)
 
 
 # --- titles -------------------------------------------------------------------------------
-def _document_title(site_name: str, everywhere: bool) -> Column:
-    title = F.trim(F.regexp_replace(F.coalesce("doc_title", F.lit("")), r"[ \t\n\f\r]+", " "))
-    title = F.replace(title, F.lit(f" - {site_name}"), F.lit(""))
+def _document_title(site_name: str, everywhere: bool) -> str:
+    title = r"trim(regexp_replace(coalesce(doc_title, ''), r'[ \t\n\f\r]+', ' '))"
+    title = f"replace({title}, {_quoted(' - ' + site_name)}, '')"
     if everywhere:
-        title = F.replace(title, F.lit(site_name), F.lit(""))
-    return strip(title)
+        title = f"replace({title}, {_quoted(site_name)}, '')"
+    return strip_sql(title)
 
 
 def article_title(site_name: str) -> Column:
     """First headline with more than five characters, else the page title without the site."""
-    h1 = tag("h1")
+    h1 = _tag("h1")
     headlines = (
-        select(h1),
-        select(both(h1, has_class("prose-h1"))),
-        select(lambda e: (e.tag == "div") & (e.testid == "article-title")),
-        within_any(class_contains("title"), h1),
-        within_any(has_class("prose"), h1),
-    )
-    return F.coalesce(
-        *[
-            let(inner(F.get(found, 0)), lambda text: F.when(F.length(text) > 5, text))
-            for found in headlines
-        ],
-        F.nullif(_document_title(site_name, everywhere=True), F.lit("")),
-        F.lit(fixed.UNTITLED),
+        _select(h1),
+        _select(_all(h1, _has_class("prose-h1"))),
+        _select(lambda e: f"{e}.tag = 'div' AND {e}.testid = 'article-title'"),
+        _within_any(_class_contains("title"), h1),
+        _within_any(_has_class("prose"), h1),
     )
+    long_enough = [
+        _let(_text_of(f"get({found}, 0)"), "t", "CASE WHEN length(t) > 5 THEN t END")
+        for found in headlines
+    ]
+    fallback = f"nullif({_document_title(site_name, everywhere=True)}, '')"
+    return F.expr(f"coalesce({', '.join(long_enough)}, {fallback}, {_quoted(fixed.UNTITLED)})")
 
 
 def article_title_v1(site_name: str) -> Column:
     """First ``h1`` if it has text, else the page title without the site suffix."""
-    return F.coalesce(
-        F.nullif(inner(first(tag("h1"))), F.lit("")),
-        F.when(F.col("doc_title") != "", _document_title(site_name, everywhere=False)),
-        F.lit(fixed.UNTITLED_V1),
-    )
+    headline = f"nullif({_text_of(_first(_tag('h1')))}, '')"
+    title = f"CASE WHEN doc_title <> '' THEN {_document_title(site_name, everywhere=False)} END"
+    return F.expr(f"coalesce({headline}, {title}, {_quoted(fixed.UNTITLED_V1)})")
 
 
 # --- dates --------------------------------------------------------------------------------
 def page_date_text() -> Column:
     """Text that dates the page: first date-like element, else a pattern in the page text."""
 
-    def dated(e: Column) -> Column:
-        return inner(e).rlike(_IGNORE_CASE + fixed.DATE_ELEMENT.replace(r"\s", WS)) & ~_parent_text(e).rlike("[$%]")
+    def dated(e: str) -> str:
+        quotes = f"rlike({_span('inner_text', e + '.p0', e + '.p1')}, '[$%]')"
+        return f"{_matches(_text(e), fixed.DATE_ELEMENT)} AND NOT {quotes}"
 
-    flex_row = both(tag("div"), has_class("flex", "items-center", "gap-x-2"))
+    flex_row = _all(_tag("div"), _has_class("flex", "items-center", "gap-x-2"))
     candidates = (
-        select(both(tag("time"), dated)),
-        select(both(tag("span"), has_class("truncate"), dated)),
-        select(both(class_contains("date"), dated)),
-        select(both(class_contains("published"), dated)),
-        within_any(flex_row, both(tag("span"), dated)),
+        _select(_all(_tag("time"), dated)),
+        _select(_all(_tag("span"), _has_class("truncate"), dated)),
+        _select(_all(_class_contains("date"), dated)),
+        _select(_all(_class_contains("published"), dated)),
+        _within_any(flex_row, _all(_tag("span"), dated)),
     )
-
-    def search(start: Column) -> Column:
-        hits = [F.regexp_extract(start, java(p), 0) for p in fixed.DATE_IN_TEXT]
-        found = F.coalesce(*[let(hit, lambda h: F.when(h != "", h)) for hit in hits])
-        return F.when(start.rlike(r"\p{Nd}"), found)  # every pattern needs a digit
-
-    return F.coalesce(
-        *[inner(F.get(found, 0)) for found in candidates],
-        let(truncate("inner_text", fixed.DATE_SEARCH_CHARS), search),
-        F.lit(fixed.UNKNOWN_LABEL),
+    elements = [_text_of(f"get({found}, 0)") for found in candidates]
+    hits = ", ".join(
+        _let(f"regexp_extract(start, {literal(java(p))}, 0)", "hit", "CASE WHEN hit <> '' THEN hit END")
+        for p in fixed.DATE_IN_TEXT
     )
+    in_text = _let(
+        f"substring(inner_text, 1, {fixed.DATE_SEARCH_CHARS})",
+        "start",
+        rf"CASE WHEN rlike(start, r'\p{{Nd}}') THEN coalesce({hits}) END",  # all need a digit
+    )
+    return F.expr(f"coalesce({', '.join(elements)}, {in_text}, '{fixed.UNKNOWN_LABEL}')")
 
 
 def page_date_text_v1() -> Column:
@@ -175,57 +163,46 @@ def page_date_text_v1() -> Column:
 
     The first generation failed on pages with a ``time`` element; here its text is used.
     """
-    in_meta = let(
-        first(class_contains("meta", "header", "title")),
-        lambda e: F.get(F.filter("strings", lambda s: s.idx.between(e.idx, e.last)), 0),
-    )
-    short = F.get(
-        F.filter("strings", lambda s: F.length(strip(s.text)).between(3, 29)), 0
+    in_meta = _let(
+        _first(_class_contains("meta", "header", "title")),
+        "m",
+        "get(filter(strings, s -> s.idx BETWEEN m.idx AND m.last), 0)",
     )
-    return F.coalesce(
-        inner(first(tag("time"))),
-        strip(in_meta.text),
-        strip(short.text),
-        F.lit(fixed.UNKNOWN_LABEL),
+    short = f"get(filter(strings, s -> length({strip_sql('s.text')}) BETWEEN 3 AND 29), 0)"
+    texts = ", ".join(strip_sql(f"{found}.text") for found in (in_meta, short))
+    return F.expr(
+        f"coalesce({_text_of(_first(_tag('time')))}, {texts}, '{fixed.UNKNOWN_LABEL}')"
     )
 
 
-def _timed(text: Column) -> Column:
-    return text.rlike(_IGNORE_CASE + fixed.FEED_TIME.replace(r"\s", WS))
-
-
 def visible_timestamp() -> Column:
     """Text of the last ``span``, ``time`` or ``div`` that mentions a time; NULL if none."""
-    found = select(lambda e: e.tag.isin("span", "time", "div") & _timed(inner(e)))
-    return inner(F.try_element_at(found, F.lit(-1)))
+    timed = lambda e: _matches(_text(e), fixed.FEED_TIME)
+    found = _select(_all(_tag("span", "time", "div"), timed))
+    return F.expr(_text_of(f"try_element_at({found}, -1)"))
 
 
 def visible_timestamp_v1() -> Column:
     """The same within the scrolling container and only for texts under 35 characters."""
-    container = F.coalesce(first(lambda e: e.scrollable), first(tag("main")))
-
-    def short_and_timed(text: Column) -> Column:
-        return F.length(text).between(1, 34) & _timed(text)
-
-    def passes(area: Column) -> Predicate:
-        return lambda e: (
-            e.tag.isin("span", "div", "p", "time", "small")
-            & (area.isNull() | inside(e, area))
-            & let(inner(e), short_and_timed)
+    short_and_timed = f"length(t) BETWEEN 1 AND 34 AND {_matches('t', fixed.FEED_TIME)}"
+    found = _select(
+        _all(
+            _tag("span", "div", "p", "time", "small"),
+            lambda e: f"area IS NULL OR {_inside('area')(e)}",
+            lambda e: _let(_text(e), "t", short_and_timed),
         )
-
-    return inner(F.try_element_at(let(container, lambda area: select(passes(area))), F.lit(-1)))
+    )
+    area = f"coalesce({_first(lambda e: f'{e}.scrollable')}, {_first(_tag('main'))})"
+    return F.expr(_text_of(f"try_element_at({_let(area, 'area', found)}, -1)"))
 
 
 # --- texts --------------------------------------------------------------------------------
 def article_text_raw() -> Column:
     """Text of the content element with image names; the page text if there is none."""
-    walked = let(
-        first(_is_main), lambda e: F.substring(F.col("walk_text"), e.w0 + 1, e.w1 - e.w0)
-    )
-    return F.coalesce(
-        F.regexp_replace(walked, java(r"\n\s*\n", ignore_case=False), "\n\n"),
-        strip("inner_text"),
+    walked = _let(_first(_is_main), "m", _span("walk_text", "m.w0", "m.w1"))
+    gap = literal(java(r"\n\s*\n", ignore_case=False))
+    return F.expr(
+        rf"coalesce(regexp_replace({walked}, {gap}, '\n\n'), {strip_sql('inner_text')})"
     )
 
 
@@ -235,75 +212,69 @@ def article_text() -> Column:
 
 def article_text_v1() -> Column:
     """Displayed text of the content element, else the page text without navigation."""
-    return F.coalesce(inner(first(_is_main)), strip("bare_text"))
+    return F.expr(f"coalesce({_text_of(_first(_is_main))}, {strip_sql('bare_text')})")
 
 
 def related_text_raw() -> Column:
     """Displayed text of the content element, for use as a related story."""
-    return F.coalesce(inner(first(_is_main)), F.lit(fixed.NO_CONTENT))
+    return F.expr(f"coalesce({_text_of(_first(_is_main))}, '{fixed.NO_CONTENT}')")
 
 
 def paragraphs_text() -> Column:
     """Paragraphs of the article over 30 characters, joined by blank lines."""
-    paragraphs = let(
-        first(tag("article")),
-        lambda article: select(
-            lambda e: (e.tag == "p") & (article.isNull() | inside(e, article))
-        ),
-    )
-    texts = F.transform(paragraphs, inner)
-    return F.array_join(F.filter(texts, lambda t: F.length(t) > 30), "\n\n")
+    in_article = lambda e: f"article IS NULL OR {_inside('article')(e)}"
+    paragraphs = _let(_first(_tag("article")), "article", _select(_all(_tag("p"), in_article)))
+    texts = f"transform({paragraphs}, p -> {_text('p')})"
+    return F.expr(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
 
 
 # --- links --------------------------------------------------------------------------------
 def page_links() -> Column:
     """All links of the page: array of (pos, title, href, url) in document order."""
-    return F.transform(
-        select(lambda e: (e.tag == "a") & e.href.isNotNull()),
-        lambda a, i: F.struct(
-            i.alias("pos"), inner(a).alias("title"), a.href.alias("href"), a.url.alias("url")
-        ),
-    )
+    anchors = _select(lambda e: f"{e}.tag = 'a' AND {e}.href IS NOT NULL")
+    link = f"named_struct('pos', i, 'title', {_text('a')}, 'href', a.href, 'url', a.url)"
+    return F.expr(f"transform({anchors}, (a, i) -> {link})")
 
 
-def _card(stamp: Callable[[Column], Column]) -> Callable[[Column, Column], Column]:
-    return lambda a, i: F.struct(
-        i.cast("bigint").alias("pos"), a.href.alias("href"), stamp(a).alias("timestamp")
-    )
+def _cards(anchors: str, stamps: tuple[str, ...]) -> Column:
+    """Cards of the anchors; the time is the text of the first element any of ``stamps`` finds."""
+    stamp = _text_of(f"coalesce({', '.join(f'get({found}, 0)' for found in stamps)})")
+    card = f"named_struct('pos', CAST(i AS BIGINT), 'href', a.href, 'timestamp', {stamp})"
+    return F.expr(f"transform({anchors}, (a, i) -> {card})")
 
 
-def feed_cards(story_paths: tuple[str, ...]) -> Column:
-    """Story cards of a feed page: array of (pos, href, timestamp) in document order."""
-    truncated = both(tag("span"), has_class("truncate"))
+def _href_contains(parts: tuple[str, ...]) -> Predicate:
+    return lambda e: "(" + " OR ".join(f"contains({e}.href, {_quoted(p)})" for p in parts) + ")"
+
 
-    def stamp(a: Column) -> Column:
-        return inner(F.coalesce(
-            first(lambda e: inside(e, a) & truncated(e)), first(lambda e: inside(e, a) & (e.tag == "time"))
-        ))
+_truncated = _all(_tag("span"), _has_class("truncate"))
 
-    return F.transform(
-        select(lambda e: (e.tag == "a") & contains_any(e.href, story_paths)), _card(stamp)
+
+def feed_cards(story_paths: tuple[str, ...]) -> Column:
+    """Story cards of a feed page: array of (pos, href, timestamp) in document order."""
+    mine = _inside("a")
+    return _cards(
+        _select(_all(_tag("a"), _href_contains(story_paths))),
+        (_select(_all(_truncated, mine)), _select(_all(_tag("time"), mine))),
     )
 
 
 def feed_cards_v1(story_paths: tuple[str, ...]) -> Column:
     """First-generation cards: also card-class links, and a preferred place for the time."""
-    truncated = both(tag("span"), has_class("truncate"))
-    line = both(tag("div"), has_class("gap-x-xs", "items-center"))
-
-    def stamp(a: Column) -> Column:
-        mine = both(truncated, lambda e: inside(e, a))
-        return inner(F.coalesce(
-            F.get(within_any(line, mine), 0),
-            first(mine),
-            first(lambda e: inside(e, a) & (e.tag == "time")),
-        ))
-
-    def card(e: Column) -> Column:
-        wanted = contains_any(e.href, story_paths) | has_class("group/card")(e)
-        return (e.tag == "a") & wanted & (e.href != "") & ~contains_any(e.href, ("auth", "library"))
-
-    return F.transform(select(card), _card(stamp))
+    mine = _inside("a")
+    line = _all(_tag("div"), _has_class("gap-x-xs", "items-center"))
+    # "a" is the card here, so the time's surroundings need another name.
+    lines = _let(
+        f"filter(elements, d -> {line('d')})",
+        "lines",
+        _select(_all(_truncated, mine, lambda e: f"exists(lines, d -> {_inside('d')(e)})")),
+    )
+    wanted = lambda e: f"{_href_contains(story_paths)(e)} OR ({_has_class('group/card')(e)})"
+    allowed = lambda e: f"{e}.href <> '' AND NOT {_href_contains(('auth', 'library'))(e)}"
+    return _cards(
+        _select(_all(_tag("a"), wanted, allowed)),
+        (lines, _select(_all(_truncated, mine)), _select(_all(_tag("time"), mine))),
+    )
 
 
 # --- flags --------------------------------------------------------------------------------
@@ -316,11 +287,6 @@ def is_challenge_page(html: Column | str) -> Column:
 
 def is_logged_out() -> Column:
     """The page shows a button to sign up or sign in."""
-    return F.exists(
-        _elements(),
-        lambda e: (e.tag == "button")
-        & contains_any(
-            F.lower(F.regexp_replace(inner(e), r"(?U)\s+", " ")),
-            tuple(text.lower() for text in fixed.LOGIN_BUTTONS),
-        ),
-    )
+    label = rf"lower(regexp_replace({_text('e')}, r'(?U)\s+', ' '))"
+    words = " OR ".join(f"contains(t, {_quoted(w.lower())})" for w in fixed.LOGIN_BUTTONS)
+    return F.expr(f"exists(elements, e -> e.tag = 'button' AND {_let(label, 't', words)})")
