@@ -3,135 +3,128 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from feedloom.functions import fixed
-from feedloom.functions.regex import WS, java, literal, strip_sql
+from feedloom.functions.regex import WS, java, let, literal, strip_sql
 
 
-def _group(text: str, pattern: str, group: int) -> str:
-    return f"regexp_extract({text}, {literal(java(pattern))}, {group})"
+def _found(text: str, pattern: str, groups: str, then: str) -> str:
+    """``then`` over ``p``, the bar-joined groups of the first match of ``pattern`` in ``text``.
 
+    NULL without a match. The search runs once; the groups are cut from the short match.
+    """
+    whole = literal(java(f"^(?:{pattern})$"))
+    parts = let(f"regexp_replace(m, {whole}, '{groups}')", "p", then)
+    match = f"regexp_extract({text}, {literal(java(pattern))}, 0)"
+    return let(match, "m", f"CASE WHEN m <> '' THEN {parts} END")
 
-def _int(expr: str) -> str:
-    return f"try_cast({expr} AS INT)"
+
+def _part(index: int) -> str:
+    return f"split_part(p, '|', {index})"
 
 
 _MONTHS = "map(" + ", ".join(f"'{k}', {v}" for k, v in fixed.MONTH_PREFIXES.items()) + ")"
 
 
-def _absolute(match: str, pattern: str, month: int, day: int, year: int) -> str:
-    """Midnight of the matched day; NULL for an unknown month or impossible day."""
-    return (
-        "try_make_timestamp_ntz("
-        f"coalesce(nullif({_int(_group(match, pattern, year))}, 0), "
-        f"CASE WHEN {_group(match, pattern, year)} = '' THEN year(as_of) END), "
-        f"try_element_at({_MONTHS}, substr({_group(match, pattern, month)}, 1, 3)), "
-        f"{_int(_group(match, pattern, day))}, 0, 0, 0)"
-    )
+def _midnight(month: str, day: str, year: str) -> str:
+    """Midnight of the given month, day and year text; NULL if there is no such day.
 
+    No year means that of ``as_of``. Only digits may reach a cast: a failing one is costly.
+    """
+    number = f"CASE WHEN {year} = '' THEN year(as_of) ELSE nullif(try_cast({year} AS INT), 0) END"
+    return f"try_make_timestamp_ntz({number}, {month}, try_cast({day} AS INT), 0, 0, 0)"
 
-_FIRST_INSTANT = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 
+def _before(number: str, unit_minutes: str) -> str:
+    """``as_of`` minus a number of units; NULL when that is before year 1."""
+    minutes = f"try_cast(try_multiply(try_cast({number} AS BIGINT), {unit_minutes}) AS INT)"
+    shifted = f"as_of - make_dt_interval(0, 0, {minutes}, 0)"
+    return let(shifted, "at", "CASE WHEN at >= TIMESTAMP_NTZ '0001-01-01 00:00:00' THEN at END")
 
-def _minutes_before(as_of: str, minutes: str) -> str:
-    """``as_of`` minus a BIGINT of minutes; NULL when that is before year 1."""
-    shifted = f"({as_of} - make_dt_interval(0, 0, {_int(minutes)}, 0))"
-    return f"CASE WHEN {shifted} >= {_FIRST_INSTANT} THEN {shifted} END"
 
+def _rules(text: str) -> str:
+    """The absolute and relative rules over ``text`` and ``as_of``, tried in order."""
+    month = f"try_element_at({_MONTHS}, substr(p, 1, 3))"
+    absolute = _midnight(month, _part(2), _part(3))
+    relative = _before(
+        _part(2), "CAST(CASE substr(p, 1, 1) WHEN 'm' THEN 1 WHEN 'h' THEN 60 ELSE 1440 END AS BIGINT)"
+    )
+    tries = ", ".join((
+        _found("t", fixed.ABSOLUTE_EN, "$1|$2|$3", absolute),
+        _found("t", fixed.ABSOLUTE_ES, "$2|$1|$3", absolute),
+        # The short form counts only where the long one is not found at all.
+        f"CASE WHEN rlike(t, {literal(java(fixed.RELATIVE_AGO))}) THEN "
+        + _found("t", fixed.RELATIVE_AGO, "$2|$1", relative)
+        + " ELSE " + _found("t", fixed.RELATIVE_SHORT, "$2|$1", relative) + " END",
+    ))
+    has_digit = r"rlike(t, r'\p{Nd}')"
+    return let(text, "t", f"CASE WHEN {has_digit} THEN coalesce({tries}) END")
 
-_NUMBER = "regexp_extract(hit, r'^[0-9]+', 0)"
-_UNIT_MINUTES = (
-    f"CASE regexp_extract(hit, {literal(java(r'^[0-9]+\s*(.)'))}, 1) "
-    "WHEN 'm' THEN 1 WHEN 'h' THEN 60 WHEN 'd' THEN 1440 END"
-)
 
+def _blanked(text: str, *words: str) -> str:
+    """Each of ``words`` becomes a blank, one after the other."""
+    return reduce(lambda t, word: f"replace({t}, '{word}', ' ')", words, text)
 
-def _normalizing(expr: str, words: str) -> str:
-    """Each run of white space and of the given noise becomes one blank; ends trimmed."""
-    run = f"(?iU)(?:{words}|{WS}++)++"
-    return f"trim(regexp_replace({expr}, {literal(run)}, ' '))"
 
+# The filler words go wherever they occur. "de" goes before "el": in "del" it comes first.
+_FILLERS = _blanked("n", "publicado", "de", "el")
+_FILLERS_WORD_SAFE = r"regexp_replace(n, r'(?U)\b(?:publicado|el|de)\b', ' ')"
 
-def _v1_month_branch(pattern_tail: str, group: int) -> str:
-    return f"regexp_extract(t, concat('(?U)', mon, r'{pattern_tail}'), {group})"
+_MONTHS_V1 = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
-_MONTHS_V1 = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-_WITH_YEAR_V1 = rf"{WS}+(\d+),?{WS}+(\d{{4}})"
-_NO_YEAR_V1 = rf"{WS}+(\d+)"
+def _absolute_v1() -> str:
+    """Month by substring; then day and year where a comma or four digits occur, else the day."""
+    month = "CASE " + " ".join(f"WHEN contains(t, '{m}') THEN '{m}'" for m in _MONTHS_V1) + " END"
+    month_no = f"array_position(array({', '.join(map(repr, _MONTHS_V1))}), mon)"
 
+    def tried(tail: str, groups: str, year: str) -> str:
+        parts = f"regexp_replace(m, r'(?U)^[a-z]+{tail}$', '{groups}')"
+        found = let(parts, "p", _midnight(f"CAST({month_no} AS INT)", _part(1), year))
+        match = f"regexp_extract(t, concat('(?U)', mon, r'{tail}'), 0)"
+        return let(match, "m", f"CASE WHEN m <> '' THEN {found} END")
 
-def definitions() -> Iterable[tuple[str, str]]:
-    # Shared rules, general form: noise words are matched as given.
-    yield "feed_date_minutes_", (
-        "(hit STRING) RETURNS BIGINT RETURN "
-        f"try_multiply(try_cast({_NUMBER} AS BIGINT), CAST({_UNIT_MINUTES} AS BIGINT))"
-    )
-    yield "feed_date_shift_", (
-        "(minutes BIGINT, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN "
-        + _minutes_before("as_of", "minutes")
-    )
-    yield "feed_date_pick_", (
-        "(en STRING, es STRING, ago STRING, short STRING, as_of TIMESTAMP_NTZ) "
-        "RETURNS TIMESTAMP_NTZ RETURN coalesce("
-        + _absolute("en", fixed.ABSOLUTE_EN, 1, 2, 3) + ", "
-        + _absolute("es", fixed.ABSOLUTE_ES, 2, 1, 3) + ", "
-        + "feed_date_shift_(feed_date_minutes_(CASE WHEN ago <> '' THEN ago ELSE short END), as_of))"
+    with_year = tried(rf"{WS}+(\d+),?{WS}+(\d{{4}})", "$1|$2", _part(2))
+    without = tried(rf"{WS}+(\d+)", "$1", "''")
+    dated = r"contains(t, ',') OR rlike(t, r'\p{Nd}{4}')"
+    return let(
+        month, "mon",
+        f"CASE WHEN mon IS NULL THEN NULL WHEN {dated} THEN {with_year} ELSE {without} END",
     )
-    yield "feed_date_rules_", (
-        "(t STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN feed_date_pick_("
-        + ", ".join(_group("t", p, 0) for p in (
-            fixed.ABSOLUTE_EN, fixed.ABSOLUTE_ES, fixed.RELATIVE_AGO, fixed.RELATIVE_SHORT))
-        + ", as_of)"
-    )
-    for name, noise in (
-        ("feed_date", r"publicado|el|de"),
-        ("feed_date_word_safe", r"\b(?:publicado|el|de)\b"),
-    ):
-        yield name + "_from_", (
-            "(n STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN CASE "
-            "WHEN contains(n, 'yesterday') OR contains(n, 'ayer') THEN as_of - INTERVAL 1 DAY "
-            "WHEN contains(n, 'today') OR contains(n, 'hoy') OR contains(n, 'just now') THEN as_of "
-            f"ELSE feed_date_rules_({_normalizing('n', noise)}, as_of) END"
-        )
-        yield name, (
-            "(raw STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ "
-            "COMMENT 'English or Spanish date text to a UTC timestamp, NULL if unreadable' "
-            f"RETURN {name}_from_({_normalizing('lower(raw)', 'published|:')}, as_of)"
-        )
 
-    # First-generation rules: never NULL.
-    yield "feed_date_v1_relative_", (
-        "(t STRING, minutes BIGINT, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN CASE "
-        "WHEN minutes IS NOT NULL THEN feed_date_shift_(minutes, as_of) "
-        r"WHEN NOT rlike(t, r'(?U)\d') AND (contains(t, 'yesterday') OR contains(t, 'ayer')) "
-        "THEN as_of - INTERVAL 1 DAY END"
-    )
-    unit = " ".join(
-        f"WHEN rlike(t, {literal('(?U)' + chr(92) + 'b(?:' + '|'.join(words) + ')' + chr(92) + 'b')}) THEN {size}"
+
+def _relative_v1() -> str:
+    """First number of the text with the first kind of stand-alone unit word; or yesterday."""
+    units = " ".join(
+        f"WHEN rlike(t, r'(?U)\\b(?:{'|'.join(words)})\\b') THEN {size}"
         for words, size in zip(fixed.UNIT_WORDS_V1, (1, 60, 1440), strict=True)
     )
-    yield "feed_date_v1_from_", (
-        "(t STRING, mon STRING, mon_no INT, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ "
-        "RETURN coalesce("
-        "CASE WHEN mon IS NULL THEN NULL "
-        r"WHEN contains(t, ',') OR rlike(t, r'(?U)\d{4}') THEN "
-        f"try_make_timestamp_ntz(nullif({_int(_v1_month_branch(_WITH_YEAR_V1, 2))}, 0), mon_no, "
-        f"{_int(_v1_month_branch(_WITH_YEAR_V1, 1))}, 0, 0, 0) "
-        f"ELSE try_make_timestamp_ntz(year(as_of), mon_no, {_int(_v1_month_branch(_NO_YEAR_V1, 1))}, 0, 0, 0) END, "
-        r"feed_date_v1_relative_(t, try_multiply(try_cast(regexp_extract(t, r'[0-9]+', 0) AS BIGINT), "
-        f"CAST(CASE {unit} END AS BIGINT)), as_of), as_of)"
+    ago = let(
+        "regexp_extract(t, '[0-9]+', 0)", "number",
+        f"CASE WHEN number <> '' THEN {_before('number', f'CAST(CASE {units} END AS BIGINT)')} END",
     )
-    month = " ".join(f"WHEN contains(t, '{m}') THEN '{m}'" for m in _MONTHS_V1)
-    month_no = " ".join(f"WHEN contains(t, '{m}') THEN {i}" for i, m in enumerate(_MONTHS_V1, 1))
-    yield "feed_date_v1_text_", (
-        "(t STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ RETURN "
-        f"feed_date_v1_from_(t, CASE {month} END, CASE {month_no} END, as_of)"
-    )
-    yield "feed_date_v1", (
-        "(raw STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ "
-        "COMMENT 'First-generation date rules: unreadable text gives as_of' "
-        f"RETURN feed_date_v1_text_({strip_sql('lower(raw)')}, as_of)"
+    yesterday = "contains(t, 'yesterday') OR contains(t, 'ayer')"
+    return f"CASE WHEN rlike(t, r'\\p{{Nd}}') THEN {ago} WHEN {yesterday} THEN as_of - INTERVAL 1 DAY END"
+
+
+def definitions() -> Iterable[tuple[str, str]]:
+    signature = "(raw STRING, as_of TIMESTAMP_NTZ) RETURNS TIMESTAMP_NTZ COMMENT '{}' RETURN {}"
+    # White space is not collapsed: all rules take any run of it, bar this one.
+    just_now = f"contains(n, 'just') AND rlike(n, {literal(f'just{WS}+now')})"
+    for name, fillers in (("feed_date", _FILLERS), ("feed_date_word_safe", _FILLERS_WORD_SAFE)):
+        body = let(
+            _blanked("lower(raw)", "published", ":"), "n",
+            "CASE WHEN contains(n, 'yesterday') OR contains(n, 'ayer') THEN as_of - INTERVAL 1 DAY "
+            f"WHEN contains(n, 'today') OR contains(n, 'hoy') OR ({just_now}) THEN as_of "
+            f"ELSE {_rules(fillers)} END",
+        )
+        yield name, signature.format(
+            "English or Spanish date text to a UTC timestamp, NULL if unreadable", body
+        )
+    body = let(strip_sql("lower(raw)"), "t", f"coalesce({_absolute_v1()}, {_relative_v1()}, as_of)")
+    yield "feed_date_v1", signature.format(
+        "First-generation date rules: unreadable text gives as_of", body
     )
 
     # Recency verdicts.

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions import fixed
-from feedloom.functions.regex import java, literal, strip_sql
+from feedloom.functions.regex import java, let, literal, strip_sql
 from feedloom.functions.text import clean_noise
 from feedloom.functions.urls import contains_any
 
@@ -21,11 +21,6 @@ Predicate = Callable[[str], str]
 
 
 # --- selecting elements -------------------------------------------------------------------
-def _let(value: str, name: str, body: str) -> str:
-    """``body`` with ``name`` standing for ``value``, which is evaluated once."""
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -65,7 +60,7 @@ def _first(test: Predicate) -> str:
 
 def _within_any(area: Predicate, wanted: Predicate) -> str:
     """Elements that pass ``wanted`` and have an ancestor that passes ``area``."""
-    return _let(
+    return let(
         f"filter(elements, a -> {area('a')})",
         "areas",
         _select(_all(wanted, lambda e: f"exists(areas, a -> {_inside('a')(e)})")),
@@ -83,7 +78,7 @@ def _text(e: str) -> str:
 
 def _text_of(element: str) -> str:
     """Displayed text of an element given by an expression."""
-    return _let(element, "one", _text("one"))
+    return let(element, "one", _text("one"))
 
 
 def _matches(text: str, pattern: str) -> str:
@@ -115,7 +110,7 @@ def article_title(site_name: str) -> Column:
         _within_any(_has_class("prose"), h1),
     )
     long_enough = [
-        _let(_text_of(f"get({found}, 0)"), "t", "CASE WHEN length(t) > 5 THEN t END")
+        let(_text_of(f"get({found}, 0)"), "t", "CASE WHEN length(t) > 5 THEN t END")
         for found in headlines
     ]
     fallback = f"nullif({_document_title(site_name, everywhere=True)}, '')"
@@ -147,10 +142,10 @@ def page_date_text() -> Column:
     )
     elements = [_text_of(f"get({found}, 0)") for found in candidates]
     hits = ", ".join(
-        _let(f"regexp_extract(start, {literal(java(p))}, 0)", "hit", "CASE WHEN hit <> '' THEN hit END")
+        let(f"regexp_extract(start, {literal(java(p))}, 0)", "hit", "CASE WHEN hit <> '' THEN hit END")
         for p in fixed.DATE_IN_TEXT
     )
-    in_text = _let(
+    in_text = let(
         f"substring(inner_text, 1, {fixed.DATE_SEARCH_CHARS})",
         "start",
         rf"CASE WHEN rlike(start, r'\p{{Nd}}') THEN coalesce({hits}) END",  # all need a digit
@@ -163,7 +158,7 @@ def page_date_text_v1() -> Column:
 
     The first generation failed on pages with a ``time`` element; here its text is used.
     """
-    in_meta = _let(
+    in_meta = let(
         _first(_class_contains("meta", "header", "title")),
         "m",
         "get(filter(strings, s -> s.idx BETWEEN m.idx AND m.last), 0)",
@@ -189,17 +184,17 @@ def visible_timestamp_v1() -> Column:
         _all(
             _tag("span", "div", "p", "time", "small"),
             lambda e: f"area IS NULL OR {_inside('area')(e)}",
-            lambda e: _let(_text(e), "t", short_and_timed),
+            lambda e: let(_text(e), "t", short_and_timed),
         )
     )
     area = f"coalesce({_first(lambda e: f'{e}.scrollable')}, {_first(_tag('main'))})"
-    return F.expr(_text_of(f"try_element_at({_let(area, 'area', found)}, -1)"))
+    return F.expr(_text_of(f"try_element_at({let(area, 'area', found)}, -1)"))
 
 
 # --- texts --------------------------------------------------------------------------------
 def article_text_raw() -> Column:
     """Text of the content element with image names; the page text if there is none."""
-    walked = _let(_first(_is_main), "m", _span("walk_text", "m.w0", "m.w1"))
+    walked = let(_first(_is_main), "m", _span("walk_text", "m.w0", "m.w1"))
     gap = literal(java(r"\n\s*\n", ignore_case=False))
     return F.expr(
         rf"coalesce(regexp_replace({walked}, {gap}, '\n\n'), {strip_sql('inner_text')})"
@@ -223,7 +218,7 @@ def related_text_raw() -> Column:
 def paragraphs_text() -> Column:
     """Paragraphs of the article over 30 characters, joined by blank lines."""
     in_article = lambda e: f"article IS NULL OR {_inside('article')(e)}"
-    paragraphs = _let(_first(_tag("article")), "article", _select(_all(_tag("p"), in_article)))
+    paragraphs = let(_first(_tag("article")), "article", _select(_all(_tag("p"), in_article)))
     texts = f"transform({paragraphs}, p -> {_text('p')})"
     return F.expr(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
 
@@ -264,7 +259,7 @@ def feed_cards_v1(story_paths: tuple[str, ...]) -> Column:
     mine = _inside("a")
     line = _all(_tag("div"), _has_class("gap-x-xs", "items-center"))
     # "a" is the card here, so the time's surroundings need another name.
-    lines = _let(
+    lines = let(
         f"filter(elements, d -> {line('d')})",
         "lines",
         _select(_all(_truncated, mine, lambda e: f"exists(lines, d -> {_inside('d')(e)})")),
@@ -289,4 +284,4 @@ def is_logged_out() -> Column:
     """The page shows a button to sign up or sign in."""
     label = rf"lower(regexp_replace({_text('e')}, r'(?U)\s+', ' '))"
     words = " OR ".join(f"contains(t, {_quoted(w.lower())})" for w in fixed.LOGIN_BUTTONS)
-    return F.expr(f"exists(elements, e -> e.tag = 'button' AND {_let(label, 't', words)})")
+    return F.expr(f"exists(elements, e -> e.tag = 'button' AND {let(label, 't', words)})")

@@ -32,3 +32,12 @@ def literal(text: str) -> str:
 def strip_sql(expr: str) -> str:
     """SQL that removes Unicode white space at both ends of ``expr``."""
     return f"trim(BOTH {_SPACES_SQL} FROM {expr})"
+
+
+def let(value: str, name: str, body: str) -> str:
+    """SQL ``body`` in which ``name`` stands for ``value``, evaluated once and only if needed.
+
+    It also keeps the code generated for a row small enough to be compiled: what is inside
+    the lambda is evaluated as an expression tree.
+    """
+    return f"get(transform(array({value}), {name} -> {body}), 0)"

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable, Sequence
 
 from feedloom.functions import fixed
-from feedloom.functions.regex import LINE_BREAK, java, literal, strip_sql
+from feedloom.functions.regex import LINE_BREAK, java, let, literal, strip_sql
 
 # Letters that a case-insensitive pattern takes for "s" or "i" though lower() does not.
 _ODD_LETTERS = ("ſ", "ı", "İ")
@@ -24,8 +24,7 @@ def _deleting(patterns: Sequence[str], multiline: bool) -> str:
 
     A pattern runs only on texts that hold its word; most texts hold few of them, and a
     substring test costs a small part of a regex scan. Testing the original text is exact:
-    a deletion never joins two letters into a new word that a later gate asks for. Each step
-    is a one-element ``transform``, which evaluates the text before it once.
+    a deletion never joins two letters into a new word that a later gate asks for.
     """
     text = "x"
     for pattern in patterns:
@@ -33,7 +32,7 @@ def _deleting(patterns: Sequence[str], multiline: bool) -> str:
         word = _gate_word(pattern)
         if word:
             replaced = f"CASE WHEN odd OR contains(low, '{word}') THEN {replaced} ELSE v END"
-        text = f"get(transform(array({text}), v -> {replaced}), 0)"
+        text = let(text, "v", replaced)
     return text
 
 

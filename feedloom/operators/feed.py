@@ -25,14 +25,13 @@ def _fresh_cards(items: DataFrame, verdict: Column) -> DataFrame:
     return judged.filter(undated | F.col("is_recent")).drop("is_recent")
 
 
-def first_per_key(items: DataFrame, keys: list[str], *carried: str) -> DataFrame:
-    """First row by ``pos`` of every key.
+def first_per_key(items: DataFrame, *keys: str) -> DataFrame:
+    """Position of the first row of every key.
 
-    A minimum combines before the shuffle, so a key with very many copies costs one row per
-    task; nothing is sorted and no group is collected.
+    A hash aggregate of a minimum: it combines before the shuffle, so a key with very many
+    copies costs one row per task; nothing is sorted and no group is collected.
     """
-    first = F.min(F.struct("pos", *carried)).alias("first")
-    return items.groupBy(*keys).agg(first).select(*keys, "first.*")
+    return items.groupBy(*keys).agg(F.min("pos").alias("pos"))
 
 
 def feed_links(
@@ -43,13 +42,13 @@ def feed_links(
     last_run: AsOf | None = None,
     custom_hours: int = 24,
     full_run: bool = False,
-    carried: tuple[str, ...] = (),
+    category_columns: tuple[str, ...] = (),
 ) -> DataFrame:
     """Distinct story links per category, at their first fresh position.
 
     ``items`` is (category, pos, href, timestamp). A link counts as seen only when a fresh
     card shows it, so freshness is tested before the first card is picked. ``full_run``
-    keeps cards of any age.
+    keeps cards of any age. ``category_columns`` are further columns of the category to keep.
     """
     stories = items.withColumn("url", absolutize(F.col("href"), profile.base_url)).filter(
         contains_any(F.col("url"), profile.story_paths)
@@ -57,7 +56,7 @@ def feed_links(
     if not full_run:
         verdict = recency("timestamp", as_of, mode, last_run, custom_hours)
         stories = _fresh_cards(stories, verdict)
-    return first_per_key(stories, ["category", "url"], *carried)
+    return first_per_key(stories, "category", *category_columns, "url")
 
 
 def feed_links_v1(
@@ -79,4 +78,4 @@ def feed_links_v1(
     if not full_run:
         mark = full_run_mark(as_of) if last_run is None else last_run
         stories = _fresh_cards(stories, recency_v1("timestamp", as_of, mark))
-    return first_per_key(stories, ["url"]).orderBy("pos").limit(max_articles)
+    return first_per_key(stories, "url").orderBy("pos").limit(max_articles)

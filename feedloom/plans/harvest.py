@@ -51,19 +51,24 @@ def opened_articles(
     """Links whose page could be read and comes before the first stale one of its category.
 
     Only addresses and date texts are read here. A link without a page is kept until the
-    stop is known, so that it neither stops the category nor counts as an article.
+    stop is known, so that it neither stops the category nor counts as an article. The judged
+    links are staged: finding the stops and applying them would otherwise each run the feed
+    and the lookup again.
     """
     dates = facts.select("url", "date_text", F.lit(True).alias("read"))
     dated = links.join(dates, "url", "left").withColumn(
         "verdict", F.when(F.col("read"), recency("date_text", *cut.args()))
     )
-    judged = computed_once(dated, "verdict", F.col("verdict")).withColumn(
-        "stale", ~F.col("verdict.is_recent")
+    judged = stage(
+        dated.select(
+            "category", "cat_idx", "pos", "url", "read",
+            (~F.col("verdict.is_recent")).alias("stale"),
+            F.col("verdict.label").alias("date"),
+        ),
+        "judged-links",
     )
     before_stop = take_until_stale(judged, "category", "pos", "stale", groups)
-    return before_stop.filter("read").select(
-        "category", "cat_idx", "pos", "url", F.col("verdict.label").alias("date")
-    )
+    return before_stop.filter("read").drop("read", "stale")
 
 
 def harvest(
@@ -85,7 +90,7 @@ def harvest(
         facts = stage(page_facts(pages, profile), "page-facts")
     dimension = categories(spark, profile)
     links = feed_links(
-        with_feed_position(items, dimension), profile, *cut.args(), carried=("cat_idx",)
+        with_feed_position(items, dimension), profile, *cut.args(), category_columns=("cat_idx",)
     )
     opened = opened_articles(links, facts, cut, groups=len(profile.categories))
     if dedup_against is not None:

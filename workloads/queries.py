@@ -249,7 +249,7 @@ def feed_stop_v1_query(spark, sf_dir):
 def _opened(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     facts = _facts(spark, sf_dir)
     items = with_feed_position(_items(spark, sf_dir), categories(spark, SITE))
-    links = feed_links(items, SITE, *CUT.args(), carried=("cat_idx",))
+    links = feed_links(items, SITE, *CUT.args(), category_columns=("cat_idx",))
     return links, opened_articles(links, facts, CUT, len(SITE.categories)), facts
 
 
