@@ -14,7 +14,7 @@ def _found(text: str, pattern: str, groups: str, then: str) -> str:
 
     NULL without a match. The search runs once; the groups are cut from the short match.
     """
-    whole = literal(java(f"^(?:{pattern})$"))
+    whole = literal(java(pattern, whole=True))
     parts = let(f"regexp_replace(m, {whole}, '{groups}')", "p", then)
     match = f"regexp_extract({text}, {literal(java(pattern))}, 0)"
     return let(match, "m", f"CASE WHEN m <> '' THEN {parts} END")
@@ -97,7 +97,9 @@ def _absolute_v1() -> str:
 def _relative_v1() -> str:
     """First number of the text with the first kind of stand-alone unit word; or yesterday."""
     units = " ".join(
-        f"WHEN rlike(t, r'(?U)\\b(?:{'|'.join(words)})\\b') THEN {size}"
+        "WHEN rlike(t, {}) THEN {}".format(
+            literal(java(rf"\b(?:{'|'.join(words)})\b", ignore_case=False)), size
+        )
         for words, size in zip(fixed.UNIT_WORDS_V1, (1, 60, 1440), strict=True)
     )
     ago = let(

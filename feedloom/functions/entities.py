@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import LEXICON
+from feedloom.functions.regex import let
 from feedloom.profile import SiteProfile
 
 Lexicon = Mapping[str, Sequence[str]]
@@ -40,19 +41,19 @@ def extract_entities(text: str, lexicon: Lexicon = LEXICON) -> Column:
 
 def _entities_sql(text: str, lexicon: Lexicon) -> str:
     lowered = f"lower(coalesce({text}, ''))"
-    words = f"split({lowered}, r'{_BETWEEN_WORDS}')"
     fields = []
     for kind, terms in lexicon.items():
-        quoted = [t.replace("'", "\\'") for t in terms]
+        quoted = ["'" + t.replace("'", "\\'") + "'" for t in terms]
         if all(map(_plain_word, terms)):
-            found = f"array_intersect(array({', '.join(f"'{t}'" for t in quoted)}), {words})"
+            found = f"array_intersect(array({', '.join(quoted)}), words)"
         else:
             found = "array_compact(array({}))".format(", ".join(
-                rf"CASE WHEN rlike({lowered}, r'(?U)\b{t}\b') THEN '{q}' END"
+                rf"CASE WHEN rlike({lowered}, r'(?U)\b{t}\b') THEN {q} END"
                 for t, q in zip(terms, quoted, strict=True)
             ))
         fields.append(f"'{kind}', {found}")
-    return f"named_struct({', '.join(fields)})"
+    words = f"split({lowered}, r'{_BETWEEN_WORDS}')"
+    return let(words, "words", f"named_struct({', '.join(fields)})")
 
 
 def definitions() -> Iterable[tuple[str, str]]:

@@ -18,10 +18,26 @@ SPACES = "".join(
 _SPACES_SQL = "'" + "".join(f"\\u{ord(c):04x}" for c in SPACES) + "'"
 
 
-def java(pattern: str, ignore_case: bool = True, multiline: bool = False) -> str:
-    """``pattern`` with the flags and white-space class that the JVM needs."""
+# A letter, number or underscore; Java's own word class also takes combining marks.
+WORD = r"[\p{L}\p{N}_]"
+
+
+def java(
+    pattern: str, ignore_case: bool = True, multiline: bool = False, whole: bool = False
+) -> str:
+    """``pattern`` with the flags, white-space class and word boundaries that the JVM needs.
+
+    A boundary stands before a word at the start of a pattern, else after one, or after a dot
+    where a word must follow. White space at a line start is taken without giving back: what
+    follows there is never white space, and retrying every shorter run makes long blank
+    stretches slow. ``whole`` makes the pattern match a text from end to end.
+    """
     flags = ("i" if ignore_case else "") + ("m" if multiline else "") + "dU"
-    return f"(?{flags})" + pattern.replace(r"\s", WS)
+    if pattern.startswith(r"\b"):
+        pattern = f"(?<!{WORD}){pattern[2:]}"
+    pattern = pattern.replace(r"\.\b", rf"\.(?={WORD})").replace(r"\b", f"(?!{WORD})")
+    pattern = pattern.replace(r"^\s*", f"^{WS}*+").replace(r"\s", WS)
+    return f"(?{flags})^(?:{pattern})$" if whole else f"(?{flags}){pattern}"
 
 
 def literal(text: str) -> str:

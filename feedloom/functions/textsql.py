@@ -20,7 +20,7 @@ def _gate_word(pattern: str) -> str | None:
 
 
 def _deleting(patterns: Sequence[str], multiline: bool) -> str:
-    """SQL over (x, low, odd): ``x`` with each pattern deleted, in order.
+    """SQL over (x, low, odd, digits): ``x`` with each pattern deleted, in order.
 
     A pattern runs only on texts that hold its word; most texts hold few of them, and a
     substring test costs a small part of a regex scan. Testing the original text is exact:
@@ -30,7 +30,9 @@ def _deleting(patterns: Sequence[str], multiline: bool) -> str:
     for pattern in patterns:
         replaced = f"regexp_replace(v, {literal(java(pattern, multiline=multiline))}, '')"
         word = _gate_word(pattern)
-        if word:
+        if word is None and r"\d" in pattern:
+            replaced = rf"CASE WHEN digits THEN {replaced} ELSE v END"
+        elif word:
             replaced = f"CASE WHEN odd OR contains(low, '{word}') THEN {replaced} ELSE v END"
         text = let(text, "v", replaced)
     return text
@@ -46,11 +48,12 @@ def _tidy_lines(expr: str) -> str:
 
 
 def _cleaner(name: str, comment: str, body: str) -> Iterable[tuple[str, str]]:
-    yield name + "_", f"(x STRING, low STRING, odd BOOLEAN) RETURNS STRING RETURN {body}"
+    yield name + "_", f"(x STRING, low STRING, odd BOOLEAN, digits BOOLEAN) RETURNS STRING RETURN {body}"
     odd = " OR ".join(f"contains(raw, '{c}')" for c in _ODD_LETTERS)
     yield name, (
         f"(raw STRING) RETURNS STRING COMMENT '{comment}' "
-        f"RETURN {name}_(coalesce(raw, ''), lower(coalesce(raw, '')), coalesce({odd}, false))"
+        f"RETURN {name}_(coalesce(raw, ''), lower(coalesce(raw, '')), coalesce({odd}, false), "
+        r"coalesce(rlike(raw, r'\p{Nd}'), false))"
     )
 
 

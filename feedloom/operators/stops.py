@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import AsOf, recency, recency_v1
 from feedloom.functions.fixed import UNKNOWN_LABEL
-from feedloom.operators.staging import bounded_broadcast
+from feedloom.operators.staging import bounded_broadcast, stage
 
 MAX_STEPS, MAX_STEPS_V1 = 30, 100
 MAX_STUCK = 5
@@ -20,10 +20,13 @@ def take_until_stale(
 
     The stop is the least stale position per group, an aggregate that combines before the
     shuffle, joined back. No group is sorted or held by one task however large it is. Give
-    ``groups``, an upper bound of their number, if there are few.
+    ``groups``, an upper bound of their number, if there are few: the stops are then
+    broadcast. Without it they are staged first, so that Spark knows their true size when it
+    plans the join and shuffles ``df`` only if there are too many to broadcast.
     """
     stops = df.filter(F.col(stale)).groupBy(group).agg(F.min(pos).alias("_stop"))
-    joined = df.join(bounded_broadcast(stops, groups), group, "left")
+    stops = stage(stops, "stops") if groups is None else bounded_broadcast(stops, groups)
+    joined = df.join(stops, group, "left")
     return joined.filter(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop"))).drop("_stop")
 
 

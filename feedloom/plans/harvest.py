@@ -11,7 +11,7 @@ from feedloom.functions.dates import AsOf, full_run_mark, recency, recency_v1
 from feedloom.functions.entities import Lexicon, extract_entities, site_lexicon
 from feedloom.operators.feed import MAX_ARTICLES_V1, feed_links, feed_links_v1, with_feed_position
 from feedloom.operators.nest import linked_pages, nest_linked_pages
-from feedloom.operators.staging import computed_once, stage
+from feedloom.operators.staging import bounded_broadcast, computed_once, stage
 from feedloom.operators.stops import take_until_stale
 from feedloom.operators.summary import run_summary
 from feedloom.profile import SiteProfile
@@ -117,10 +117,12 @@ def harvest_v1(
     """First-generation harvest of one feed: (pos, url, title, content).
 
     A stale article is left out but does not stop the feed. A full run keeps cards of any
-    age and moves the cut-off ten years back.
+    age and moves the cut-off ten years back. The capped link list goes to the pages, so only
+    linked pages are parsed.
     """
     mark = full_run_mark(as_of) if full_run or last_run is None else last_run
     links = feed_links_v1(items, profile, as_of, mark, full_run, max_articles)
-    read = links.join(page_facts_v1(pages, profile), "url")
+    linked = pages.join(bounded_broadcast(links, max_articles), "url").select("pos", "url", "html")
+    read = page_facts_v1(linked, profile)
     judged = computed_once(read, "is_recent", recency_v1("date_text", as_of, mark).is_recent)
     return judged.filter("is_recent").select("pos", "url", "title", "content")

@@ -62,9 +62,9 @@ def page_facts(pages: DataFrame, profile: SiteProfile) -> DataFrame:
 
 
 def page_facts_v1(pages: DataFrame, profile: SiteProfile) -> DataFrame:
-    """First-generation reading of a page."""
+    """First-generation reading of a page; columns other than ``html`` are kept."""
     return parse_pages(pages, first_generation=True).select(
-        "url",
+        *[c for c in pages.columns if c != "html"],
         page.article_title_v1(profile.site_name).alias("title"),
         page.page_date_text_v1().alias("date_text"),
         page.article_text_v1().alias("content"),
