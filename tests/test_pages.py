@@ -32,11 +32,11 @@ def test_rich_page(spark):
     assert facts.date_text == "3 hours ago"
     assert facts.content == (
         "Some bold\ntext Logo Para one that is long enough to be kept here.\n\n"
-        "Para two short\none\ntwo\n\na\nb"
-    ).replace("\n\na\nb", "\na\nb123")
+        "Para two short\none\ntwo\na\nb123"
+    )
     assert facts.related_content == (
         "Some bold text\n\nPara one that is long enough to be kept here.\n\nPara two short\n\n"
-        "one\ntwo\na\nb\n1 2\n3"
+        "one\ntwo\na\nb\n1 2"  # the row with nothing but a number counts as noise
     )
     assert facts.source_content == "Para one that is long enough to be kept here."
     assert [(k.title, k.url) for k in facts.links] == [
@@ -96,11 +96,11 @@ def test_date_text_v1(spark):
 def test_text_without_content_element(spark):
     html = "<header>Top</header><p>One</p><nav>Menu</nav><p>Two</p>"
     got = _one(spark, html, page.article_text(), page.article_text_v1(), page.related_text_raw(), first_generation=True)
-    assert tuple(got) == ("Top\nOne\n\nMenu\n\nTwo", "One\n\nTwo", "No content.")
+    assert tuple(got) == ("Top\n\nOne\n\nMenu\n\nTwo", "One\n\nTwo", "No content.")
 
 
 def test_visible_timestamp(spark):
-    html = "<div>5 min <span>2 hours ago</span></div><main><p>1 day ago</p><p>3 days ago but very very very long</p></main><small>ayer</small>"
+    html = "<div>5 min <span>2 hours ago</span></div><main><p>1 day ago</p><p>3 days ago but very very very very long</p></main><small>ayer</small>"
     got = _one(spark, html, page.visible_timestamp(), page.visible_timestamp_v1())
     assert tuple(got) == ("2 hours ago", "1 day ago")
 
