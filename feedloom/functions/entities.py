@@ -8,14 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import LEXICON
-from feedloom.functions.regex import let
+from feedloom.functions.regex import WORD, let
 from feedloom.profile import SiteProfile
 
 Lexicon = Mapping[str, Sequence[str]]
 
-# Everything between two words; a word is a run of letters, numbers and underscores.
-_BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
-
 
 def site_lexicon(profile: SiteProfile) -> dict[str, tuple[str, ...]]:
     """The default lexicon with the site's own name as the second company."""
@@ -32,28 +29,33 @@ def _plain_word(term: str) -> bool:
 def extract_entities(text: str, lexicon: Lexicon = LEXICON) -> Column:
     """Struct with one array per kind: the terms that occur as whole words, in lexicon order.
 
-    ``text`` is a SQL expression or column name. One scan splits the text into words and each
-    kind is an intersection with that word list; only terms that are not plain words (they
-    hold blanks or pattern characters) cost a regex search each.
+    ``text`` is a SQL expression or column name. One scan of the text finds all terms that are
+    plain words; only others (they hold blanks or pattern characters) cost a search each.
     """
     return F.expr(_entities_sql(text, lexicon))
 
 
 def _entities_sql(text: str, lexicon: Lexicon) -> str:
     lowered = f"lower(coalesce({text}, ''))"
+    quote = lambda term: "'" + term.replace("'", "\\'") + "'"
+    plain = [term for terms in lexicon.values() for term in terms if _plain_word(term)]
+
+    def occurs(term: str) -> str:
+        if _plain_word(term):
+            return f"array_contains(hits, {quote(term)})"
+        return rf"rlike({lowered}, r'(?U)\b{term}\b')"
+
     fields = []
     for kind, terms in lexicon.items():
-        quoted = ["'" + t.replace("'", "\\'") + "'" for t in terms]
-        if all(map(_plain_word, terms)):
-            found = f"array_intersect(array({', '.join(quoted)}), words)"
-        else:
-            found = "array_compact(array({}))".format(", ".join(
-                rf"CASE WHEN rlike({lowered}, r'(?U)\b{t}\b') THEN {q} END"
-                for t, q in zip(terms, quoted, strict=True)
-            ))
-        fields.append(f"'{kind}', {found}")
-    words = f"split({lowered}, r'{_BETWEEN_WORDS}')"
-    return let(words, "words", f"named_struct({', '.join(fields)})")
+        found = ", ".join(f"CASE WHEN {occurs(term)} THEN {quote(term)} END" for term in terms)
+        fields.append(f"'{kind}', array_compact(array({found}))")
+    struct = f"named_struct({', '.join(fields)})"
+    if not plain:
+        return struct
+    # One scan of the text for all plain words; most places fail on the first letter.
+    letters = "".join(sorted({term[0] for term in plain}))
+    word = rf"(?=[{letters}])(?<!{WORD})(?:{'|'.join(plain)})(?!{WORD})"
+    return let(f"regexp_extract_all({lowered}, r'{word}', 0)", "hits", struct)
 
 
 def definitions() -> Iterable[tuple[str, str]]:

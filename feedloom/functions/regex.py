@@ -4,6 +4,8 @@ The fixed patterns are Unicode-aware, know only ``\\n`` as a line end and count
 information separators as white space; Java needs flags and a wider ``\\s`` for that.
 """
 
+import re
+
 # White space, spelled out: a plain class is several times faster than the Unicode property.
 SPACE_CHARS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{SPACE_CHARS}]"
@@ -33,7 +35,9 @@ def java(
     stretches slow. ``whole`` makes the pattern match a text from end to end.
     """
     flags = ("i" if ignore_case else "") + ("m" if multiline else "") + "dU"
-    if pattern.startswith(r"\b"):
+    if re.match(r"\\b[A-Za-z]", pattern):  # first the letter, then the look back: far cheaper
+        pattern = f"{pattern[2]}(?<!{WORD}.){pattern[3:]}"
+    elif pattern.startswith(r"\b"):
         pattern = f"(?<!{WORD}){pattern[2:]}"
     pattern = pattern.replace(r"\.\b", rf"\.(?={WORD})").replace(r"\b", f"(?!{WORD})")
     pattern = pattern.replace(r"^\s*", f"^{WS}*+").replace(r"\s", WS)
