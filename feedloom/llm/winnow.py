@@ -11,7 +11,8 @@ from feedloom.llm.common import cut
 
 GRAM = 16  # code points of a k-gram
 WINDOW = 32  # k-grams of a window, a power of two; texts that share WINDOW + GRAM - 1 code points share a fingerprint
-_POSITIONS = (1 << 31) - 1
+_HASH = 0x7FFFFFFF00000000
+_LOW = 0xFFFFFFFF
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,19 +21,19 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The picked k-grams of a text, in order, each as hash << 31 | (2^31 - 1 - position).
+    """The picked k-grams of a text, in order, each packed as hash << 32 less (4 * position + 1).
 
-    Every window of k-grams picks its least hash, the rightmost of equals: as positions are
-    counted down, that is the least packed number. Window minima come from doubling: the minimum over
+    Every window of k-grams picks its least hash, the rightmost of equals: as a later position
+    takes off more, that is the least packed number. Window minima come from doubling: the minimum over
     2^j + 2^j grams is the lesser of two neighbours. A text shorter than a k-gram is one gram, one
-    with fewer grams than a window is one window, an empty one has none.
+    with fewer grams than a window is one window, an empty one has none. The work is on UTF-32, where
+    a position is an offset, so long texts cost no more for each code point.
     """
     def hashed(b: Column) -> Column:
-        count = F.greatest(F.floor(F.octet_length(b) / 4) - gram + 1, F.lit(1)).cast("int")
+        last = F.greatest(F.octet_length(b) - 4 * gram + 1, F.lit(1))
         return F.when(F.octet_length(b) > 0, F.transform(
-            F.sequence(F.lit(0), count - 1),
-            lambda i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * gram))), 32), 31)
-            .bitwiseOR(F.lit(_POSITIONS) - i.cast("long")),
+            F.sequence(F.lit(1), last, F.lit(4)),
+            lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * gram))).bitwiseAND(F.lit(_HASH)) - i.cast("long"),
         )).otherwise(F.array().cast("array<bigint>"))
 
     def minima(h: Column, span: int) -> Column:
@@ -45,15 +46,38 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     ).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)))
 
 
+def position(pick: Column) -> Column:
+    """Code points before the k-gram."""
+    return F.shiftright(-1 - pick, 2).bitwiseAND(F.lit(_LOW >> 2))
+
+
+def rewinnowed(picks: Column, text: Column, same: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """winnowed(text), given the picks of a text whose first `same` code points are the same.
+
+    The windows inside those code points pick what they picked before: the picks whose first window
+    starts early enough. Only the rest of the text is hashed.
+    """
+    def first_window(pick: Column, i: Column) -> Column:
+        before = F.get(picks, i - 1)
+        enters = F.greatest(position(pick) - (window - 1), F.lit(0))
+        return F.when(i == 0, F.lit(0)).when(pick < before, enters).otherwise(position(before) + 1)
+
+    whole = F.greatest(same - (gram + window - 2), F.lit(0))  # windows that lie inside
+    kept = F.filter(picks, lambda p, i: first_window(p, i) < whole)
+    rest = winnowed(F.substring(text, whole + 1, F.length(text)), gram, window)
+    moved = F.transform(rest, lambda p: p - (whole * 4).cast("long"))
+    return F.when(whole > 0, F.array_distinct(F.concat(kept, moved))).otherwise(moved)
+
+
 def rendered(picks: Column) -> Column:
     """hash:position of each pick, comma-joined."""
     return F.array_join(F.transform(
-        picks, lambda p: F.concat(F.lower(F.hex(F.shiftright(p, 31))), F.lit(":"), (F.lit(_POSITIONS) - p.bitwiseAND(F.lit(_POSITIONS))).cast("string")),
+        picks, lambda p: F.concat(F.lower(F.hex(F.shiftright(p, 32))), F.lit(":"), position(p).cast("string")),
     ), ",")
 
 
 def hashes(picks: Column) -> Column:
-    return F.array_distinct(F.transform(picks, lambda p: F.shiftright(p, 31)))
+    return F.array_distinct(F.transform(picks, lambda p: F.shiftright(p, 32)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -116,7 +140,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
     picks = F.col("picks")
-    out = _let(hashes(picks), lambda own: _let(edited, lambda e: _let(winnowed(e), lambda p: F.struct(
+    out = _let(hashes(picks), lambda own: _let(edited, lambda e: _let(rewinnowed(picks, e, n - half), lambda p: F.struct(
         F.sha2(e, 256).alias("sha"), rendered(p).alias("print"), likeness(own, hashes(p)).alias("near_edited"),
         likeness(own, hashes(F.col("next_picks"))).alias("near_next"),
     ))))
