@@ -11,7 +11,6 @@ from feedloom.functions.fixed import UNKNOWN_LABEL
 from feedloom.functions.registry import call
 
 AsOf = datetime | str | Column
-FULL_RUN_DAYS = 3650
 
 
 def instant(value: AsOf) -> Column:
@@ -66,9 +65,8 @@ def recency_v1(text: Column | str, as_of: AsOf, last_run: AsOf) -> Column:
     return call("feed_recency_v1", _column(text), instant(as_of), instant(last_run))
 
 
-def full_run_mark(as_of: AsOf) -> Column:
-    """The ``last_run`` of a full run: far enough back to keep everything."""
-    return instant(as_of) - F.expr(f"INTERVAL {FULL_RUN_DAYS} DAYS")
+def days_before(as_of: AsOf, days: int) -> Column:
+    return instant(as_of) - F.expr(f"INTERVAL {int(days)} DAYS")
 
 
 def date_label(ts: Column | str, with_time: bool = True) -> Column:

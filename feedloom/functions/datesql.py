@@ -71,13 +71,11 @@ def _blanked(text: str, *words: str) -> str:
 _FILLERS = _blanked("n", "publicado", "de", "el")
 _FILLERS_WORD_SAFE = r"regexp_replace(n, r'(?U)\b(?:publicado|el|de)\b', ' ')"
 
-_MONTHS_V1 = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
-
 
 def _absolute_v1() -> str:
     """Month by substring; then day and year where a comma or four digits occur, else the day."""
-    month = "CASE " + " ".join(f"WHEN contains(t, '{m}') THEN '{m}'" for m in _MONTHS_V1) + " END"
-    month_no = f"array_position(array({', '.join(map(repr, _MONTHS_V1))}), mon)"
+    month = "CASE " + " ".join(f"WHEN contains(t, '{m}') THEN '{m}'" for m in fixed.MONTHS_V1) + " END"
+    month_no = f"array_position(array({', '.join(map(repr, fixed.MONTHS_V1))}), mon)"
 
     def tried(tail: str, groups: str, year: str) -> str:
         parts = f"regexp_replace(m, r'(?U)^[a-z]+{tail}$', '{groups}')"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.fixed import LEXICON
@@ -26,28 +26,32 @@ def _plain_word(term: str) -> bool:
     return all(ch.isalnum() or ch == "_" for ch in term)
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def extract_entities(text: str, lexicon: Lexicon = LEXICON) -> Column:
     """Struct with one array per kind: the terms that occur as whole words, in lexicon order.
 
     ``text`` is a SQL expression or column name. One scan of the text finds all terms that are
-    plain words; only others (they hold blanks or pattern characters) cost a search each.
+    plain words; only others (they hold blanks or marks, which stand for themselves) cost a search each.
     """
     return F.expr(_entities_sql(text, lexicon))
 
 
 def _entities_sql(text: str, lexicon: Lexicon) -> str:
     lowered = f"lower(coalesce({text}, ''))"
-    quote = lambda term: "'" + term.replace("'", "\\'") + "'"
     plain = [term for terms in lexicon.values() for term in terms if _plain_word(term)]
 
     def occurs(term: str) -> str:
         if _plain_word(term):
-            return f"array_contains(hits, {quote(term)})"
-        return rf"rlike({lowered}, r'(?U)\b{term}\b')"
+            return f"array_contains(hits, {_quoted(term)})"
+        spelled = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+        return f"rlike({lowered}, {_quoted(f'(?<!{WORD}){spelled}(?!{WORD})')})"
 
     fields = []
     for kind, terms in lexicon.items():
-        found = ", ".join(f"CASE WHEN {occurs(term)} THEN {quote(term)} END" for term in terms)
+        found = ", ".join(f"CASE WHEN {occurs(term)} THEN {_quoted(term)} END" for term in terms)
         fields.append(f"'{kind}', array_compact(array({found}))")
     struct = f"named_struct({', '.join(fields)})"
     if not plain:
@@ -58,6 +62,27 @@ def _entities_sql(text: str, lexicon: Lexicon) -> str:
     return let(f"regexp_extract_all({lowered}, r'{word}', 0)", "hits", struct)
 
 
+def tag_with_lexicon(docs: DataFrame, lexicon: DataFrame, key: str, text: str, max_words: int = 1) -> DataFrame:
+    """(key, kind, term): the terms of a lexicon table (kind, term) of any size that occur in the texts.
+
+    Each text gives its distinct words, and with ``max_words`` its runs of that many words joined
+    by one blank; these are joined to the terms, so no term is compared with a text that has not
+    its words. Words and terms are compared in lower case; repeated terms tag once.
+    """
+    words = F.expr(f"regexp_extract_all(lower(coalesce(`{text}`, '')), r'{WORD}+', 0)")
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1)))
+        return F.transform(
+            F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.array_join(F.slice("_words", i, F.lit(n)), " ")
+        )
+
+    runs = F.flatten(F.array(*[runs_of(n) for n in range(1, max_words + 1)]))
+    said = docs.select(F.col(key), words.alias("_words")).select(key, F.explode(F.array_distinct(runs)).alias("_said"))
+    terms = lexicon.select("kind", "term", F.lower("term").alias("_said")).distinct()
+    return said.join(terms, "_said").select(key, "kind", "term")
+
+
 def definitions() -> Iterable[tuple[str, str]]:
     shape = ", ".join(f"{kind}: ARRAY<STRING>" for kind in LEXICON)
     yield "feed_entities", (

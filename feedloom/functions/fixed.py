@@ -83,8 +83,9 @@ DATE_IN_TEXT = (
 DATE_STRING_V1 = r"(ago|hace|minutes|hours|days|ayer|yesterday|minuto|hora|día)"
 FEED_TIME = r"\d+\s*(m|h|d|min|hour|day|seg|sec|hora|día)|yesterday|ayer|ago|hace"
 
-DATE_SEARCH_CHARS = 5000
-EXTERNAL_TEXT_CHARS = 4000
+# Classes of the row that shows the time on a first-generation card.
+CARD_ROW_CLASSES = ("gap-x-xs", "items-center")
+MONTHS_V1 = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 UNTITLED = "Noticia Sin Título"
 UNTITLED_V1 = "Untitled"
 UNTITLED_SOURCE = "External Source"

@@ -2,7 +2,9 @@
 
 Every function returns a Spark expression over the columns of ``schema.DOM``. The pieces are
 SQL texts, because selecting elements is all lambdas over the ``elements`` array and SQL states
-those briefly; in them ``e`` (or another short name) is one element.
+those briefly; in them ``e`` (or another short name) is one element. Texts are cut out of bytes, which
+are bound once per page (``_over``), and descendants are slices of the array, so the work on a page
+grows with its size and not with its square.
 """
 
 from __future__ import annotations
@@ -58,22 +60,33 @@ def _first(test: Predicate) -> str:
     return f"get({_select(test)}, 0)"
 
 
+def _descendants(area: str, wanted: Predicate) -> str:
+    """Descendants of the element named ``area`` that pass ``wanted``, in document order."""
+    return f"filter(slice(elements, {area}.idx + 2, {area}.last - {area}.idx), e -> {wanted('e')})"
+
+
 def _within_any(area: Predicate, wanted: Predicate) -> str:
-    """Elements that pass ``wanted`` and have an ancestor that passes ``area``."""
-    return let(
-        f"filter(elements, a -> {area('a')})",
-        "areas",
-        _select(_all(wanted, lambda e: f"exists(areas, a -> {_inside('a')(e)})")),
-    )
+    """Elements that pass ``wanted`` and have an ancestor that passes ``area``.
+
+    They come area by area, so with nested areas some come again; the first is the first of
+    the page.
+    """
+    return f"flatten(transform(filter(elements, a -> {area('a')}), a -> {_descendants('a', wanted)}))"
+
 
+def _span(binary: str, start: str, end: str) -> str:
+    """Text between two byte offsets."""
+    return f"decode(substring({binary}, {start} + 1, {end} - {start}), 'UTF-8')"
 
-def _span(text: str, start: str, end: str) -> str:
-    return f"substring({text}, {start} + 1, {end} - {start})"
+
+def _over(sql: str) -> Column:
+    """Expression in which ``inner_bytes`` stands for the displayed text of the page."""
+    return F.expr(let("CAST(inner_text AS BINARY)", "inner_bytes", sql))
 
 
 def _text(e: str) -> str:
     """Displayed text of the element named ``e``."""
-    return strip_sql(_span("inner_text", f"{e}.t0", f"{e}.t1"))
+    return strip_sql(_span("inner_bytes", f"{e}.t0", f"{e}.t1"))
 
 
 def _text_of(element: str) -> str:
@@ -114,22 +127,25 @@ def article_title(site_name: str) -> Column:
         for found in headlines
     ]
     fallback = f"nullif({_document_title(site_name, everywhere=True)}, '')"
-    return F.expr(f"coalesce({', '.join(long_enough)}, {fallback}, {_quoted(fixed.UNTITLED)})")
+    return _over(f"coalesce({', '.join(long_enough)}, {fallback}, {_quoted(fixed.UNTITLED)})")
 
 
 def article_title_v1(site_name: str) -> Column:
     """First ``h1`` if it has text, else the page title without the site suffix."""
     headline = f"nullif({_text_of(_first(_tag('h1')))}, '')"
     title = f"CASE WHEN doc_title <> '' THEN {_document_title(site_name, everywhere=False)} END"
-    return F.expr(f"coalesce({headline}, {title}, {_quoted(fixed.UNTITLED_V1)})")
+    return _over(f"coalesce({headline}, {title}, {_quoted(fixed.UNTITLED_V1)})")
 
 
 # --- dates --------------------------------------------------------------------------------
-def page_date_text() -> Column:
-    """Text that dates the page: first date-like element, else a pattern in the page text."""
+def page_date_text(search_chars: int | None = None) -> Column:
+    """Text that dates the page: first date-like element, else a pattern in the page text.
+
+    The whole text is searched, or its first ``search_chars`` characters.
+    """
 
     def dated(e: str) -> str:
-        quotes = f"rlike({_span('inner_text', e + '.p0', e + '.p1')}, '[$%]')"
+        quotes = f"rlike({_span('inner_bytes', e + '.p0', e + '.p1')}, '[$%]')"
         return f"{_matches(_text(e), fixed.DATE_ELEMENT)} AND NOT {quotes}"
 
     flex_row = _all(_tag("div"), _has_class("flex", "items-center", "gap-x-2"))
@@ -146,11 +162,11 @@ def page_date_text() -> Column:
         for p in fixed.DATE_IN_TEXT
     )
     in_text = let(
-        f"substring(inner_text, 1, {fixed.DATE_SEARCH_CHARS})",
+        "inner_text" if search_chars is None else f"substring(inner_text, 1, {int(search_chars)})",
         "start",
         rf"CASE WHEN rlike(start, r'\p{{Nd}}') THEN coalesce({hits}) END",  # all need a digit
     )
-    return F.expr(f"coalesce({', '.join(elements)}, {in_text}, '{fixed.UNKNOWN_LABEL}')")
+    return _over(f"coalesce({', '.join(elements)}, {in_text}, '{fixed.UNKNOWN_LABEL}')")
 
 
 def page_date_text_v1() -> Column:
@@ -165,7 +181,7 @@ def page_date_text_v1() -> Column:
     )
     short = f"get(filter(strings, s -> length({strip_sql('s.text')}) BETWEEN 3 AND 29), 0)"
     texts = ", ".join(strip_sql(f"{found}.text") for found in (in_meta, short))
-    return F.expr(
+    return _over(
         f"coalesce({_text_of(_first(_tag('time')))}, {texts}, '{fixed.UNKNOWN_LABEL}')"
     )
 
@@ -174,7 +190,7 @@ def visible_timestamp() -> Column:
     """Text of the last ``span``, ``time`` or ``div`` that mentions a time; NULL if none."""
     timed = lambda e: _matches(_text(e), fixed.FEED_TIME)
     found = _select(_all(_tag("span", "time", "div"), timed))
-    return F.expr(_text_of(f"try_element_at({found}, -1)"))
+    return _over(_text_of(f"try_element_at({found}, -1)"))
 
 
 def visible_timestamp_v1() -> Column:
@@ -188,13 +204,13 @@ def visible_timestamp_v1() -> Column:
         )
     )
     area = f"coalesce({_first(lambda e: f'{e}.scrollable')}, {_first(_tag('main'))})"
-    return F.expr(_text_of(f"try_element_at({let(area, 'area', found)}, -1)"))
+    return _over(_text_of(f"try_element_at({let(area, 'area', found)}, -1)"))
 
 
 # --- texts --------------------------------------------------------------------------------
 def article_text_raw() -> Column:
     """Text of the content element with image names; the page text if there is none."""
-    walked = let(_first(_is_main), "m", _span("walk_text", "m.w0", "m.w1"))
+    walked = let(_first(_is_main), "m", _span("CAST(walk_text AS BINARY)", "m.w0", "m.w1"))
     gap = literal(java(r"\n\s*\n", ignore_case=False))
     return F.expr(
         rf"coalesce(regexp_replace({walked}, {gap}, '\n\n'), {strip_sql('inner_text')})"
@@ -207,12 +223,12 @@ def article_text() -> Column:
 
 def article_text_v1() -> Column:
     """Displayed text of the content element, else the page text without navigation."""
-    return F.expr(f"coalesce({_text_of(_first(_is_main))}, {strip_sql('bare_text')})")
+    return _over(f"coalesce({_text_of(_first(_is_main))}, {strip_sql('bare_text')})")
 
 
 def related_text_raw() -> Column:
     """Displayed text of the content element, for use as a related story."""
-    return F.expr(f"coalesce({_text_of(_first(_is_main))}, '{fixed.NO_CONTENT}')")
+    return _over(f"coalesce({_text_of(_first(_is_main))}, '{fixed.NO_CONTENT}')")
 
 
 def paragraphs_text() -> Column:
@@ -220,7 +236,7 @@ def paragraphs_text() -> Column:
     in_article = lambda e: f"article IS NULL OR {_inside('article')(e)}"
     paragraphs = let(_first(_tag("article")), "article", _select(_all(_tag("p"), in_article)))
     texts = f"transform({paragraphs}, p -> {_text('p')})"
-    return F.expr(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
+    return _over(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
 
 
 # --- links --------------------------------------------------------------------------------
@@ -228,14 +244,14 @@ def page_links() -> Column:
     """All links of the page: array of (pos, title, href, url) in document order."""
     anchors = _select(lambda e: f"{e}.tag = 'a' AND {e}.href IS NOT NULL")
     link = f"named_struct('pos', i, 'title', {_text('a')}, 'href', a.href, 'url', a.url)"
-    return F.expr(f"transform({anchors}, (a, i) -> {link})")
+    return _over(f"transform({anchors}, (a, i) -> {link})")
 
 
 def _cards(anchors: str, stamps: tuple[str, ...]) -> Column:
     """Cards of the anchors; the time is the text of the first element any of ``stamps`` finds."""
     stamp = _text_of(f"coalesce({', '.join(f'get({found}, 0)' for found in stamps)})")
     card = f"named_struct('pos', CAST(i AS BIGINT), 'href', a.href, 'timestamp', {stamp})"
-    return F.expr(f"transform({anchors}, (a, i) -> {card})")
+    return _over(f"transform({anchors}, (a, i) -> {card})")
 
 
 def _href_contains(parts: tuple[str, ...]) -> Predicate:
@@ -247,28 +263,20 @@ _truncated = _all(_tag("span"), _has_class("truncate"))
 
 def feed_cards(story_paths: tuple[str, ...]) -> Column:
     """Story cards of a feed page: array of (pos, href, timestamp) in document order."""
-    mine = _inside("a")
     return _cards(
         _select(_all(_tag("a"), _href_contains(story_paths))),
-        (_select(_all(_truncated, mine)), _select(_all(_tag("time"), mine))),
+        (_descendants("a", _truncated), _descendants("a", _tag("time"))),
     )
 
 
 def feed_cards_v1(story_paths: tuple[str, ...]) -> Column:
     """First-generation cards: also card-class links, and a preferred place for the time."""
-    mine = _inside("a")
-    line = _all(_tag("div"), _has_class("gap-x-xs", "items-center"))
-    # "a" is the card here, so the time's surroundings need another name.
-    lines = let(
-        f"filter(elements, d -> {line('d')})",
-        "lines",
-        _select(_all(_truncated, mine, lambda e: f"exists(lines, d -> {_inside('d')(e)})")),
-    )
+    in_row = _descendants("a", _all(_truncated, lambda e: f"{e}.in_row"))
     wanted = lambda e: f"{_href_contains(story_paths)(e)} OR ({_has_class('group/card')(e)})"
     allowed = lambda e: f"{e}.href <> '' AND NOT {_href_contains(('auth', 'library'))(e)}"
     return _cards(
         _select(_all(_tag("a"), wanted, allowed)),
-        (lines, _select(_all(_truncated, mine)), _select(_all(_tag("time"), mine))),
+        (in_row, _descendants("a", _truncated), _descendants("a", _tag("time"))),
     )
 
 
@@ -284,4 +292,4 @@ def is_logged_out() -> Column:
     """The page shows a button to sign up or sign in."""
     label = rf"lower(regexp_replace({_text('e')}, r'(?U)\s+', ' '))"
     words = " OR ".join(f"contains(t, {_quoted(w.lower())})" for w in fixed.LOGIN_BUTTONS)
-    return F.expr(f"exists(elements, e -> e.tag = 'button' AND {let(label, 't', words)})")
+    return _over(f"exists(elements, e -> e.tag = 'button' AND {let(label, 't', words)})")

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import AsOf, full_run_mark, recency, recency_v1
+from feedloom.functions.dates import AsOf, recency, recency_v1
 from feedloom.functions.urls import absolutize, contains_any
-from feedloom.operators.staging import computed_once
 from feedloom.profile import SiteProfile
+from feedloom.sources.pages import extract_cards
 
-MAX_ARTICLES_V1 = 10_000
+# Positions of cards follow the order of their snapshots; a snapshot has fewer cards than this.
+SNAPSHOT_STRIDE = 1 << 20
 
 
 def with_feed_position(items: DataFrame, categories: DataFrame) -> DataFrame:
@@ -18,11 +19,25 @@ def with_feed_position(items: DataFrame, categories: DataFrame) -> DataFrame:
     return items.join(F.broadcast(categories.select("category", "cat_idx")), "category")
 
 
-def _fresh_cards(items: DataFrame, verdict: Column) -> DataFrame:
-    """Drop the cards that show a date and are not recent; no date means keep."""
-    judged = computed_once(items, "is_recent", verdict.is_recent)
-    undated = F.col("timestamp").isNull() | (F.col("timestamp") == "")
-    return judged.filter(undated | F.col("is_recent")).drop("is_recent")
+def feed_items_from_pages(
+    pages: DataFrame, categories: DataFrame, profile: SiteProfile, version: int = 2
+) -> DataFrame:
+    """Cards of feed pages as feed items: (category, cat_idx, pos, href, timestamp).
+
+    A feed page is a snapshot whose url is that of a category; others are left out before
+    they are parsed. Of several snapshots of a feed, the cards of the lower page_id come
+    first. The dimension is a short list.
+    """
+    feeds = F.broadcast(categories.select("category", "cat_idx", F.col("url").alias("url")))
+    mine = pages.join(feeds, "url").select("category", "cat_idx", "page_id", "url", "html")
+    cards = extract_cards(mine, profile, version, keep=("category", "cat_idx", "page_id"))
+    place = F.col("page_id") * SNAPSHOT_STRIDE + F.col("pos")
+    return cards.select("category", "cat_idx", place.alias("pos"), "href", "timestamp")
+
+
+def is_fresh(verdict: Column) -> Column:
+    """The card shows no date, or a recent one."""
+    return F.col("timestamp").isNull() | (F.col("timestamp") == "") | verdict.is_recent
 
 
 def first_per_key(items: DataFrame, *keys: str) -> DataFrame:
@@ -55,7 +70,7 @@ def feed_links(
     )
     if not full_run:
         verdict = recency("timestamp", as_of, mode, last_run, custom_hours)
-        stories = _fresh_cards(stories, verdict)
+        stories = stories.filter(is_fresh(verdict))
     return first_per_key(stories, "category", *category_columns, "url")
 
 
@@ -65,9 +80,13 @@ def feed_links_v1(
     as_of: AsOf,
     last_run: AsOf | None = None,
     full_run: bool = False,
-    max_articles: int = MAX_ARTICLES_V1,
+    max_articles: int | None = None,
 ) -> DataFrame:
-    """First-generation link list of one feed: allow and deny list, age, first card, cap."""
+    """First-generation link list of one feed: allow and deny list, age, first card.
+
+    A full run, and one without ``last_run``, keeps cards of any age. ``max_articles`` keeps
+    only the first so many links.
+    """
     href = F.col("href")
     stories = (
         items.filter((href != "") & ~contains_any(href, ("auth", "library")))
@@ -75,7 +94,7 @@ def feed_links_v1(
         .filter(~contains_any(href, profile.denied_paths))
         .withColumn("url", absolutize(href, profile.base_url))
     )
-    if not full_run:
-        mark = full_run_mark(as_of) if last_run is None else last_run
-        stories = _fresh_cards(stories, recency_v1("timestamp", as_of, mark))
-    return first_per_key(stories, "url").orderBy("pos").limit(max_articles)
+    if not full_run and last_run is not None:
+        stories = stories.filter(is_fresh(recency_v1("timestamp", as_of, last_run)))
+    links = first_per_key(stories, "url")
+    return links if max_articles is None else links.orderBy("pos").limit(max_articles)

@@ -7,41 +7,12 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import AsOf, recency, related_date
 from feedloom.functions.fixed import UNTITLED_SOURCE
-from feedloom.functions.urls import is_external_link, is_related_link
-from feedloom.profile import SiteProfile
+from feedloom.functions.urls import EXTERNAL, RELATED
 from feedloom.schema import EXTERNAL_SOURCE, RELATED_STORY
 
-RELATED, EXTERNAL = "related", "external"
-
-
-def top_links(links: Column, profile: SiteProfile) -> Column:
-    """First related and first external links of a page: array of (kind, link_pos, title, url).
-
-    The cut comes before the linked pages are looked up and failures are not replaced.
-    """
-
-    def tagged(found: Column, kind: str, keep: int) -> Column:
-        return F.transform(
-            F.slice(found, 1, keep),
-            lambda link, i: F.struct(
-                F.lit(kind).alias("kind"), i.alias("link_pos"), link.title.alias("title"), link.url.alias("url")
-            ),
-        )
-
-    related = F.filter(links, lambda k: is_related_link(k, profile.related_marker))
-    external = F.filter(
-        links,
-        lambda k: is_external_link(k, profile.internal_host, profile.min_external_url_length),
-    )
-    return F.concat(
-        tagged(related, RELATED, profile.max_related), tagged(external, EXTERNAL, profile.max_external)
-    )
-
-
 def linked_pages(
     articles: DataFrame,
     facts: DataFrame,
-    profile: SiteProfile,
     as_of: AsOf,
     mode: str = "last_24h",
     last_run: AsOf | None = None,
@@ -50,13 +21,12 @@ def linked_pages(
 ) -> DataFrame:
     """One row per linked page that could be read, in flat form.
 
-    Both kinds of links share one lookup. A page that very many articles link to makes its
-    join partition large; adaptive execution splits such partitions, and the page's texts
-    were cleaned once beforehand rather than per link.
+    ``articles`` has the array ``top_links``, ``facts`` one row per url. Both kinds of links
+    share one lookup. A page that very many articles link to makes its join partition large;
+    adaptive execution splits such partitions, and the page's texts were cleaned once
+    beforehand rather than per link.
     """
-    links = articles.select(
-        *[F.col(k).alias(f"article_{k}") for k in keys], F.inline(top_links(F.col("links"), profile))
-    )
+    links = articles.select(*[F.col(k).alias(f"article_{k}") for k in keys], F.inline("top_links"))
     related = F.col("kind") == RELATED
     pages = facts.select("url", "date_text", "related_content", "source_content")
     verdict = recency("date_text", as_of, mode, last_run, custom_hours)
@@ -83,7 +53,7 @@ def nest_linked_pages(
 ) -> DataFrame:
     """Articles with their ``related_stories`` and ``external_sources`` in page order.
 
-    At most ``max_related + max_external`` rows meet in a group.
+    ``articles`` has one row per key, so a group holds the few top links of one page.
     """
     item = F.struct("kind", "link_pos", "title", "url", "content", "date")
     grouped = linked.groupBy(*[F.col(f"article_{k}").alias(k) for k in keys]).agg(

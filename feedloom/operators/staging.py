@@ -1,60 +1,42 @@
-"""Intermediate tables and plan barriers."""
+"""Intermediate tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A side of a join is broadcast only when it is known to have at most this many narrow rows.
-BROADCAST_ROWS = 100_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, ``spark.checkpoint.dir``.
-
-    Only a local master may go without it; then a temporary folder is used.
-    """
+    """The folder all executors can reach; ``spark.checkpoint.dir`` has to name it."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder:
-        return folder
-    if not context.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="feedloom-"))
-    return context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/feedloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/feedloom/{name}-{uuid.uuid4().hex}"
+    """A new path under the shared folder, in the folder of this application."""
+    return f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it from there.
 
     Later jobs scan only the columns they need, and a lost executor costs a file read
-    instead of the work that made the table.
+    instead of the work that made the table. The table lives until ``release``.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a costly column that filters will use.
-
-    A plain column would be copied into every filter that is pushed below it and computed
-    again there, once per use; a filter on a generated column stays above the generator.
-    """
-    return df.withColumn(name, value).withColumn(name, F.explode(F.array(name)))
-
-
-def bounded_broadcast(side: DataFrame, rows: int | None) -> DataFrame:
-    """Broadcast ``side`` if it has at most ``rows`` rows and that is few.
-
-    With no known bound the join is left to Spark, which measures the side at run time.
-    """
-    return F.broadcast(side) if rows is not None and rows <= BROADCAST_ROWS else side
+def release(spark: SparkSession) -> None:
+    """Remove all that this application has staged, once its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,45 +7,50 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.dates import AsOf, recency, recency_v1
 from feedloom.functions.fixed import UNKNOWN_LABEL
-from feedloom.operators.staging import bounded_broadcast, stage
+from feedloom.functions.page import visible_timestamp, visible_timestamp_v1
+from feedloom.operators.staging import stage
+from feedloom.sources.dom import parse_pages
 
-MAX_STEPS, MAX_STEPS_V1 = 30, 100
 MAX_STUCK = 5
+FEED = ("category", "run")  # what one scrolling of one feed is known by
 
 
-def take_until_stale(
-    df: DataFrame, group: str, pos: str, stale: str, groups: int | None = None
-) -> DataFrame:
+def take_until_stale(df: DataFrame, group: str, pos: str, stale: str) -> DataFrame:
     """Rows of each group before its first stale one; NULL in ``stale`` does not stop.
 
     The stop is the least stale position per group, an aggregate that combines before the
-    shuffle, joined back. No group is sorted or held by one task however large it is. Give
-    ``groups``, an upper bound of their number, if there are few: the stops are then
-    broadcast. Without it they are staged first, so that Spark knows their true size when it
-    plans the join and shuffles ``df`` only if there are too many to broadcast.
+    shuffle, joined back. No group is sorted or held by one task however large it is. The
+    stops are staged, so that Spark knows their size when it plans the join and shuffles
+    ``df`` only if there are too many of them to broadcast.
     """
-    stops = df.filter(F.col(stale)).groupBy(group).agg(F.min(pos).alias("_stop"))
-    stops = stage(stops, "stops") if groups is None else bounded_broadcast(stops, groups)
+    stops = stage(df.filter(F.col(stale)).groupBy(group).agg(F.min(pos).alias("_stop")), "stops")
     joined = df.join(stops, group, "left")
     return joined.filter(F.col("_stop").isNull() | (F.col(pos) < F.col("_stop"))).drop("_stop")
 
 
-def _scan(observations: DataFrame, max_steps: int, verdict, nulls_apart: bool) -> DataFrame:
-    """Per category: where the scan of its observations ends, and why.
+def observations_of(snapshots: DataFrame, version: int = 2) -> DataFrame:
+    """What each feed snapshot shows: (category, run, step, html) to (category, run, step, ts_text)."""
+    shown = visible_timestamp() if version == 2 else visible_timestamp_v1()
+    pages = snapshots.select(*FEED, "step", F.lit("").alias("url"), "html")
+    return parse_pages(pages).select(*FEED, "step", shown.alias("ts_text"))
+
+
+def _scan(observations: DataFrame, max_steps: int | None, verdict, nulls_apart: bool) -> DataFrame:
+    """Per feed and run: where the scan of its observations ends, and why.
 
     A value that differs from the last one seen starts a new stretch; ``stuck`` counts the
-    steps of the stretch after that. The step limit comes first, so a window never holds
-    more than ``max_steps`` rows.
+    steps of the stretch after that. Windows run over the steps of one run of one feed.
     """
-    by_step = Window.partitionBy("category").orderBy("step")
+    by_step = Window.partitionBy(*FEED).orderBy("step")
     before = by_step.rowsBetween(Window.unboundedPreceding, -1)
-    stretch = Window.partitionBy("category", "stretch").orderBy("step")
+    stretch = Window.partitionBy(*FEED, "stretch").orderBy("step")
     value = F.nullif("ts_text", F.lit(""))
     seen = F.last("value", ignorenulls=True).over(before)
     nulls = F.sum(F.col("value").isNull().cast("int"))
+    if max_steps is not None:
+        observations = observations.filter(F.col("step") <= max_steps)
     rows = (
-        observations.filter(F.col("step") <= max_steps)
-        .withColumn("verdict", verdict)
+        observations.withColumn("verdict", verdict)
         .withColumn("value", value)
         .withColumn("changed", F.col("value").isNotNull() & ~F.col("value").eqNullSafe(seen))
         .withColumn("stretch", F.sum(F.col("changed").cast("int")).over(by_step))
@@ -64,15 +69,17 @@ def _scan(observations: DataFrame, max_steps: int, verdict, nulls_apart: bool) -
     ended = (
         rows.withColumn("stuck", stuck)
         .withColumn("reason", reason)
-        .groupBy("category")
+        .groupBy(*FEED)
         .agg(
             F.min(F.when(F.col("reason").isNotNull(), F.struct("step", "reason"))).alias("end"),
             F.max("step").alias("last_step"),
         )
     )
-    exhausted = F.when(F.col("last_step") >= max_steps, "max_steps").otherwise("no_more")
+    exhausted = F.lit("no_more")
+    if max_steps is not None:
+        exhausted = F.when(F.col("last_step") >= max_steps, "max_steps").otherwise(exhausted)
     return ended.select(
-        "category",
+        *FEED,
         F.coalesce("end.step", "last_step").alias("steps"),
         F.coalesce("end.reason", exhausted).alias("reason"),
         (F.coalesce("end.reason", F.lit("")) == "cutoff").alias("reached_end"),
@@ -85,18 +92,19 @@ def feed_stop(
     mode: str = "last_24h",
     last_run: AsOf | None = None,
     custom_hours: int = 24,
-    max_steps: int = MAX_STEPS,
+    max_steps: int | None = None,
 ) -> DataFrame:
     """Where scrolling each feed ends: five repeats or blanks, or the first too-old date.
 
-    ``observations`` is (category, step, ts_text) with steps from 1.
+    ``observations`` is (category, run, step, ts_text) with steps from 1. With ``max_steps``
+    only so many steps are looked at.
     """
     verdict = recency("ts_text", as_of, mode, last_run, custom_hours)
     return _scan(observations, max_steps, verdict, nulls_apart=False)
 
 
 def feed_stop_v1(
-    observations: DataFrame, as_of: AsOf, last_run: AsOf, max_steps: int = MAX_STEPS_V1
+    observations: DataFrame, as_of: AsOf, last_run: AsOf, max_steps: int | None = None
 ) -> DataFrame:
     """First-generation stop: blanks are counted apart from repeats and never forgotten."""
     return _scan(observations, max_steps, recency_v1("ts_text", as_of, last_run), nulls_apart=True)

@@ -7,17 +7,19 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.dates import AsOf, full_run_mark, recency, recency_v1
+from feedloom.functions.dates import AsOf, days_before, recency, recency_v1
 from feedloom.functions.entities import Lexicon, extract_entities, site_lexicon
-from feedloom.operators.feed import MAX_ARTICLES_V1, feed_links, feed_links_v1, with_feed_position
+from feedloom.functions.text import clean_noise
+from feedloom.limits import NO_LIMITS, Limits
+from feedloom.operators.feed import feed_links, feed_links_v1, with_feed_position
 from feedloom.operators.nest import linked_pages, nest_linked_pages
-from feedloom.operators.staging import bounded_broadcast, computed_once, stage
+from feedloom.operators.staging import stage
 from feedloom.operators.stops import take_until_stale
 from feedloom.operators.summary import run_summary
 from feedloom.profile import SiteProfile
 from feedloom.schema import ARTICLE
 from feedloom.sources.categories import categories
-from feedloom.sources.pages import page_facts, page_facts_v1
+from feedloom.sources.pages import latest_pages, page_facts, page_facts_v1
 
 
 @dataclass(frozen=True)
@@ -45,18 +47,14 @@ class Harvest:
         return run_summary(self.links, self.articles)
 
 
-def opened_articles(
-    links: DataFrame, facts: DataFrame, cut: Recency, groups: int | None
-) -> DataFrame:
+def opened_articles(links: DataFrame, dates: DataFrame, cut: Recency) -> DataFrame:
     """Links whose page could be read and comes before the first stale one of its category.
 
-    Only addresses and date texts are read here. A link without a page is kept until the
-    stop is known, so that it neither stops the category nor counts as an article. The judged
-    links are staged: finding the stops and applying them would otherwise each run the feed
-    and the lookup again.
+    ``dates`` is (url, date_text). A link without a page is kept until the stop is known, so that
+    it neither stops the category nor counts as an article. The judged links are staged:
+    finding the stops and applying them would otherwise each run the lookup again.
     """
-    dates = facts.select("url", "date_text", F.lit(True).alias("read"))
-    dated = links.join(dates, "url", "left").withColumn(
+    dated = links.join(dates.select("url", "date_text", F.lit(True).alias("read")), "url", "left").withColumn(
         "verdict", F.when(F.col("read"), recency("date_text", *cut.args()))
     )
     judged = stage(
@@ -67,8 +65,7 @@ def opened_articles(
         ),
         "judged-links",
     )
-    before_stop = take_until_stale(judged, "category", "pos", "stale", groups)
-    return before_stop.filter("read").drop("read", "stale")
+    return take_until_stale(judged, "category", "pos", "stale").filter("read").drop("read", "stale")
 
 
 def harvest(
@@ -78,27 +75,34 @@ def harvest(
     cut: Recency,
     lexicon: Lexicon | None = None,
     dedup_against: DataFrame | None = None,
-    facts: DataFrame | None = None,
+    limits: Limits = NO_LIMITS,
 ) -> Harvest:
     """Articles of all categories with related stories, sources and entities.
 
-    Pages are parsed once into a staged table of facts, or pass ``facts`` from an earlier
-    run. ``dedup_against`` leaves out articles whose (category, url) it already holds.
+    Pages are looked up before they are parsed: first those behind fresh links, then those that
+    the articles before the stops link to. Of several snapshots of a url the newest counts.
+    What is kept is staged once, and only its texts are cleaned. ``dedup_against`` leaves out
+    articles whose (category, url) it already holds.
     """
-    spark = items.sparkSession
-    if facts is None:
-        facts = stage(page_facts(pages, profile), "page-facts")
-    dimension = categories(spark, profile)
-    links = feed_links(
-        with_feed_position(items, dimension), profile, *cut.args(), category_columns=("cat_idx",)
+    dimension = categories(items.sparkSession, profile)
+    links = stage(
+        feed_links(with_feed_position(items, dimension), profile, *cut.args(), category_columns=("cat_idx",)), "links"
+    )
+    behind_links = latest_pages(pages, links.select("url").distinct())
+    facts = stage(
+        page_facts(behind_links, profile, ("title", "date_text", "raw_content", "top_links"), limits), "opened-pages"
     )
-    opened = opened_articles(links, facts, cut, groups=len(profile.categories))
+    opened = opened_articles(links, facts, cut)
     if dedup_against is not None:
         opened = opened.join(dedup_against.select("category", "url"), ["category", "url"], "left_anti")
-    body = facts.select("url", "title", "content", "links")
-    articles = opened.join(body, "url")
-    linked = linked_pages(articles, facts, profile, *cut.args())
-    nested = nest_linked_pages(articles.drop("links"), linked)
+    body = facts.select("url", "title", clean_noise("raw_content").alias("content"), "top_links")
+    articles = stage(opened.join(body, "url"), "articles")
+    linked_urls = articles.select(F.explode("top_links.url").alias("url")).distinct()
+    linked_facts = page_facts(
+        latest_pages(pages, linked_urls), profile, ("date_text", "related_content", "source_content"), limits
+    )
+    linked = linked_pages(articles, linked_facts, *cut.args())
+    nested = nest_linked_pages(articles.drop("top_links"), linked)
     tagged = nested.withColumn(
         "entities", extract_entities("content", site_lexicon(profile) if lexicon is None else lexicon)
     )
@@ -112,17 +116,20 @@ def harvest_v1(
     as_of: AsOf,
     last_run: AsOf | None = None,
     full_run: bool = False,
-    max_articles: int = MAX_ARTICLES_V1,
+    limits: Limits = NO_LIMITS,
 ) -> DataFrame:
     """First-generation harvest of one feed: (pos, url, title, content).
 
-    A stale article is left out but does not stop the feed. A full run keeps cards of any
-    age and moves the cut-off ten years back. The capped link list goes to the pages, so only
-    linked pages are parsed.
+    A stale article is left out but does not stop the feed. A full run, and one without
+    ``last_run``, keeps cards and articles of any age, or of ``limits.full_run_days``. Only the
+    newest snapshots of linked pages are parsed.
     """
-    mark = full_run_mark(as_of) if full_run or last_run is None else last_run
-    links = feed_links_v1(items, profile, as_of, mark, full_run, max_articles)
-    linked = pages.join(bounded_broadcast(links, max_articles), "url").select("pos", "url", "html")
+    mark = None if full_run else last_run
+    if mark is None and limits.full_run_days is not None:
+        mark = days_before(as_of, limits.full_run_days)
+    links = feed_links_v1(items, profile, as_of, mark, full_run, limits.articles_v1)
+    linked = latest_pages(pages, links.select("url")).join(links, "url").select("pos", "url", "html")
     read = page_facts_v1(linked, profile)
-    judged = computed_once(read, "is_recent", recency_v1("date_text", as_of, mark).is_recent)
-    return judged.filter("is_recent").select("pos", "url", "title", "content")
+    if mark is not None:
+        read = read.filter(recency_v1("date_text", as_of, mark).is_recent)
+    return read.select("pos", "url", "title", "content")

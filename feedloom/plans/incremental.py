@@ -32,11 +32,13 @@ def run_since_last(
     """Build and save what is newer than the last run, then record this run's start.
 
     The result is staged, so that deciding whether there is anything to save and saving it
-    do not compute it twice. The mark is written last and only if something was saved: a run
-    that fails is simply repeated.
+    do not compute it twice. The mark is written last and only if something was saved. ``save``
+    has to replace what an earlier try of the same run wrote; then a run that fails is simply
+    repeated. It continues from the last mark before its own start, so that a run repeated after
+    its mark was written gives the same again.
     """
     now = run_start if as_of is None else as_of
-    cut = Recency(now, "since_last", last_run_time(spark, state, now))
+    cut = Recency(now, "since_last", last_run_time(spark, state, now, before=run_start))
     found = stage(build(cut), "since-last")
     if not found.isEmpty():
         save(found)
@@ -56,19 +58,20 @@ def incremental_harvest(
     as_of: AsOf | None = None,
     skip_stored: bool = False,
 ) -> DataFrame:
-    """Harvest what is newer than the last run and append it to the store and the digest.
+    """Harvest what is newer than the last run into the store and the digest.
 
-    The cut-off reaches five minutes behind the mark, so an article may be stored twice;
-    ``skip_stored`` leaves out what the store holds.
+    Both keep one folder per run, which a repeated run replaces. The cut-off reaches five
+    minutes behind the mark, so an article may be stored by two runs; ``skip_stored`` leaves
+    out what other runs have stored.
     """
 
     def build(cut: Recency) -> DataFrame:
-        known = read_articles(spark, store) if skip_stored else None
+        known = read_articles(spark, store, without_run=run_start) if skip_stored else None
         return harvest(items, pages, profile, cut, dedup_against=known).articles
 
     def save(articles: DataFrame) -> None:
         if digest is not None:
-            write_digest_markdown(articles, render_markdown(profile.site_name), digest)
-        write_articles_json(articles, store)
+            write_digest_markdown(articles, render_markdown(profile.site_name), digest, run_start)
+        write_articles_json(articles, store, run_start)
 
     return run_since_last(spark, state, run_start, build, save, as_of)

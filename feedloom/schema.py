@@ -44,11 +44,13 @@ ARTICLE_V1 = _struct(("url", _STR), ("title", _STR), ("content", _STR))
 
 RUN_STATE = _struct(("last_run", _STR))
 
-FEED_OBSERVATION = _struct(("category", _STR), ("step", T.LongType()), ("ts_text", _STR))
+FEED_OBSERVATION = _struct(
+    ("category", _STR), ("run", T.LongType()), ("step", T.LongType()), ("ts_text", _STR), ("observed_at", T.TimestampType())
+)
 
 # One row of the flat element table of a page; ``idx``..``last`` spans its descendants. Text
-# ranges are [start, end) offsets in code points into ``inner_text`` (t0, t1; p0, p1 for the
-# parent) and ``walk_text`` (w0, w1).
+# ranges are [start, end) offsets in UTF-8 bytes into ``inner_text`` (t0, t1; p0, p1 for the
+# parent) and ``walk_text`` (w0, w1). ``in_row`` tells that a row of a card holds the element.
 DOM_ELEMENT = T.StructType(
     [
         T.StructField("idx", T.IntegerType()),
@@ -66,6 +68,7 @@ DOM_ELEMENT = T.StructType(
         T.StructField("p0", T.IntegerType()),
         T.StructField("p1", T.IntegerType()),
         T.StructField("scrollable", T.BooleanType()),
+        T.StructField("in_row", T.BooleanType()),
     ]
 )
 

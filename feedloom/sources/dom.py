@@ -19,7 +19,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from feedloom.functions.fixed import DATE_STRING_V1
+from feedloom.functions.fixed import CARD_ROW_CLASSES, DATE_STRING_V1
 from feedloom.schema import DOM
 
 # Workers get this module's code with the task, so it need not be installed there.
@@ -60,6 +60,10 @@ _HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _PAGES_PER_BATCH = 256
 
 
+def _size(text: str) -> int:
+    return len(text) if text.isascii() else len(text.encode("utf-8"))
+
+
 class _Page(HTMLParser):
     """Builds the element rows and texts of one page."""
 
@@ -82,7 +86,7 @@ class _Page(HTMLParser):
     # --- text ---------------------------------------------------------------------------
     def _emit(self, text: str) -> None:
         self.inner.append(text)
-        self.inner_len += len(text)
+        self.inner_len += _size(text)
 
     def _emit_pending(self) -> None:
         if self.breaks:
@@ -94,7 +98,7 @@ class _Page(HTMLParser):
 
     def _walk(self, text: str) -> None:
         self.walk.append(text)
-        self.walk_len += len(text)
+        self.walk_len += _size(text)
 
     def handle_data(self, data: str) -> None:
         row, tag, hidden = self.open[-1] if self.open else (-1, "", False)
@@ -181,7 +185,7 @@ class _Page(HTMLParser):
             self._resolved(href) if tag == "a" else None,
             at.get("data-testid"), at.get("dir"),
             self.inner_len, self.inner_len, self.walk_len, self.walk_len,
-            parent[0], at.get("scrollable") == "true",
+            parent[0], at.get("scrollable") == "true", self._in_row(parent[0]),
         ])
         if tag not in _VOID:
             if tag in self.inside:
@@ -191,6 +195,12 @@ class _Page(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
+    def _in_row(self, parent: int) -> bool:
+        if parent < 0:
+            return False
+        row = self.rows[parent]
+        return row[14] or (row[2] == "div" and set(CARD_ROW_CLASSES) <= set((row[3] or "").split()))
+
     def _resolved(self, href: str | None) -> str | None:
         if href is None:
             return None

@@ -6,58 +6,77 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.functions import page
-from feedloom.functions.fixed import EXTERNAL_TEXT_CHARS
 from feedloom.functions.text import clean_noise, truncate
+from feedloom.functions.urls import top_links
+from feedloom.limits import NO_LIMITS, Limits
 from feedloom.profile import SiteProfile
 from feedloom.sources.dom import parse_pages
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan, spread over the cores when the input is too small to split.
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Parquet scan; ``partitions`` deals the rows out anew, for files of one row group each."""
+    table = spark.read.parquet(path)
+    return table if partitions is None else table.repartition(partitions)
+
+
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Page snapshots without bot-challenge pages."""
+    return read_table(spark, path, partitions).filter(~page.is_challenge_page("html"))
+
 
-    Large inputs arrive in more splits than cores and are left as they are: no shuffle.
+SNAPSHOT_ORDER = ("fetched_at", "page_id")
+
+
+def latest_pages(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """One snapshot per url: the last fetched, then the largest page_id, then the largest hash.
+
+    With ``urls``, a table of distinct urls, only their pages. The newest snapshot is found on
+    narrow rows, and the html is read for urls that are asked for; where ``pages`` is bucketed by
+    url, neither step shuffles it.
     """
-    table = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    order = [c for c in SNAPSHOT_ORDER if c in pages.columns]
+    asked = pages if urls is None else pages.join(urls.select("url"), "url", "left_semi")
+    if order:
+        newest = asked.groupBy("url").agg(F.max(F.struct(*order)).alias("_newest"))
+        asked = asked.join(newest, "url").filter(F.struct(*order).eqNullSafe(F.col("_newest"))).drop("_newest")
+    rest = [c for c in pages.columns if c != "url"]
+    return asked.groupBy("url").agg(
+        F.max_by(F.struct(*rest), F.xxhash64("html")).alias("_page")
+    ).select("url", *[F.col(f"_page.{c}").alias(c) for c in rest])
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Page snapshots (page_id, url, html) without bot-challenge pages."""
-    return read_table(spark, path).filter(~page.is_challenge_page("html"))
+ALL_FACTS = ("title", "date_text", "content", "related_content", "source_content", "top_links")
 
 
-def page_facts(pages: DataFrame, profile: SiteProfile) -> DataFrame:
-    """One row per page with everything the harvest needs, parsed once.
+def page_facts(
+    pages: DataFrame, profile: SiteProfile, fields: tuple[str, ...] = ALL_FACTS, limits: Limits = NO_LIMITS
+) -> DataFrame:
+    """One row per page with its url and the ``fields`` asked for.
 
-    Stage the result (``operators.staging.stage``) when several joins read it: each then
-    scans only its own columns of the staged table and no page is parsed twice. Texts are
-    cleaned here, once per page, because many stories may link to the same page;
-    ``source_content`` is NULL for a page without paragraphs.
+    ``raw_content`` is the article text before cleaning. ``source_content`` is NULL for a page
+    without paragraphs. ``top_links`` are the few links whose pages are looked up.
     """
-    paragraphs = F.col("paragraphs")
+    source = page.paragraphs_text()
+    if limits.source_chars is not None:
+        source = truncate(source, limits.source_chars)
+    raw = {
+        "title": lambda: page.article_title(profile.site_name),
+        "date_text": lambda: page.page_date_text(limits.date_search_chars),
+        "raw_content": page.article_text_raw,
+        "content": page.article_text_raw,
+        "related_content": page.related_text_raw,
+        "source_content": lambda: source,
+        "top_links": lambda: top_links(page.page_links(), profile),
+    }
+    cleaned = {
+        "content": clean_noise("content"),
+        "related_content": clean_noise("related_content"),
+        "source_content": F.when(F.col("source_content") != "", clean_noise("source_content")),
+    }
     return (
-        parse_pages(pages)
-        .select(
-            "url",
-            page.article_title(profile.site_name).alias("title"),
-            page.page_date_text().alias("date_text"),
-            page.article_text_raw().alias("content"),
-            page.related_text_raw().alias("related_content"),
-            page.paragraphs_text().alias("paragraphs"),
-            page.page_links().alias("links"),
-        )
-        .select(
-            "url",
-            "title",
-            "date_text",
-            clean_noise("content").alias("content"),
-            clean_noise("related_content").alias("related_content"),
-            F.when(
-                paragraphs != "", clean_noise(truncate(paragraphs, EXTERNAL_TEXT_CHARS))
-            ).alias("source_content"),
-            "links",
-        )
+        parse_pages(pages.select("url", "html"))
+        .select("url", *[raw[name]().alias(name) for name in fields])
+        .select("url", *[cleaned.get(name, F.col(name)).alias(name) for name in fields])
     )
 
 
@@ -71,10 +90,12 @@ def page_facts_v1(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     )
 
 
-def extract_cards(pages: DataFrame, profile: SiteProfile, version: int = 2) -> DataFrame:
-    """Feed cards of feed-page snapshots: (url, pos, href, timestamp)."""
+def extract_cards(
+    pages: DataFrame, profile: SiteProfile, version: int = 2, keep: tuple[str, ...] = ("url",)
+) -> DataFrame:
+    """Feed cards of feed-page snapshots: (pos, href, timestamp) after the columns to ``keep``."""
     cards = (page.feed_cards if version == 2 else page.feed_cards_v1)(profile.story_paths)
-    return parse_pages(pages).select("url", F.inline(cards))
+    return parse_pages(pages).select(*keep, F.inline(cards))
 
 
 def extract_links(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feedloom.functions.dates import AsOf, instant
 from feedloom.schema import ARTICLE, RUN_STATE
@@ -21,34 +22,55 @@ def _read_json(spark: SparkSession, schema, path: str, mode: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """Articles stored so far; no rows when there is no store yet.
+_STORED = T.StructType([*ARTICLE.fields, T.StructField("run", T.StringType())])
+
+
+def run_name(run_start: datetime) -> str:
+    """Folder name of a run; names sort in order of time."""
+    return run_start.strftime("%Y%m%dT%H%M%S")
+
+
+def read_articles(spark: SparkSession, path: str, without_run: datetime | None = None) -> DataFrame:
+    """Articles stored so far, bar those of one run; no rows when there is no store yet.
 
     An unreadable store is an error: starting over would lose what it holds.
     """
-    return _read_json(spark, ARTICLE, path, "FAILFAST")
+    stored = _read_json(spark, _STORED, path, "FAILFAST")
+    if without_run is not None:
+        stored = stored.filter(F.col("run") != run_name(without_run))
+    return stored.drop("run")
+
 
+def write_articles_json(articles: DataFrame, path: str, run_start: datetime) -> None:
+    """Put the articles of a run into the store, one folder per run and category.
 
-def write_articles_json(articles: DataFrame, path: str) -> None:
-    """Append articles to the store, one folder per category."""
+    A repeated run replaces what it wrote before.
+    """
     named = articles.select(*[f.name for f in ARTICLE.fields])
-    named.write.mode("append").partitionBy("category").json(path)
+    named.write.mode("overwrite").partitionBy("category").json(f"{path}/run={run_name(run_start)}")
 
 
 def _in_feed_order(articles: DataFrame) -> DataFrame:
-    """Globally ordered by category and feed position, large categories over many tasks."""
-    return articles.repartitionByRange("cat_idx", "pos").sortWithinPartitions("cat_idx", "pos")
+    """Globally ordered by category and feed position, large categories over many tasks.
 
+    Within a task the name of the category comes first, as the writer wants it for its folders:
+    it would otherwise sort by name alone and lose the order of positions.
+    """
+    return articles.repartitionByRange("cat_idx", "pos").sortWithinPartitions("category", "cat_idx", "pos")
+
+
+def write_digest_markdown(articles: DataFrame, block: Column, path: str, run_start: datetime) -> None:
+    """Write the rendered blocks of a run; order is run, category, then file name and line.
 
-def write_digest_markdown(articles: DataFrame, block: Column, path: str) -> None:
-    """Append the rendered blocks; file names within a category sort in feed order."""
+    A repeated run replaces what it wrote before.
+    """
     line = F.regexp_replace(block, r"\n\z", "")  # the sink ends every row with a newline
     (
         _in_feed_order(articles)
         .select("category", line.alias("value"))
-        .write.mode("append")
+        .write.mode("overwrite")
         .partitionBy("category")
-        .text(path)
+        .text(f"{path}/run={run_name(run_start)}")
     )
 
 
@@ -59,21 +81,22 @@ def write_records_text(articles: DataFrame, record: Column, path: str) -> None:
     ordered.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def read_last_run(spark: SparkSession, path: str, as_of: AsOf) -> DataFrame:
+def read_last_run(spark: SparkSession, path: str, as_of: AsOf, before: datetime | None = None) -> DataFrame:
     """One row with the latest ``last_run``; a day before ``as_of`` if absent or unreadable.
 
-    A zone in the stored text is dropped, not converted: the clock time counts as UTC.
+    With ``before``, the latest of the marks before that time. A zone in the stored text is dropped, not converted: the clock time counts as UTC.
     """
     stored = F.regexp_replace("last_run", r"(Z|[+-]\d{2}:?\d{2})$", "").try_cast("timestamp_ntz")
     default = instant(as_of) - F.expr("INTERVAL 24 HOURS")
-    return _read_json(spark, RUN_STATE, path, "PERMISSIVE").agg(
-        F.coalesce(F.max(stored), default).alias("last_run")
-    )
+    marks = _read_json(spark, RUN_STATE, path, "PERMISSIVE").select(stored.alias("mark"))
+    if before is not None:
+        marks = marks.filter(F.col("mark") < instant(before))
+    return marks.agg(F.coalesce(F.max("mark"), default).alias("last_run"))
 
 
-def last_run_time(spark: SparkSession, path: str, as_of: AsOf) -> datetime:
+def last_run_time(spark: SparkSession, path: str, as_of: AsOf, before: datetime | None = None) -> datetime:
     """``read_last_run`` as a value, so that it can be pushed into filters."""
-    return read_last_run(spark, path, as_of).first()["last_run"]
+    return read_last_run(spark, path, as_of, before).first()["last_run"]
 
 
 def save_last_run(spark: SparkSession, run_start: datetime, path: str) -> None:

@@ -1,7 +1,8 @@
-"""Streaming form of the feed stop: the scan state of each category survives batches."""
+"""Streaming form of the feed stop: the scan state of each run of a feed survives batches."""
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -13,13 +14,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from feedloom.functions.dates import AsOf, recency
 from feedloom.functions.fixed import UNKNOWN_LABEL
-from feedloom.operators.stops import MAX_STEPS, MAX_STUCK
+from feedloom.operators.stops import FEED, MAX_STUCK
 
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_OUTPUT = "category string, steps bigint, reason string, reached_end boolean"
-_STATE = "last string, stuck int, step bigint, done boolean"
+_OUTPUT = "category string, run bigint, steps bigint, reason string, reached_end boolean"
+_STATE = "last string, stuck int, step bigint, done boolean, ends_at bigint, held string"
 
 
 def feed_stop_stream(
@@ -28,54 +29,75 @@ def feed_stop_stream(
     mode: str = "last_24h",
     last_run: AsOf | None = None,
     custom_hours: int = 24,
-    max_steps: int = MAX_STEPS,
+    max_steps: int | None = None,
+    patience: str = "10 minutes",
 ) -> DataFrame:
-    """Stream of stops: one row per category as soon as its scan ends.
+    """Stream of stops: one row per feed and run as soon as its scan ends.
 
-    ``observations`` is a stream of (category, step, ts_text). Dates are judged before the
-    state, in Spark expressions, and steps beyond the limit never reach it: a category costs
-    at most ``max_steps`` rows however busy it is. Later observations of a category that has
-    stopped are ignored.
+    ``observations`` is a stream of (category, run, step, ts_text, observed_at) with steps from 1 and
+    observed_at a TIMESTAMP. Steps may arrive in any order and in any batch: those that come
+    early are held back until the ones before have come, and rows may be ``patience`` late. A run
+    that shows nothing new for that long after, by the watermark, ends as ``no_more``; what it holds back is looked at then, and
+    its state is given up. Until then later rows of an ended run are ignored. Rows without a
+    category only move the watermark.
     """
     verdict = recency("ts_text", as_of, mode, last_run, custom_hours)
-    limit, stuck_limit = max_steps, MAX_STUCK
+    stuck_limit = MAX_STUCK
+    wait_ms = int(pd.Timedelta(patience).total_seconds() * 1000)
 
-    def scan(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("step")
-        last, stuck, step, done = state.get if state.exists else (None, 0, 0, False)
-        for row in rows.itertuples(index=False):
-            if done:
+    def scan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, stuck, step, done, ends_at, text = state.get if state.exists else (None, 0, 0, False, 0, "{}")
+        held = {int(k): v for k, v in json.loads(text).items()}
+        if pd.isna(key[0]):
+            return
+        expired = state.hasTimedOut
+        for rows in batches:
+            for row in rows.itertuples(index=False):
+                ends_at = max(ends_at, int(row.observed_ms) + wait_ms)
+                if not done and row.step > step:
+                    held.setdefault(int(row.step), (row.ts_text or None, bool(row.too_old)))
+        reason = None
+        while held and not done and reason is None:
+            following = min(held)
+            if following != step + 1 and not expired:
                 break
-            step, reason = row.step, None
-            value = row.ts_text or None
+            step = following
+            value, too_old = held.pop(step)
             changed = value is not None and value != last
             stuck = 0 if changed else stuck + 1
             last = value if changed else last
             if stuck >= stuck_limit:
                 reason = "stuck"
-            elif value is not None and row.too_old:
+            elif value is not None and too_old:
                 reason = "cutoff"
-            elif step >= limit:
+            elif max_steps is not None and step >= max_steps:
                 reason = "max_steps"
-            if reason:
-                done = True
-                yield pd.DataFrame({
-                    "category": [key[0]], "steps": [step], "reason": [reason],
-                    "reached_end": [reason == "cutoff"],
-                })
-        state.update((last, int(stuck), int(step), done))
+        if reason is None and expired and not done:
+            reason = "no_more"
+        if reason is not None:
+            done, held = True, {}
+            yield pd.DataFrame({
+                "category": [key[0]], "run": [key[1]], "steps": [step], "reason": [reason], "reached_end": [reason == "cutoff"],
+            })
+        if expired:
+            state.remove()
+        else:
+            state.update((last, int(stuck), int(step), bool(done), int(ends_at), json.dumps(held)))
+            state.setTimeoutTimestamp(max(ends_at, state.getCurrentWatermarkMs() + 1))
 
+    rows = observations.withWatermark("observed_at", patience)
+    if max_steps is not None:
+        rows = rows.filter(F.col("step") <= max_steps)
     return (
-        observations.filter(F.col("step") <= max_steps)
-        .withColumn("verdict", verdict)
+        rows.withColumn("verdict", verdict)
         .select(
-            "category",
+            *FEED,
             F.col("step").cast("bigint").alias("step"),
             F.coalesce("ts_text", F.lit("")).alias("ts_text"),
-            (~F.col("verdict.is_recent") & (F.col("verdict.label") != UNKNOWN_LABEL)).alias("too_old"),
+            F.coalesce(~F.col("verdict.is_recent") & (F.col("verdict.label") != UNKNOWN_LABEL), F.lit(False)).alias("too_old"),
+            F.unix_millis("observed_at").alias("observed_ms"),
+            "observed_at",
         )
-        .groupBy("category")
-        .applyInPandasWithState(scan, _OUTPUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+        .groupBy(*FEED)
+        .applyInPandasWithState(scan, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
     )

@@ -8,28 +8,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from feedloom.functions.dates import AsOf, parse_any_date
-from feedloom.functions.fixed import RECENCY_OVERLAP_MINUTES
+from feedloom.functions.dates import AsOf, recency
 from feedloom.functions.urls import absolutize, contains_any
+from feedloom.operators.feed import is_fresh
 from feedloom.profile import SiteProfile
 
 
-def dated_links(items: DataFrame, profile: SiteProfile, as_of: AsOf | str) -> DataFrame:
-    """Story links of a stream of feed items, once per (category, url).
+def fresh_links(
+    items: DataFrame,
+    profile: SiteProfile,
+    mode: str = "last_24h",
+    last_run: AsOf | None = None,
+    custom_hours: int = 24,
+    full_run: bool = False,
+    memory: str = "1 day",
+) -> DataFrame:
+    """Fresh story links of a stream of feed items, once per (category, url).
 
-    ``as_of`` may name a timestamp column, the time the item was observed. Items up to five
-    minutes behind the newest are accepted. State is one row per link and is dropped as the
-    watermark passes it.
+    ``items`` is (category, href, timestamp, observed_at), with observed_at a TIMESTAMP: when the card
+    was seen. Cards are judged against that time by the same rules as in ``feed_links``, those
+    without a date are kept, and how old a story is has nothing to do with lateness. The watermark
+    runs on observed_at, so state is one row per link seen within ``memory``; a link seen again
+    after that is reported again.
     """
-    observed = F.col(as_of) if isinstance(as_of, str) and as_of in items.columns else as_of
-    url = absolutize(F.col("href"), profile.base_url)
+    stories = items.withColumn("url", absolutize(F.col("href"), profile.base_url)).filter(
+        contains_any(F.col("url"), profile.story_paths)
+    )
+    if not full_run:
+        stories = stories.filter(is_fresh(recency("timestamp", F.col("observed_at"), mode, last_run, custom_hours)))
     return (
-        items.withColumn("url", url)
-        .filter(contains_any(F.col("url"), profile.story_paths))
-        .withColumn("pub_ts", parse_any_date("timestamp", observed).cast("timestamp"))
-        .filter(F.col("pub_ts").isNotNull())
-        .withWatermark("pub_ts", f"{RECENCY_OVERLAP_MINUTES} minutes")
+        stories.withWatermark("observed_at", memory)
         .dropDuplicatesWithinWatermark(["category", "url"])
+        .select("category", "url", "observed_at")
     )
 
 

@@ -5,6 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
+from feedloom.operators.staging import release  # noqa: E402
 from workloads.check import connect, local_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,6 +15,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     session = local_session("4")
     yield session
+    release(session)
     session.stop()
 
 

@@ -9,16 +9,19 @@ from feedloom.functions.render import render_markdown, render_record_v1
 from feedloom.operators.feed import feed_links, feed_links_v1
 from feedloom.operators.nest import linked_pages, nest_linked_pages
 from feedloom.operators.stops import feed_stop, feed_stop_v1, take_until_stale
-from feedloom.plans.harvest import Recency, harvest
+from feedloom.functions.urls import top_links
+from feedloom.limits import CLASSIC_LIMITS, NO_LIMITS
+from feedloom.plans.harvest import Recency, harvest, harvest_v1
 from feedloom.plans.incremental import incremental_harvest
 from feedloom.schema import ARTICLE
+from feedloom.sources.pages import page_facts
 from feedloom.sources.store import (
     last_run_time, read_articles, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
 )
 
 SITE = SiteProfile("https://feed.example", "feed.example", "Feed Example", categories=(("A", "a"), ("B", "b")))
 NOW = datetime(2026, 4, 10, 12)
-OBS = "category string, step long, ts_text string"
+OBS = "category string, run long, step long, ts_text string"
 
 
 def test_links_first_fresh_card_counts(spark):
@@ -45,12 +48,12 @@ def test_take_until_stale_equals_loop(spark):
             if stale:
                 break
             expected.add((g, p))
-    for groups in (None, 5):
-        assert {(r.g, r.p) for r in take_until_stale(df, "g", "p", "stale", groups).collect()} == expected
+    assert {(r.g, r.p) for r in take_until_stale(df, "g", "p", "stale").collect()} == expected
 
 
 def _stop_loop(values, max_steps, generation):
     last, stuck, nulls = None, 0, 0
+    max_steps = max_steps or 10**9
     for step, v in enumerate(values[:max_steps], 1):
         if v:
             if v == last:
@@ -82,12 +85,35 @@ def test_feed_stop_equals_loop(spark):
         if rng.random() < 0.5:
             values[rng.randrange(len(values))] = "9 days ago"
         feeds[f"f{i:03}"] = values
-    rows = [(k, s, v) for k, vs in feeds.items() for s, v in enumerate(vs, 1)]
+    rows = [(k, i % 3, s, v) for i, (k, vs) in enumerate(feeds.items()) for s, v in enumerate(vs, 1)]
     obs = spark.createDataFrame(rows, OBS).repartition(4)
-    for generation, df in ((2, feed_stop(obs, NOW, max_steps=18)), (1, feed_stop_v1(obs, NOW, NOW - timedelta(days=1), max_steps=18))):
-        got = {r.category: (r.steps, r.reason, r.reached_end) for r in df.collect()}
-        want = {k: _stop_loop(v, 18, generation) for k, v in feeds.items()}
-        assert got == {k: (s, why, why == "cutoff") for k, (s, why) in want.items()}
+    for limit in (None, 18):
+        for generation, df in ((2, feed_stop(obs, NOW, max_steps=limit)), (1, feed_stop_v1(obs, NOW, NOW - timedelta(days=1), max_steps=limit))):
+            got = {r.category: (r.steps, r.reason, r.reached_end) for r in df.collect()}
+            want = {k: _stop_loop(v, limit, generation) for k, v in feeds.items()}
+            assert got == {k: (s, why, why == "cutoff") for k, (s, why) in want.items()}
+
+
+def test_runs_of_a_feed_are_apart(spark):
+    rows = [("A", run, step, "1h ago" if run else f"{step}h ago") for run in (0, 1) for step in range(1, 9)]
+    got = {r.run: (r.steps, r.reason) for r in feed_stop(spark.createDataFrame(rows, OBS), NOW).collect()}
+    assert got == {0: (8, "no_more"), 1: (6, "stuck")}
+
+
+def test_no_default_limits(spark):
+    """Nothing is cut unless a limit is asked for; the classic ones are a preset."""
+    items = spark.range(25_000).select(
+        F.lit("A").alias("category"), F.col("id").alias("pos"), F.concat(F.lit("/page/"), "id").alias("href"), F.lit(None).cast("string").alias("timestamp")
+    )
+    assert feed_links_v1(items, SITE, NOW).count() == 25_000
+    assert feed_links_v1(items, SITE, NOW, max_articles=CLASSIC_LIMITS.articles_v1).count() == 10_000
+    old = spark.createDataFrame([("A", 1, "/page/x", "9 years ago"), ("A", 2, "/page/y", "Jan 3, 2001")], "category string, pos long, href string, timestamp string")
+    assert feed_links_v1(old, SITE, NOW, full_run=True).count() == 2
+    long = "<article>" + "<p>A paragraph with well over thirty characters.</p>" * 500 + "<p>3 days ago</p></article>"
+    pages = spark.createDataFrame([("u", long)], "url string, html string")
+    facts = lambda limits: page_facts(pages, SITE, ("date_text", "source_content"), limits).first()
+    assert facts(NO_LIMITS).date_text == "3 days ago" and len(facts(NO_LIMITS).source_content) > 20_000
+    assert facts(CLASSIC_LIMITS).date_text == "Unknown" and len(facts(CLASSIC_LIMITS).source_content) <= 4_000
 
 
 def _page(title, body, date="1h ago"):
@@ -133,6 +159,31 @@ def test_harvest(spark):
     assert summary == {"A": (4, 1), "B": (1, 1), None: (5, 2)}
 
 
+def test_newest_snapshot_counts(spark):
+    items, pages = _site(spark)
+    rows = [(i, r.url, r.html) for i, r in enumerate(pages.collect())]
+    rows += [(i - 1000, u, h.replace("Headline of", "Older").replace("1h ago", "9 days ago")) for i, u, h in rows]
+    doubled = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for table in (doubled, doubled.withColumn("fetched_at", F.lit(NOW)), doubled.union(doubled)):
+        got = harvest(items, table, SITE, Recency(NOW)).articles.collect()
+        assert sorted((r.category, r.title, len(r.related_stories), len(r.external_sources)) for r in got) == [
+            ("A", "Headline of a1", 2, 1), ("B", "Headline of b1", 0, 0)
+        ]
+    v1 = harvest_v1(items.filter("category = 'A'"), doubled, SITE, NOW, full_run=True)
+    assert sorted(r.title for r in v1.collect()) == ["Headline of a1", "Headline of a2", "Headline of a3"]
+
+
+def test_unlinked_pages_are_not_parsed(spark):
+    """The scan for pages is cut down by a semi-join below each parser."""
+    items, pages = _site(spark)
+    extra = spark.range(2_000).select(F.concat(F.lit("https://feed.example/never/"), "id").alias("url"), F.lit("<p>x</p>").alias("html"))
+    result = harvest(items, pages.union(extra), SITE, Recency(NOW)).articles
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "LeftSemi" in below and plan.count("MapInArrow") == 1
+    assert result.count() == 2
+
+
 def test_incremental_harvest(spark, tmp_path):
     items, pages = _site(spark)
     store, state, digest = (str(tmp_path / n) for n in ("store", "state", "digest"))
@@ -141,10 +192,12 @@ def test_incremental_harvest(spark, tmp_path):
     incremental_harvest(spark, items, pages, SITE, NOW, store, state, digest)
     assert last_run_time(spark, state, NOW) == NOW
     assert read_articles(spark, store).count() == 2
-    again = incremental_harvest(spark, items, pages, SITE, NOW, store, state, as_of=NOW, skip_stored=True)
-    assert again.count() == 0 and read_articles(spark, store).count() == 2
+    again = incremental_harvest(spark, items, pages, SITE, NOW, store, state, digest, as_of=NOW, skip_stored=True)
+    assert again.count() == 2 and read_articles(spark, store).count() == 2  # a repeated run replaces itself
+    later = incremental_harvest(spark, items, pages, SITE, NOW + timedelta(minutes=1), store, state, digest, as_of=NOW, skip_stored=True)
+    assert later.count() == 0 and read_articles(spark, store).count() == 2
     text = "\n".join(r.value for r in spark.read.text(digest).filter("category = 'B'").collect())
-    assert "# [CATEGORY] B" in text and "## [NEWS] Headline of b1" in text
+    assert text.count("# [CATEGORY] B") == 1 and "## [NEWS] Headline of b1" in text
     save_last_run(spark, NOW + timedelta(hours=1), state)
     assert last_run_time(spark, state, NOW) == NOW + timedelta(hours=1)
 
@@ -161,8 +214,8 @@ def test_digest_order_and_text(spark, tmp_path):
     rows = [("u%d" % i, "T%d" % i, "c", "d", "A", [], [], ([], [], []), 0, i) for i in range(50)]
     schema = ", ".join([ARTICLE.simpleString()[7:-1], "cat_idx:int", "pos:long"])
     articles = spark.createDataFrame(rows, schema).repartition(5)
-    write_digest_markdown(articles, render_markdown("Feed Example"), str(tmp_path / "md"))
-    files = sorted((tmp_path / "md" / "category=A").glob("part-*"))
+    write_digest_markdown(articles, render_markdown("Feed Example"), str(tmp_path / "md"), NOW)
+    files = sorted((tmp_path / "md" / "run=20260410T120000" / "category=A").glob("part-*"))
     text = "".join(f.read_text() for f in files)
     heads = [line for line in text.splitlines() if line.startswith("## [NEWS]")]
     assert heads == [f"## [NEWS] T{i}" for i in range(50)]
@@ -170,7 +223,7 @@ def test_digest_order_and_text(spark, tmp_path):
     assert text.startswith(block)
     write_records_text(articles, render_record_v1(NOW), str(tmp_path / "txt"))
     assert spark.read.text(str(tmp_path / "txt")).filter("value like 'TITULO: %'").count() == 50
-    write_articles_json(articles, str(tmp_path / "json"))
+    write_articles_json(articles, str(tmp_path / "json"), NOW)
     assert read_articles(spark, str(tmp_path / "json")).count() == 50
 
 
@@ -207,13 +260,13 @@ def test_hot_linked_page_is_split(spark):
         url = F.concat(F.lit("https://feed.example/discover/"), target)
         link = F.struct(F.lit("Related story").alias("title"), F.lit("/discover/x").alias("href"), url.alias("url"))
         articles = spark.range(0, n, 1, 8).select(
-            F.lit("A").alias("category"), F.concat(F.lit("https://feed.example/page/"), "id").alias("url"), F.array(link).alias("links")
+            F.lit("A").alias("category"), F.concat(F.lit("https://feed.example/page/"), "id").alias("url"), top_links(F.array(link), SITE).alias("top_links")
         )
         facts = spark.range(0, n, 1, 8).select(
             F.concat(F.lit("https://feed.example/discover/"), "id").alias("url"), F.lit("1h ago").alias("date_text"),
             F.lit("text").alias("related_content"), F.lit(None).cast("string").alias("source_content"),
         )
-        linked = linked_pages(articles, facts, SITE, NOW)
+        linked = linked_pages(articles, facts, NOW)
         assert len(linked.collect()) == n
         assert "skew=true" in linked._jdf.queryExecution().executedPlan().toString()
         nested = nest_linked_pages(articles, linked)

@@ -39,7 +39,9 @@ def test_rich_page(spark):
         "one\ntwo\na\nb\n1 2"  # the row with nothing but a number counts as noise
     )
     assert facts.source_content == "Para one that is long enough to be kept here."
-    assert [(k.title, k.url) for k in facts.links] == [
+    assert [(k.title, k.url, k.kind) for k in facts.top_links] == [("5% ago", "https://feed.example/discover/z", "related")]
+    links = parse_pages(pages).select(page.page_links()).first()[0]
+    assert [(k.title, k.url) for k in links] == [
         ("nav", "https://feed.example/x"), ("5% ago", "https://feed.example/discover/z")
     ]
 
@@ -77,7 +79,7 @@ def test_titles(spark, html, title, title_v1):
         ("<p>Publicado</p><p>6 abr</p>", "Publicado\n\n6 abr"),
         ("<p>Publicado el 6 de abril de 2026 aqui</p>", "Publicado el 6 de abril de 2026"),
         ("<p>On 6 de abril de 2026.</p>", "6 de abril de 2026"),
-        ("<p>" + "x " * 2600 + "3 days ago</p>", "Unknown"),  # beyond the first 5,000 characters
+        ("<p>" + "x " * 2600 + "3 days ago</p>", "3 days ago"),  # however far down it stands
         ("<p>nothing</p>", "Unknown"),
     ],
 )

@@ -5,14 +5,17 @@ from __future__ import annotations
 import glob
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
 import pandas as pd
 from pyspark.sql import SparkSession
 
+from feedloom.operators.staging import release
 from workloads.oracles import ORACLES
 from workloads.queries import QUERIES
+from workloads.views import SPREAD
 
 
 _SPARK_TYPES = {
@@ -29,6 +32,8 @@ def local_session(cores: str = "8") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='feedloom-')}")
+        .config(SPREAD, cores)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -85,6 +90,7 @@ def main(sf_dir: str, names: list[str]) -> int:
             problem = f"{type(error).__name__}: {str(error)[:800]}"
         failed += problem is not None
         print(f"{'ok  ' if problem is None else 'FAIL'} {name} {time.time() - start:.1f}s {problem or ''}", flush=True)
+    release(spark)
     return failed
 
 

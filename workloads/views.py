@@ -133,7 +133,8 @@ def external_url(page: str) -> str:
     return f"concat('https://press', {page} % 7, '.example/story/', {page})"
 
 
-# The dated part of a page by page_id % 8, as (tag before, text, tag after); NULL text: none.
+# The dated part of a page by page_id % 8, as (tag before, text, tag after); NULL text: none. That
+# of page_id % 8 = 6 stands at the end of the article, the others at its start.
 DATE_MARKUP = (
     ('<div class="byline"><time>', "concat(age_h + 1, ' hours ago')", "</time></div>"),
     ('<div class="row"><span class="truncate">$12.50 1 hour ago</span></div>'
@@ -159,12 +160,12 @@ def headline_markup() -> str:
     )
 
 
-def date_markup(d: Dialect) -> str:
+def date_markup(d: Dialect, late: bool) -> str:
     branches = " ".join(
         f"WHEN {i} THEN concat('{before}', {text.format(div=d.div)}, '{after}')"
-        for i, (before, text, after) in enumerate(DATE_MARKUP)
+        for i, (before, text, after) in enumerate(DATE_MARKUP) if (i == 6) == late
     )
-    return f"CASE page_id % 8 {branches} END"
+    return f"CASE page_id % 8 {branches} ELSE '' END"
 
 
 def links_markup() -> str:
@@ -187,8 +188,8 @@ def story_pages(d: Dialect) -> str:
     return f"""
 SELECT page_id, {story_url('page_id')} AS url,
   replace(replace(replace(html,
-    '<article>', concat({headline_markup()}, '<article>', {date_markup(d)})),
-    '</article>', concat('{NOISE_MARKUP}', {links_markup()}, '</article>')),
+    '<article>', concat({headline_markup()}, '<article>', {date_markup(d, late=False)})),
+    '</article>', concat({date_markup(d, late=True)}, '{NOISE_MARKUP}', {links_markup()}, '</article>')),
     '</title>', ' - Feed Example</title>') AS html
 FROM ({numbered_pages(d)}) s"""
 
@@ -238,25 +239,73 @@ SELECT doc_id, concat({line(0)}, {nl}, text, {nl}, {nl}, '   ', {nl}, {line(3)},
 FROM {d.table.format('documents')}"""
 
 
-def feed_observations(d: Dialect, steps: int) -> str:
-    """(category, step, ts_text): what each feed shows while scrolling, with repeats and blanks.
+def feed_observations(d: Dialect) -> str:
+    """(category, run, step, ts_text): what each feed shows while scrolling, with repeats and blanks.
 
-    ``repeat`` grows along the categories, so that some feeds get stuck and others reach old
-    dates. Only the newest ``steps`` events of a category can ever be shown.
+    Every event is an observation; the runs of a feed are the users. Repeats differ by category and
+    run, so that some feeds get stuck, some reach old dates and some simply end.
     """
-    length = "length(category) % 4 + 1"
+    length = "((length(category) + run) % 7 + 1)"
     return f"""
-SELECT category, step, CASE WHEN step % 7 = 0 THEN NULL
+SELECT category, run, step, CASE WHEN step % 7 = 0 THEN NULL
     WHEN category = 'error' AND step > 12 THEN 'somewhere'
-    ELSE concat((step {d.div} ({length})) * 2 + 1, ' hours ago') END AS ts_text
-FROM (SELECT event_type AS category,
-        CAST(row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS BIGINT) AS step
-      FROM {d.table.format('events')}) o
-WHERE step <= {steps}"""
+    ELSE concat((step {d.div} {length}) * 2 + 1, ' hours ago') END AS ts_text
+FROM (SELECT event_type AS category, user_id AS run,
+        CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) AS BIGINT) AS step
+      FROM {d.table.format('events')}) o"""
+
+
+FEED_STEPS = 10
+
+
+def feed_snapshots(d: Dialect) -> str:
+    """(category, run, step, hours, html): the pages as snapshots of five feeds, ten steps a run."""
+    names = ", ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(SITE.categories)).replace(", WHEN", " WHEN")
+    return f"""
+SELECT category, run, step, hours, replace(html, '</article>',
+  concat('<div><time>', hours, ' hours ago</time></div></article>')) AS html
+FROM (SELECT *, (step {d.div} (run % 6 + 1)) * 4 + 1 AS hours
+      FROM (SELECT CASE page_id % 5 {names} END AS category, page_id {d.div} {5 * FEED_STEPS} AS run,
+              page_id % {5 * FEED_STEPS} {d.div} 5 + 1 AS step, html FROM {d.table.format('pages')}) p) q"""
+
+
+def feed_pages(d: Dialect) -> str:
+    """(page_id, url, html): the card pages as snapshots of the five feeds and of a page that is none."""
+    names = " ".join(f"WHEN {i} THEN '{path}'" for i, (_, path) in enumerate(SITE.categories))
+    return f"""
+SELECT page_id, concat('https://feed.example/discover/', CASE page_id % 6 {names} ELSE 'elsewhere' END) AS url, html
+FROM ({card_pages(d)}) c"""
+
+
+def snapshot_pages(d: Dialect) -> str:
+    """(page_id, url, html, fetched_at): the stories with older and with blocked snapshots besides."""
+    now = d.literal(AS_OF)
+    return f"""
+SELECT page_id, url, html, {now} AS fetched_at FROM ({story_pages(d)}) s
+UNION ALL SELECT page_id + 1000000000, url, replace(html, '<article>', '<article><h1>An older headline</h1><time>9 days ago</time>'),
+  {now} - {d.hours.format('24')} FROM ({story_pages(d)}) s WHERE page_id % 3 = 0
+UNION ALL SELECT page_id + 2000000000, url, '<title>Just a moment...</title>', {now} + {d.hours.format('1')}
+FROM ({story_pages(d)}) s WHERE page_id % 4 = 1"""
+
+
+def bare_pages(d: Dialect) -> str:
+    """(page_id, url, html): the pages without an element that marks the content."""
+    return f"""
+SELECT page_id, url, replace(replace(html, '<article>', '<div>'), '</article>', '</div>') AS html
+FROM {d.table.format('pages')}"""
+
+
+SPREAD = "spark.feedloom.spread"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Each is one file of one row group, so a session may ask to spread its rows."""
+    spread = spark.conf.get(SPREAD, None)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", int(spread) if spread else None)
 
 
 def read(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The Spark form of a view over the tables in ``sf_dir``."""
     names = ("events", "orders", "pages", "documents")
-    tables = {n: read_table(spark, f"{sf_dir}/{n}.parquet") for n in names if "{" + n + "}" in view}
+    tables = {n: table(spark, sf_dir, n) for n in names if "{" + n + "}" in view}
     return spark.sql(view, **tables)
