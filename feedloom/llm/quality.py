@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
-UNITS = 1 << 15  # hash slots of words and word forms
+UNITS = 1 << 15  # hash slots of words and word forms; fits into 16 bits with a sign
 WIDTH = 32  # numbers of a word vector
 NONZERO = 6  # of which so many are set in an index vector
 HIDDEN = 32
@@ -30,16 +30,16 @@ _FORM = re.compile(r"^(\W*)(.*?)(\W*)$", re.S)
 
 
 class _Units(dict):
-    """word -> (slot of the word, slot of its form: case and the marks around it)."""
+    """word -> slot of the word * UNITS + slot of its form: case and the marks around it."""
 
-    def __missing__(self, word: str) -> tuple[int, int]:
+    def __missing__(self, word: str) -> int:
         if len(self) > WORDS_KEPT:
             self.clear()
         before, core, after = _FORM.match(word).groups()
         case = "u" if core.isupper() and len(core) > 1 else "t" if core.istitle() else "l" if core.islower() else "d" if core.isdigit() else "m"
         form = f"{before[:4]} {case} {after[:4]}"
         value = self[word] = (
-            xxhash.xxh3_64_intdigest("w" + (core.lower() or word)) % UNITS, xxhash.xxh3_64_intdigest("f" + form) % UNITS,
+            xxhash.xxh3_64_intdigest("w" + (core.lower() or word)) % UNITS * UNITS + xxhash.xxh3_64_intdigest("f" + form) % UNITS
         )
         return value
 
@@ -57,24 +57,29 @@ def _slots(text: str, known: _Units) -> Iterator[np.ndarray]:
     words = text.split()
     for at in range(0, len(words), PIECE):
         part = words[at : at + PIECE]
-        yield np.array([known[w] for w in part], np.int32).reshape(-1)
+        both = np.fromiter(map(known.__getitem__, part), np.int32, len(part))
+        slots = np.empty(2 * len(part), np.int32)
+        slots[0::2], slots[1::2] = both // UNITS, both % UNITS
+        yield slots
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per task, the sum of the index vectors of the two slots before and after each slot."""
-    known, index = _Units(), _index_vectors()
+    known = _Units()
+    index = np.concatenate([_index_vectors(), np.zeros((1, WIDTH), np.int32)]).astype(np.int8)  # -1 has no vector
     total, pending, size = np.zeros((UNITS, WIDTH), np.int64), [], 0
 
     def add() -> None:
         ids = np.concatenate(pending)  # texts are kept apart by two slots -1
-        v = np.where((ids >= 0)[:, None], index[ids], 0)
+        v = index[ids]
         around = np.zeros_like(v)
         for d in (1, 2):
             around[d:] += v[:-d]
             around[:-d] += v[d:]
-        order = np.argsort(ids, kind="stable")
-        slot, starts = np.unique(ids[order], return_index=True)
-        sums = np.add.reduceat(around[order], starts, axis=0)
+        order = np.argsort(ids.astype(np.int16), kind="stable")
+        ordered = ids[order]
+        starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        slot, sums = ordered[starts], np.add.reduceat(around[order], starts, axis=0, dtype=np.int32)
         total[slot[slot >= 0]] += sums[slot >= 0]
 
     gap = np.full(2, -1, np.int32)
@@ -83,7 +88,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for ids in _slots(text or "", known):
                 pending += (ids, gap)
                 size += len(ids) + 2
-                if size > 100_000:
+                if size > 50_000:
                     add()
                     pending, size = [], 0
     if pending:
