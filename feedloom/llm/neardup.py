@@ -16,6 +16,7 @@ from feedloom.llm.components import connected_components
 
 BANDS, ROWS = 45, 6  # a pair at similarity 0.8 is missed by all bands with probability 1.2e-6
 DEVIATIONS = 6.0  # the signature may lie so many standard deviations below the threshold
+SMALL = 32  # members of a hub that are compared with each other outright
 SEED = 20_011
 PIECE = 1 << 20  # bytes of a text split into words at a time
 CHUNK = 1 << 16  # shingles hashed at a time
@@ -159,6 +160,33 @@ def _confirmed(words: int, num: int, den: int):
     return keep
 
 
+def _against_hub(words: int, num: int, den: int):
+    """What each member has in common with its hub, and which of its other shingles a link has to hit.
+
+    A link needs num * n / den shingles of the member. Those in the hub give `inside` at most, so
+    the others have to give the rest: of those, in order of hash, all but the last (rest - 1) are kept,
+    and two members with enough of them in common meet on one that both keep.
+    """
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, hub_set = _WordHashes(), None, None
+        for batch in batches:
+            sizes, insides, outsides = [], [], []
+            for hub, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
+                if hub != at:
+                    at, hub_set = hub, shingle_set(x, words, known)
+                own = shingle_set(y, words, known)
+                outside = np.setdiff1d(own, hub_set, assume_unique=True)
+                inside = len(own) - len(outside)
+                rest = max(1, -(-num * len(own) // den) - inside)
+                sizes.append(len(own)), insides.append(inside)
+                outsides.append(outside[: max(0, len(outside) - rest + 1)].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(insides, pa.int64()), pa.array(outsides, pa.list_(pa.int64()))],
+                ["hub", "id", "component", "n", "inside", "outside"],
+            )
+    return split
+
+
 def _fits(n: Column, m: Column, num: int, den: int) -> Column:
     """Sizes that let a pair reach the threshold."""
     return den * F.least(n, m) >= num * F.greatest(n, m)
@@ -170,11 +198,13 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
     Links hold where den * intersection >= num * union of the shingle sets. Equal sets are one
-    class, represented by its least doc_id. Classes that share a band key are candidates: each is
-    compared with the least of its bucket, then, in buckets that still lie in several components,
-    with a second member of seeded choice, and at last all members of different components are
-    compared. So no candidate link between components is left out, and groups of alike rows do
-    not become all their pairs. Candidates are checked on signatures and confirmed on full sets.
+    class, represented by its least doc_id. Classes that share a band key are candidates. Each is first
+    compared with the hub of its bucket, the member with the largest buckets in all bands. Members
+    of one hub that are then still in several components are compared with each other: in groups
+    of at most SMALL all of them, in larger ones those that share a shingle which the hub has not,
+    or whose shingles in the hub alone may make a link (see _against_hub). No other two can be linked, so no
+    candidate link between components is left out, and groups of alike rows do not become all
+    their pairs. Candidates are checked on signatures and confirmed on full sets.
 
     Null or empty texts have no shingles and no links. A null doc_id is never linked: its
     component_id is null and it is kept. doc_id is taken as the key of a text: rows that repeat it
@@ -197,8 +227,14 @@ def near_duplicates(
             .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "keys", "signature"), "known",
         )
         rows_of = known.select("id", F.explode("keys").alias("key"))
-        buckets = rows_of.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-        members = stage.table(rows_of.join(buckets.select("key", "hub", "n"), "key"), "members")
+        shared = stage.table(rows_of.join(rows_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
+        score = shared.groupBy("id").agg(F.sum("n").alias("score"))
+        hubs = shared.join(score, "id").groupBy("key").agg(
+            F.max(F.struct("score", (-F.col("id")).alias("least"))).alias("best")
+        ).select("key", (-F.col("best.least")).alias("hub"))
+        members = stage.table(
+            shared.join(hubs, "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "members"
+        )
 
         def links(pairs: DataFrame) -> DataFrame:
             x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
@@ -207,33 +243,48 @@ def near_duplicates(
                 pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb"), num, den))
                 .select("a", "b", "sa", "sb").mapInArrow(_alike(num / den, bands * rows), "a long, b long")
             )
-            one = texts.where("doc_id is not null").dropDuplicates(["doc_id"]) if repeated else texts
             return cut(
-                cut(alike).join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
-                .join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
+                cut(alike).join(one.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
+                .join(one.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
                 .select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
         repeated = signed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-        found = links(members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+        one = texts.where("doc_id is not null").withColumnRenamed("doc_id", "id")
+        if repeated:
+            one = one.groupBy("id").agg(F.min("text").alias("text"))
+        found = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
         labels = connected_components(found, "a", "b")
-        for seeded in (True, False):
-            placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            open_keys = placed.groupBy("key").agg(
-                F.min("component").alias("low"), F.max("component").alias("high"),
-                F.min(F.when(F.col("id") != F.col("hub"), F.struct(F.xxhash64("key", "id").alias("h"), "id"))).alias("pick"),
-            ).where("low < high").select("key", F.col("pick.id").alias("pick"))
-            left = cut(placed.join(open_keys, "key"))
-            if seeded:
-                pairs = left.where("id <> pick and id <> hub").select(F.least("pick", "id").alias("a"), F.greatest("pick", "id").alias("b"))
-            else:
-                one, two = (
-                    left.where("id <> hub").select("key", F.col("id").alias(i), F.col("component").alias(c)) for i, c in (("a", "ca"), ("b", "cb"))
-                )
-                pairs = one.join(two, "key").where("a < b and ca <> cb").select("a", "b")
-            more = links(pairs.distinct())
-            found = found.union(more)
-            labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
+        placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        several = placed.groupBy("hub").agg(
+            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
+        ).where("low < high")
+        left = stage.table(placed.join(several.select("hub", "size"), "hub").select("hub", "id", "component", "size"), "open")
+
+        def sides(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+            """df twice, its columns but for the join keys marked 1 and 2."""
+            return tuple(df.withColumnsRenamed({c: f"{c}{k}" for c in ("id", "component", *columns)}) for k in (1, 2))
+
+        apart = "id1 < id2 AND component1 <> component2"
+        one_side, other = sides(left.where(F.col("size") <= SMALL).select("hub", "id", "component"))
+        pairs = one_side.join(other, "hub").where(apart).select("id1", "id2")
+        parts = cut(
+            left.where(F.col("size") > SMALL).join(one.select("id", F.col("text").alias("y")), "id")
+            .join(one.select(F.col("id").alias("hub"), F.col("text").alias("x")), "hub")
+            .select("hub", "id", "component", "x", "y")
+            .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, inside long, outside array<long>")
+        )
+        one_side, other = sides(parts.select("hub", "id", "component", "n", F.explode("outside").alias("shingle")), "n")
+        pairs = pairs.union(
+            one_side.join(other, ["hub", "shingle"]).where(apart).where(_fits(F.col("n1"), F.col("n2"), num, den)).select("id1", "id2")
+        )
+        one_side, other = sides(parts.where(F.col("inside") * den >= F.col("n") * num).drop("outside"), "n", "inside")
+        pairs = pairs.union(
+            one_side.join(other, "hub").where(apart)
+            .where(F.least("inside1", "inside2") * (num + den) >= (F.col("n1") + F.col("n2")) * num).select("id1", "id2")
+        )
+        more = links(pairs.distinct().toDF("a", "b"))
+        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
         narrow = signed.select("doc_id", "n_shingles", "k1", "k2")
         return cut(
             narrow.join(classes, ["k1", "k2"], "left")
