@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     x = np.array([np.frombuffer(r.x) for r in rows]).reshape(-1, 2 * WIDTH)
     y = np.array([r.label for r in rows], float)
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         odds = np.log((share + 1e-3) / (1 - share + 1e-3))
         layers = [np.zeros((2 * WIDTH, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.array([odds])]
         return Model(vectors, np.zeros(2 * WIDTH), np.ones(2 * WIDTH), layers, 1.0)
