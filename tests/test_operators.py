@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import SiteProfile
+from feedloom.functions.entities import extract_entities, tag_with_lexicon
 from feedloom.functions.render import render_markdown, render_record_v1
 from feedloom.operators.feed import feed_links, feed_links_v1
 from feedloom.operators.nest import linked_pages, nest_linked_pages
@@ -13,11 +14,13 @@ from feedloom.functions.urls import top_links
 from feedloom.limits import CLASSIC_LIMITS, NO_LIMITS
 from feedloom.plans.harvest import Recency, harvest, harvest_v1
 from feedloom.plans.incremental import incremental_harvest
-from feedloom.schema import ARTICLE
+from feedloom.schema import ARTICLE, FEED_OBSERVATION
 from feedloom.sources.pages import page_facts
 from feedloom.sources.store import (
     last_run_time, read_articles, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
 )
+from feedloom.streaming.feed_stop import feed_stop_stream
+from feedloom.streaming.incremental import append_to, run_available
 
 SITE = SiteProfile("https://feed.example", "feed.example", "Feed Example", categories=(("A", "a"), ("B", "b")))
 NOW = datetime(2026, 4, 10, 12)
@@ -274,3 +277,38 @@ def test_hot_linked_page_is_split(spark):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def test_streamed_stops_do_not_depend_on_batches(spark, tmp_path):
+    """Steps that arrive in any order give the stops of the loop; runs that end report so."""
+    rng = random.Random(5)
+    feeds = {}
+    for i in range(30):
+        values = [rng.choice(["1h ago", "2h ago", None]) for _ in range(rng.randint(1, 12))]
+        if i % 3 == 0:
+            values[rng.randrange(len(values))] = "9 days ago"
+        feeds[f"f{i:02}"] = values
+    rows = [(k, 7, s, v, NOW) for k, vs in feeds.items() for s, v in enumerate(vs, 1)]
+    rng.shuffle(rows)
+    batches = [rows[i::5] for i in range(5)] + [[(None, None, None, None, NOW + timedelta(days=1))]]
+    source = str(tmp_path / "in")
+    for batch in batches:
+        spark.createDataFrame(batch, FEED_OBSERVATION).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(FEED_OBSERVATION).option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / "out")
+    run_available(feed_stop_stream(stream, NOW), str(tmp_path / "check"), append_to(out)).awaitTermination()
+    got = {r.category: (r.run, r.steps, r.reason) for r in spark.read.parquet(out).collect()}
+    assert got == {k: (7, *_stop_loop(v, None, 2)) for k, v in feeds.items()}
+    assert spark.read.parquet(out).count() == len(feeds)
+
+
+def test_lexicon_terms_stand_for_themselves(spark):
+    lexicon = {"kinds": ("c++", "o'neil", "big data", "a.b", "plain", r"x\y"), "more": ("plain",)}
+    texts = [(1, "We know C++ and O'Neil; big data, a.b."), (2, "c+ ab axb o neil bigdata"), (3, "PLAIN"), (4, None), (5, r"an x\y here")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    got = {r.id: r.e for r in df.select("id", extract_entities("text", lexicon).alias("e")).collect()}
+    assert got[1].kinds == ["c++", "o'neil", "big data", "a.b"] and got[2].kinds == [] and got[4].kinds == []
+    assert (got[3].kinds, got[3].more) == (["plain"], ["plain"]) and got[5].kinds == [r"x\y"]
+    table = spark.createDataFrame([("k", "Big Data"), ("k", "plain"), ("m", "plain"), ("m", "plain"), ("k", "data big")], "kind string, term string")
+    tagged = tag_with_lexicon(df, table, "id", "text", max_words=2).collect()
+    assert sorted(map(tuple, tagged)) == [(1, "k", "Big Data"), (3, "k", "plain"), (3, "m", "plain")]

@@ -125,3 +125,16 @@ def test_cards(spark):
     pages = spark.createDataFrame([(URL, RICH)], "url string, html string")
     assert [tuple(r) for r in extract_cards(pages, SITE).select("href", "timestamp").collect()] == [("/discover/z", "5% ago")]
     assert page_facts_v1(pages, SITE).first().title == "Hi"
+
+
+def test_one_long_page(spark):
+    """Thousands of links, cards and headings on a page are read in one pass."""
+    n = 6_000
+    row = "<div class='gap-x-xs items-center'><a href='/page/{0}'>Título {0} <span class='truncate'>{1}h ago</span></a></div>"
+    html = "<article>" + "".join(row.format(i, i % 20 + 1) for i in range(n)) + "</article>"
+    pages = spark.createDataFrame([(URL, html)], "url string, html string")
+    for version in (1, 2):
+        cards = extract_cards(pages, SITE, version).orderBy("pos").collect()
+        assert [(c.href, c.timestamp) for c in cards] == [(f"/page/{i}", f"{i % 20 + 1}h ago") for i in range(n)]
+    links = parse_pages(pages).select(page.page_links()).first()[0]
+    assert len(links) == n and links[-1].title == f"Título {n - 1} {(n - 1) % 20 + 1}h ago"
