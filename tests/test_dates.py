@@ -118,9 +118,9 @@ def test_recency_v1_never_unknown(spark):
     assert [tuple(g) for g in got] == [(True, "2026-04-10"), (False, "2026-04-07"), (True, "No date/Search")]
 
 
-def test_full_run_mark_and_labels(spark):
+def test_days_before_and_labels(spark):
     row = spark.range(1).select(
-        dates.full_run_mark(NOW).alias("mark"), dates.date_label(dates.instant(NOW)).alias("label"),
+        dates.days_before(NOW, 3650).alias("mark"), dates.date_label(dates.instant(NOW)).alias("label"),
         dates.date_label(dates.instant(NOW), with_time=False).alias("day"),
         dates.related_date(F.lit("Unknown"), F.lit("some day")).alias("raw"),
     ).first()
