@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
-GRAM = 16  # code points of a k-gram
-WINDOW = 32  # k-grams of a window, a power of two; texts that share WINDOW + GRAM - 1 code points share a fingerprint
+GRAM = 16  # bytes of a k-gram
+WINDOW = 32  # k-grams of a window, a power of two; texts that share WINDOW + GRAM - 1 bytes share a fingerprint
 _HASH = 0x7FFFFFFF00000000
 _LOW = 0xFFFFFFFF
 
@@ -20,20 +20,20 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """The picked k-grams of a text, in order, each packed as hash << 32 less (4 * position + 1).
+def winnowed(data: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """The picked k-grams of a UTF-8 text given as binary, in order, each packed as hash << 32 less (position + 1).
 
     Every window of k-grams picks its least hash, the rightmost of equals: as a later position
     takes off more, that is the least packed number. Window minima come from doubling: the minimum over
     2^j + 2^j grams is the lesser of two neighbours. A text shorter than a k-gram is one gram, one
-    with fewer grams than a window is one window, an empty one has none. The work is on UTF-32, where
-    a position is an offset, so long texts cost no more for each code point.
+    with fewer grams than a window is one window, an empty one has none. The work is on bytes, where
+    a position is an offset, so long texts cost no more for each gram.
     """
     def hashed(b: Column) -> Column:
-        last = F.greatest(F.octet_length(b) - 4 * gram + 1, F.lit(1))
+        last = F.greatest(F.octet_length(b) - gram + 1, F.lit(1))
         return F.when(F.octet_length(b) > 0, F.transform(
-            F.sequence(F.lit(1), last, F.lit(4)),
-            lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * gram))).bitwiseAND(F.lit(_HASH)) - i.cast("long"),
+            F.sequence(F.lit(1), last),
+            lambda i: F.xxhash64(F.substring(b, i, F.lit(gram))).bitwiseAND(F.lit(_HASH)) - i.cast("long"),
         )).otherwise(F.array().cast("array<bigint>"))
 
     def minima(h: Column, span: int) -> Column:
@@ -41,20 +41,20 @@ def winnowed(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
             return h
         return _let(F.zip_with(h, F.slice(h, F.lit(span + 1), F.size(h)), lambda x, y: F.least(x, y)), lambda m: minima(m, span * 2))
 
-    return _let(F.encode(text, "UTF-32"), lambda b: _let(hashed(b), lambda h: F.when(
+    return _let(data, lambda b: _let(hashed(b), lambda h: F.when(
         F.size(h) > window, F.array_distinct(F.slice(minima(h, 1), F.lit(1), F.size(h) - window + 1)),
     ).when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(h)))
 
 
 def position(pick: Column) -> Column:
-    """Code points before the k-gram."""
-    return F.shiftright(-1 - pick, 2).bitwiseAND(F.lit(_LOW >> 2))
+    """Bytes before the k-gram."""
+    return (-1 - pick).bitwiseAND(F.lit(_LOW))
 
 
-def rewinnowed(picks: Column, text: Column, same: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
-    """winnowed(text), given the picks of a text whose first `same` code points are the same.
+def rewinnowed(picks: Column, data: Column, same: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
+    """winnowed(data), given the picks of a text whose first `same` bytes are the same.
 
-    The windows inside those code points pick what they picked before: the picks whose first window
+    The windows inside those bytes pick what they picked before: the picks whose first window
     starts early enough. Only the rest of the text is hashed.
     """
     def first_window(pick: Column, i: Column) -> Column:
@@ -62,11 +62,17 @@ def rewinnowed(picks: Column, text: Column, same: Column, gram: int = GRAM, wind
         enters = F.greatest(position(pick) - (window - 1), F.lit(0))
         return F.when(i == 0, F.lit(0)).when(pick < before, enters).otherwise(position(before) + 1)
 
-    whole = F.greatest(same - (gram + window - 2), F.lit(0))  # windows that lie inside
-    kept = F.filter(picks, lambda p, i: first_window(p, i) < whole)
-    rest = winnowed(F.substring(text, whole + 1, F.length(text)), gram, window)
-    moved = F.transform(rest, lambda p: p - (whole * 4).cast("long"))
-    return F.when(whole > 0, F.array_distinct(F.concat(kept, moved))).otherwise(moved)
+    def joined(whole: Column) -> Column:
+        kept = F.filter(picks, lambda p, i: first_window(p, i) < whole)
+        rest = winnowed(F.substring(data, whole + 1, F.octet_length(data)), gram, window)
+        both = F.array_distinct(F.concat(kept, F.transform(rest, lambda p: p - whole.cast("long"))))
+        return F.when((whole > 0) & (F.octet_length(data) <= same), kept).otherwise(both)  # no window is left
+
+    return _let(F.greatest(same - (gram + window - 2), F.lit(0)), joined)  # windows that lie inside
+
+
+def _bytes(text: Column) -> Column:
+    return text.cast("binary")
 
 
 def rendered(picks: Column) -> Column:
@@ -126,10 +132,10 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
                    F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("nh")))
         .groupBy("of").agg(F.min("text").alias("beyond"))
     )
-    texts = texts.withColumn("beyond_picks", winnowed(F.col("beyond")))
+    texts = texts.withColumn("beyond_picks", winnowed(_bytes(F.col("beyond"))))
     ranges = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc())
     led = (
-        dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").withColumn("picks", winnowed(F.col("text")))
+        dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").withColumn("picks", winnowed(_bytes(F.col("text"))))
         .withColumns({"next": F.lead("text").over(ranges), "next_picks": F.lead("picks").over(ranges)})
         .join(texts, (F.col("bucket") == F.col("of")) & F.col("next").isNull(), "left")
         .select(
@@ -138,10 +144,13 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     )
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next"), F.lit(1), half))
+    head = F.substring(F.col("text"), F.lit(1), n - half)
+    edited = F.struct(
+        F.octet_length(head).alias("same"), _bytes(F.concat(head, F.substring(F.col("next"), F.lit(1), half))).alias("data"),
+    )
     picks = F.col("picks")
-    out = _let(hashes(picks), lambda own: _let(edited, lambda e: _let(rewinnowed(picks, e, n - half), lambda p: F.struct(
-        F.sha2(e, 256).alias("sha"), rendered(p).alias("print"), likeness(own, hashes(p)).alias("near_edited"),
+    out = _let(hashes(picks), lambda own: _let(edited, lambda e: _let(rewinnowed(picks, e["data"], e["same"]), lambda p: F.struct(
+        F.sha2(e["data"], 256).alias("sha"), rendered(p).alias("print"), likeness(own, hashes(p)).alias("near_edited"),
         likeness(own, hashes(F.col("next_picks"))).alias("near_next"),
     ))))
     return led.select("doc_id", n.cast("long").alias("n_chars"), rendered(picks).alias("fingerprint"), out.alias("o")).select(

@@ -201,11 +201,12 @@ def test_fingerprints_equal_brute_force(spark):
     rng = random.Random(8)
     texts = ["".join(rng.choice(a) for _ in range(n)) for n in (0, 1, 15, 16, 17, 46, 47, 48, 79, 200, 700) for a in ("ab", "abcdefgh é😀 ", "a")]
     rows = list(enumerate(texts))
-    df = spark.createDataFrame(rows, "i int, t string").withColumn("p", winnow.rendered(winnow.winnowed(F.col("t"))))
+    df = spark.createDataFrame(rows, "i int, t string").withColumn("p", winnow.rendered(winnow.winnowed(F.col("t").cast("binary"))))
     got = {r.i: r.p for r in df.collect()}
+    rows = [(i, t.encode()) for i, t in rows]
     grams = [(i, k, t[k : k + 16]) for i, t in rows for k in (range(max(1, len(t) - 15)) if t else ())]
-    hashed = spark.createDataFrame(grams, "i int, k int, g string").select(
-        "i", "k", F.shiftright(F.xxhash64(F.encode("g", "UTF-32")).bitwiseAND(F.lit(winnow._HASH)), 32).alias("h")
+    hashed = spark.createDataFrame(grams, "i int, k int, g binary").select(
+        "i", "k", F.shiftright(F.xxhash64("g").bitwiseAND(F.lit(winnow._HASH)), 32).alias("h")
     )
     h = {(r.i, r.k): r.h for r in hashed.collect()}
     for i, t in rows:
@@ -213,6 +214,18 @@ def test_fingerprints_equal_brute_force(spark):
         assert got[i] == ",".join(f"{own[k] - 1:x}:{k}" for k in _picks(own, 32))
 
 
+def test_reused_picks_equal_fresh_ones(spark):
+    rng, rows = random.Random(12), []
+    for _ in range(250):
+        n, letters = rng.choice([0, 1, 15, 47, 60, 92, 100, 200, 500]), rng.choice(["ab", "abcdefgh é😀 ", "a"])
+        text, after = ("".join(rng.choice(letters) for _ in range(k)) for k in (n, rng.choice([0, 10, 300])))
+        head = text[: n - n // 2]
+        rows.append((text.encode(), (head + after[: n // 2]).encode(), len(head.encode())))
+    df = spark.createDataFrame(rows, "t binary, e binary, same int").withColumn("p", winnow.winnowed(F.col("t")))
+    got = df.select(winnow.winnowed(F.col("e")).alias("a"), winnow.rewinnowed(F.col("p"), F.col("e"), F.col("same")).alias("b")).collect()
+    assert all(r.a == r.b for r in got)
+
+
 def test_shared_passage_is_found(spark):
     rng = random.Random(9)
     noise = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
@@ -221,7 +234,7 @@ def test_shared_passage_is_found(spark):
         passage = noise(winnow.GRAM + winnow.WINDOW - 1)
         rows.append((i, noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90)), noise(rng.randint(0, 90)) + passage + noise(rng.randint(0, 90))))
     df = spark.createDataFrame(rows, "i int, a string, b string")
-    both = F.size(F.array_intersect(winnow.hashes(winnow.winnowed(F.col("a"))), winnow.hashes(winnow.winnowed(F.col("b")))))
+    both = F.size(F.array_intersect(winnow.hashes(winnow.winnowed(F.col("a").cast("binary"))), winnow.hashes(winnow.winnowed(F.col("b").cast("binary")))))
     assert df.where(both == 0).count() == 0
 
 
