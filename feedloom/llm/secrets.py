@@ -30,7 +30,7 @@ ROUNDS = 25
 SEED = 977
 TOKENS_KEPT = 300_000
 _TOKEN = re.compile(r"[\w+/.-]+|[^\w\s]")
-_WORDY = re.compile(r"\w")
+_HEX_LETTERS = re.compile(r"[a-fA-F]+")
 O, B, I = 0, 1, 2  # noqa: E741
 _BARRED = -1e4
 
@@ -51,6 +51,9 @@ def _shape(token: str) -> str:
     """Kinds of characters with a class of length and of mixture; marks stand for themselves."""
     if len(token) == 1 and not token.isalnum():
         return token
+    if token.isascii() and token.isalpha():  # most tokens: letters of one or two cases, no change of kind
+        kind = "l" if token[:64].islower() else "u" if token[:64].isupper() else "lu"
+        return f"{kind}|{min(10, int(math.log2(len(token)) * 2))}|0|{_HEX_LETTERS.fullmatch(token) is not None}"
     kinds = Counter("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p" for c in token[:64])
     turns = sum(a.isalpha() != b.isalpha() for a, b in zip(token[:64], token[1:64], strict=False))
     mixed = min(9, turns * 10 // len(token[:64]))
