@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
+# Workers get this module's code with the task, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOKENS = 1024
 SEGMENTS = 128
 BLOCK = 8192  # pieces that are packed together

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
+# Workers get this module's code with the task, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 UNITS = 1 << 15  # hash slots of words and word forms; fits into 16 bits with a sign
 WIDTH = 32  # numbers of a word vector
 NONZERO = 6  # of which so many are set in an index vector
@@ -145,6 +149,9 @@ class Model:
     layers: list[np.ndarray]
     temperature: float
 
+    def parts(self) -> tuple:
+        return self.vectors, self.center, self.scale, self.layers, self.temperature
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(_logits(self.layers, (x - self.center) / self.scale) / self.temperature, -40, 40)))
 
@@ -229,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of every row; the text alone decides, null texts count as empty, repeated rows each get theirs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, m = _Units(), shared.value
+        known, m = _Units(), Model(*shared.value)
         for batch in batches:
             x = np.array([pooled(t, m.vectors, known) for t in batch.column(1).to_pylist()]).reshape(-1, 2 * WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.scores(x), pa.float64())], ["doc_id", "score"])
@@ -242,10 +249,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose score reaches the threshold; all columns stay."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model.parts())
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, m = _Units(), shared.value
+        known, m = _Units(), Model(*shared.value)
         for batch in batches:
             texts = batch.column(batch.schema.names.index("text")).to_pylist()
             x = np.array([pooled(t, m.vectors, known) for t in texts]).reshape(-1, 2 * WIDTH)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -12,9 +13,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Workers get this module's code with the task, so it need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: the kinds of base secrets with their patterns and least lengths
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -81,6 +86,9 @@ class Field:
     moves: np.ndarray
     words: frozenset[str]
 
+    def parts(self) -> tuple:
+        return self.weights, self.moves, self.words
+
     def rows(self) -> _Rows:
         return _Rows(self)
 
@@ -288,10 +296,10 @@ def scan(docs: DataFrame, field: Field | None = None) -> DataFrame:
     match of a pattern; spans of the field, kind `crf`, are added where they touch no base span.
     Texts are read whole; null ones count as empty, with no spans. Repeated rows each get theirs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(field or fit(docs))
+    shared = docs.sparkSession.sparkContext.broadcast((field or fit(docs)).parts())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known = Field(*shared.value)
         rows = known.rows()
         for batch in batches:
             counts, digests, lines = [], [], []
