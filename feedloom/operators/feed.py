@@ -40,6 +40,14 @@ def is_fresh(verdict: Column) -> Column:
     return F.col("timestamp").isNull() | (F.col("timestamp") == "") | verdict.is_recent
 
 
+def _fresh_cards(items: DataFrame, verdict: Column) -> DataFrame:
+    """The fresh cards. The verdict is generated, so that the filter stays above it: pushed down, it
+    would take the place of each use of the card's text, and feeds took twice the time."""
+    judged = items.withColumn("_recent", verdict.is_recent).withColumn("_recent", F.explode(F.array("_recent")))
+    undated = F.col("timestamp").isNull() | (F.col("timestamp") == "")
+    return judged.filter(undated | F.col("_recent")).drop("_recent")
+
+
 def first_per_key(items: DataFrame, *keys: str) -> DataFrame:
     """Position of the first row of every key.
 
@@ -70,7 +78,7 @@ def feed_links(
     )
     if not full_run:
         verdict = recency("timestamp", as_of, mode, last_run, custom_hours)
-        stories = stories.filter(is_fresh(verdict))
+        stories = _fresh_cards(stories, verdict)
     return first_per_key(stories, "category", *category_columns, "url")
 
 
@@ -95,6 +103,6 @@ def feed_links_v1(
         .withColumn("url", absolutize(href, profile.base_url))
     )
     if not full_run and last_run is not None:
-        stories = stories.filter(is_fresh(recency_v1("timestamp", as_of, last_run)))
+        stories = _fresh_cards(stories, recency_v1("timestamp", as_of, last_run))
     links = first_per_key(stories, "url")
     return links if max_articles is None else links.orderBy("pos").limit(max_articles)
