@@ -279,6 +279,39 @@ def test_page_text(spark, html, text):
     assert [tuple(r) for r in extract.main_texts(df).collect()] == [(1, "http://a.example/x", text, len(text))]
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    *((f"<article {a}><p>x <a {a}>y</a></p></article>", "x y") for a in (
+        'data-hidden="false"', 'title="the hidden cost"', "href='/hidden-costs'", "href=/hidden", 'aria-label="hidden"', 'data-id="search"', 'href="/q?id=search"',
+        'data-class="ad"', 'title="class=ad id=menu"', 'class="category-social"', 'title="a > b" data-role=alert', "class=no-sidebar")),
+    ('<div class="layout has-sidebar"><article><p>x</p></article></div>', "x"),
+    ('<main class="no-sidebar"><p>x</p></main>', "x"),
+    ('<div class="social"><div id=search><article class="ad"><p>x</p><p class="ad">buy</p></article></div>out</div>', "x"),
+    ('<div class=widget><div role="main"><p>x</p></div></div>', "x"),
+    ('<form id=f><header><main><h1>t</h1><div class="widget"><article>x</article></div></main></header></form>', "t x"),
+    ('<article>x</article><div class="comments"><article>first!</article></div>', "x"),
+    ('<div hidden><article>h</article></div><article>x</article>', "x"),
+    *((f"<article><p>a</p><{n}><p>b</p></article>", "a b") for n in ("svg", "iframe src=x", "noscript", "video", "select", "object", "template")),
+    *((f"<article><p>a</p><{n}><p>b</p></article>", "a") for n in ("script", "style", "title", "textarea")),
+])
+def test_loose_hints_keep_the_article(html, text):
+    has_content, found = extract.blocks(html)
+    assert has_content and " ".join(t for t, inside in found if inside) == text
+
+
+def test_attributes_equal_those_of_a_parser():
+    rng = random.Random(12)
+    names = ["class", "id", "role", "hidden", "aria-hidden", "style", "data-hidden", "data-id", "title", "href", "xclass", "aria-label"]
+    values = ["hidden", "ad", "menu", "x", "the hidden cost", "/q?id=search", "class=ad", "no-sidebar", "main", "true", "display: none", "has-ad", "a b ad"]
+    for _ in range(2000):
+        pairs = {n: rng.choice([None, *values]) for n in rng.sample(names, rng.randint(0, 4))}
+        quote = lambda v: rng.choice([f'"{v}"', f"'{v}'"] + [v] * (" " not in v))
+        raw = " ".join(n if v is None else n + rng.choice(["=", " = "]) + quote(v) for n, v in pairs.items())
+        words = {n: (pairs.get(n) or "").split() for n in ("class", "id", "role")}
+        unseen = "hidden" in pairs or pairs.get("aria-hidden") == "true" or pairs.get("style") == "display: none"
+        hint = any(w in extract._HINTS for each in words.values() for w in each)
+        assert extract._hinted(" " + raw) == (unseen, hint, "main" in words["role"]), raw
+
+
 def test_unmarked_pages_lose_what_the_nearest_page_shares(spark):
     page = lambda body: f"<div>Top bar</div><div>Welcome</div>{body}<div>All rights</div>"
     rows = [(i, f"http://h.example/a/{i}", page(f"<p>Own text number {i} with many words of its own.</p>" * 2), "k") for i in range(40)]
