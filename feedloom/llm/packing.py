@@ -29,9 +29,11 @@ def load_encoder(path: str):
     """Text -> token ids, the same as those of the tokenizers library for a byte-level BPE file.
 
     The vocabulary's ids are in order of merges, so a rank encoder gives the same ids several times
-    faster; strings of added tokens in a text become those tokens, as there.
+    faster; strings of added tokens in a text become those tokens, as there. Its pattern gives up
+    on about a million white-space characters in a row; such texts go to the library itself.
     """
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as file:
         spec = json.load(file)
@@ -42,7 +44,17 @@ def load_encoder(path: str):
     # fixed value: the word pattern of byte-level BPE
     pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-    return lambda text: encoding.encode_to_numpy(text, allowed_special="all")
+    library: list[Tokenizer] = []
+
+    def encode(text: str) -> np.ndarray:
+        try:
+            return encoding.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if not library:
+                library.append(Tokenizer.from_file(path))
+            return np.array(library[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS) -> DataFrame:

@@ -150,6 +150,11 @@ def test_encoder_equals_tokenizers():
         assert encode(text).tolist() == reference.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "\n" * 1_200_000, "x<|endoftext|>" + " \t" * 1_000_000 + "don't", "a" * 1_100_000])
+def test_encoder_reads_long_runs(text):
+    assert packing.load_encoder(BPE)(text).tolist() == Tokenizer.from_file(BPE).encode(text, add_special_tokens=False).ids
+
+
 def test_pieces_cover_all_documents(spark):
     rng, reference = random.Random(6), Tokenizer.from_file(BPE)
     texts = [None, "", "one", " ".join(rng.choice(["alpha", "beta", "été"]) for _ in range(9000))] + [
