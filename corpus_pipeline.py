@@ -20,8 +20,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs)
+    """Documents without the boilerplate lines of their source; n_chars follows the text.
+
+    Copies of a text are not pages of their own here: the next stage keeps one of them, with its text.
+    """
+    cleaned = lines.dedup_lines(docs, copies=False)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned

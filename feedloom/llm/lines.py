@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,38 +19,53 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, line_key, pages, total) of the lines that exceed the ratio; a page counts a line once.
+def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+    """(host, line_key, pages, total, first) of the lines that exceed the ratio; a page counts a line once.
 
     Lines are compared trimmed and by 64-bit hash; blank lines are never boilerplate. Rows with
-    a null host make up one host. Only hashes move, counted before the shuffle.
+    a null host make up one host. Only hashes move. Each row is a page, or, without copies, each
+    distinct text of a host. `first` is the least hash of the texts that have the line.
     """
-    pages = docs.select(F.col(host).alias("host"), _lines(text).alias("lines"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
+    pages = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), keys.alias("keys"))
+    if copies:
+        totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+    else:
+        totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
+        pages = pages.groupBy("host", "page").agg(F.any_value("keys").alias("keys"))
     counted = (
-        pages.select("host", F.explode(F.array_distinct(F.transform(F.filter("lines", lambda x: F.trim(x) != ""), _key))).alias("line_key"))
-        .groupBy("host", "line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+        pages.select("host", "page", F.explode("keys").alias("line_key"))
+        .groupBy("host", "line_key").agg(F.count("*").alias("pages"), F.min("page").alias("first")).where(F.col("pages") >= min_pages)
     )
     return (
         counted.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-        .where(F.col("pages") > F.col("total") * ratio).select("host", "line_key", "pages", "total")
+        .where(F.col("pages") > F.col("total") * ratio).select("host", "line_key", "pages", "total", "first")
     )
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """docs with the boilerplate lines of each row's host taken out of its text; all rows and columns stay.
 
     A host has at most (lines a page) / ratio boilerplate lines, so their hashes travel as one
     array for each host, and texts need no regrouping. Null texts stay null, empty ones empty; a
     text of boilerplate alone becomes empty. Repeated rows each count as a page. Columns named
     like the ones used here stay as they are.
+
+    Without copies, exact copies of a text count as one page, so they do not make its lines
+    boilerplate. Near copies still do: a text that would lose more than half its characters keeps
+    the lines of which it is the first on its host by hash, so one of the group stays readable.
     """
-    found = boilerplate_lines(docs, host, text, ratio, min_pages)
-    held = found.groupBy("host").agg(F.collect_list("line_key").alias("__keys"), F.first("total").alias("__total")).withColumnRenamed("host", "__host")
-    left = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains("__keys", _key(x)))
+    found = boilerplate_lines(docs, host, text, ratio, min_pages, copies)
+    own = F.xxhash64("line_key", "first")
+    held = found.groupBy("host").agg(F.collect_list("line_key").alias("__keys"), F.collect_list(own).alias("__firsts")).withColumnRenamed("host", "__host")
+
+    def without(gone: Callable[[Column], Column]) -> Column:
+        return F.array_join(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~gone(x)), "\n")
+
+    left = without(lambda x: F.array_contains("__keys", _key(x)))
+    if not copies:
+        first = without(lambda x: F.array_contains("__keys", _key(x)) & ~F.array_contains("__firsts", F.xxhash64(_key(x), F.xxhash64(text))))
+        left = F.when(F.length(left) * 2 < F.length(text), first).otherwise(left)
     return docs.join(held, F.col(host).eqNullSafe(F.col("__host")), "left").select(
-        *(
-            F.when(F.col("__keys").isNull(), F.col(text)).otherwise(F.array_join(left, "\n")).alias(c) if c == text else F.col(f"`{c}`")
-            for c in docs.columns
-        )
+        *(F.when(F.col("__keys").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)
     )

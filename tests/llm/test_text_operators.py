@@ -28,6 +28,20 @@ def test_lines_above_the_ratio_go(spark):
     assert lines.dedup_lines(df).columns == df.columns
 
 
+def test_copies_keep_one_text(spark):
+    body = [f"line {k} of a copied text with words of its own" for k in range(20)]
+    near = [f"row {k} of a text that was copied and edited" for k in range(20)]
+    rows = [(i, "s", f"Menu\nown {i} " + "w" * 60) for i in range(50)]
+    rows += [(100 + i, "s", "\n".join(["Menu", *body])) for i in range(30)]
+    rows += [(200 + i, "s", "\n".join(["Menu", *near[:i], f"edit {i}", *near[i + 1 :]])) for i in range(20)]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), copies=False).collect()}
+    assert len(got) == len(rows) and all(got[i] == f"own {i} " + "w" * 60 for i in range(50))
+    assert all(got[100 + i] == "\n".join(body) for i in range(30))
+    kept = [[x for x in got[200 + i].split("\n") if x in near] for i in range(20)]
+    assert max(map(len, kept)) == 19 and {x for each in kept for x in each} == set(near)
+    assert all(f"edit {i}" in got[200 + i].split("\n") for i in range(20))
+
+
 # --- leaks --------------------------------------------------------------------------------
 def _distance(pattern, text):
     """Least edit distance of the pattern to any part of the text."""
