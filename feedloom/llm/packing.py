@@ -141,7 +141,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, tokens: int = TOKENS, s
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every text.
 
     Full pieces are sequences of their own; the rests are packed under the limits of tokens,
-    segments and loss-bearing tokens (all but the separators).
+    segments and loss-bearing tokens (all but the last of each piece). In documents every token
+    bears loss, so that last limit, which equals that of the tokens, never binds here.
     """
     pieces = cut(token_pieces(docs, tokenizer_path, tokens))
     full = pieces.where(F.col("length") == tokens).select(

@@ -207,6 +207,16 @@ def test_bins_keep_all_limits():
 
 
 # --- fingerprints -------------------------------------------------------------------------
+def test_loss_limit_binds(spark):
+    rng = random.Random(7)
+    rows = [(i, n := rng.randint(10, 60), 1, rng.randint(n // 2, n)) for i in range(300)]
+    df, limits = spark.createDataFrame(rows, "row long, length long, segments long, loss long"), {"length": 200, "segments": 8, "loss": 60}
+    sums = packing.pack(df, limits).groupBy("sequence_id").agg(*(F.sum(c).alias(c) for c in limits), F.count("*").alias("n")).collect()
+    assert sum(r.n for r in sums) == 300 and all(r[c] <= most for r in sums for c, most in limits.items())
+    free = packing.pack(df, limits | {"loss": 200}).groupBy("sequence_id").agg(F.sum("loss").alias("loss")).collect()
+    assert max(r.loss for r in free) > 60 and len(free) < len(sums)
+
+
 def _picks(hashes, window):
     out = []
     for s in range(max(1, len(hashes) - window + 1) if hashes else 0):
