@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.llm import chat, extract, leaks, lines, neardup, packing, quality, secrets, shards, winnow
+from feedloom.llm import align, chat, extract, leaks, ledger, lines, merkle, neardup, packing, quality, secrets, shards, winnow
 
 SHARDS = 40
 
@@ -74,10 +74,28 @@ def op10_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.main_texts(_read(spark, sf_dir, "pages"))
 
 
+def op11_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies fit together in every document."""
+    return align.link_scores(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"),
+    )
+
+
+def op12_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measurements and failure bits of every document, judged by the current policy."""
+    return ledger.base_rules(_read(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the Merkle tree of all, checked after tampering."""
+    return merkle.verified_rows(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_preference_format, op2_external_shuffle, op3_minhash_components, op4_secret_tagger, op5_quality_scores,
         op6_site_lines, op7_benchmark_leaks, op8_vector_packing, op9_winnowing, op10_page_differencing,
+        op11_galloping_alignment, op12_rule_ledger, op13_merkle_manifest,
     )
 }
 
@@ -128,4 +146,89 @@ ORACLES: dict[str, str] = {
         )
         SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
         FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents) d LEFT JOIN k ON k.r = d.rowid_""",
+    "op12_rule_ledger": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT r, unnest(words) AS w, generate_subscripts(words, 1) AS i
+            FROM (SELECT r, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d)
+        ), g AS (
+            SELECT r, i, w, lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM w WINDOW x AS (PARTITION BY r ORDER BY i)
+        ), t AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM g WHERE w3 IS NOT NULL) WHERE n > 1
+        ), c AS (SELECT r, count(DISTINCT i + k) AS n FROM t, (VALUES (0), (1), (2)) o(k) GROUP BY r
+        ), a AS (
+            SELECT r, count(*) AS n, sum(len(w)) AS chars, count(*) FILTER (WHERE regexp_matches(w, '\\p{L}')) AS letters FROM w GROUP BY r
+        ), l AS (
+            SELECT r, count(*) AS n, count(DISTINCT line) AS different,
+                count(*) FILTER (WHERE regexp_matches(line, '^[\\x20\\x09-\\x0D]*[-*•]')) AS marked,
+                count(*) FILTER (WHERE regexp_matches(line, '(\\.\\.\\.|…)[\\x20\\x09-\\x0D]*$')) AS cut
+            FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r
+        ), m AS (
+            SELECT doc_id, CAST(coalesce(a.n, 0) AS BIGINT) AS n_words, CAST(coalesce(a.chars, 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(l.n - l.different, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words,
+                coalesce(a.letters, 0) AS letters, coalesce(l.n, 0) AS lines, coalesce(l.marked, 0) AS marked, coalesce(l.cut, 0) AS cut
+            FROM d LEFT JOIN a USING (r) LEFT JOIN l USING (r) LEFT JOIN c USING (r)
+        ), f AS (
+            SELECT *, [n_words < 50, 100 * n_repeat_words > 50 * n_words, word_chars < 3 * n_words, word_chars > 10 * n_words,
+                10 * n_symbols > n_words, 100 * n_dup_lines > 30 * lines, 100 * letters < 80 * n_words, 100 * marked > 90 * lines,
+                100 * cut > 30 * lines, n_words > 100000] AS b
+            FROM m
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, b[1] OR b[2] AS base_failed,
+            NOT (b[1] OR b[2] OR b[5] OR b[7] OR list_sum([CAST(b[k] AS INT) FOR k IN [3, 4, 6, 8, 9]]) >= 2) AS kept,
+            CAST(list_sum([CAST(b[k] AS BIGINT) << (k - 1) FOR k IN range(1, 11)]) AS BIGINT) AS failed, 'v2' AS policy
+        FROM f""",
+    "op13_merkle_manifest": """
+        WITH RECURSIVE bits AS (
+            SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+            UNION ALL SELECT i, k + 1, xor(c >> 1, 3988292384 * (c & 1)) FROM bits WHERE k < 8
+        ), tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+        ), f AS (
+            SELECT *, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+                    coalesce(strlen(lang) || ':' || lang, '-')) AS head,
+                coalesce(strlen(text) || ':' || text, '-') AS tail,
+                coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0, false) AS hit
+            FROM documents, tab
+        ), h AS (
+            SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                CASE WHEN hit AND n_chars IS NOT NULL THEN sha256(head || strlen(CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)) || ':' || (CAST(n_chars AS HUGEINT) + 1) || tail) END AS changed
+            FROM f
+        ), leaf AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM h
+        ), node AS (
+            SELECT lang, 0 AS k, i, leaf AS digest, n FROM leaf
+            UNION ALL
+            SELECT lang, k + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), max((n + 1) // 2) FROM node WHERE n > 1 GROUP BY lang, k, i // 2
+        ), sub AS (
+            SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS n FROM node WHERE n = 1
+        ), top AS (
+            SELECT 0 AS k, j AS i, subroot AS digest, n FROM sub
+            UNION ALL
+            SELECT k + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), max((n + 1) // 2) FROM top WHERE n > 1 GROUP BY k, i // 2
+        ), step AS (
+            SELECT lang, 0 AS part, k, i, lag(digest) OVER x AS before, lead(digest) OVER x AS after FROM node WHERE n > 1 WINDOW x AS (PARTITION BY lang, k, i // 2 ORDER BY i)
+        ), topstep AS (
+            SELECT k, i, lag(digest) OVER x AS before, lead(digest) OVER x AS after FROM top WHERE n > 1 WINDOW x AS (PARTITION BY k, i // 2 ORDER BY i)
+        ), path AS (
+            SELECT l.lang, l.i, 0 AS part, s.k, coalesce(before, '') AS before, coalesce(after, '') AS after
+            FROM leaf l JOIN step s ON s.lang IS NOT DISTINCT FROM l.lang AND s.i = l.i >> s.k
+            UNION ALL
+            SELECT l.lang, l.i, 1, s.k, coalesce(before, ''), coalesce(after, '')
+            FROM leaf l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang JOIN topstep s ON s.i = sub.j >> s.k
+        ), way AS (
+            SELECT lang, i, list({'a': before, 'z': after} ORDER BY part, k) AS steps FROM path GROUP BY lang, i
+        ), fold AS (
+            SELECT l.lang, l.i, 0 AS pos, coalesce(changed, leaf) AS digest, coalesce(steps, []) AS steps
+            FROM leaf l LEFT JOIN way w ON w.lang IS NOT DISTINCT FROM l.lang AND w.i = l.i
+            UNION ALL
+            SELECT lang, i, pos + 1, sha256(steps[pos + 1].a || digest || steps[pos + 1].z), steps FROM fold WHERE pos < len(steps)
+        )
+        SELECT l.doc_id, l.leaf, sub.subroot, root.digest AS root,
+            sha256(coalesce(array_to_string(list_transform(fold.steps, lambda s: s.a || s.z), ''), '')) AS proof_sha256,
+            fold.digest AS folded_root, fold.digest = root.digest AS verified
+        FROM leaf l JOIN sub ON sub.lang IS NOT DISTINCT FROM l.lang
+        JOIN fold ON fold.lang IS NOT DISTINCT FROM l.lang AND fold.i = l.i AND fold.pos = len(fold.steps)
+        CROSS JOIN (SELECT digest FROM top WHERE n = 1) root""",
 }
