@@ -26,6 +26,9 @@ CHUNK = 1 << 20  # tokens written out at a time
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+_NONE = np.empty(0, np.int64)
+
+
 class ByteTokens:
     """Tokenizer A: a byte-level BPE file; strings of special tokens are plain text."""
 
@@ -45,16 +48,16 @@ class ByteTokens:
         for token, i in ranks.items():
             self.bytes[i] = token
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str) -> list[int]:
         try:
-            return np.array(self._fast.encode_ordinary(text), np.int64)
+            return self._fast.encode_ordinary(text)
         except ValueError:  # its pattern gives up on about a million white-space characters in a row
             if self._library is None:
                 from tokenizers import Tokenizer
 
                 self._library = Tokenizer.from_file(self._path)
                 self._library.encode_special_tokens = True
-            return np.array(self._library.encode(text, add_special_tokens=False).ids, np.int64)
+            return self._library.encode(text, add_special_tokens=False).ids
 
 
 class PieceTokens:
@@ -71,8 +74,8 @@ class PieceTokens:
             for i in range(self.size)
         ]
 
-    def encode(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode(text), np.int64)
+    def encode(self, text: str) -> list[int]:
+        return self._model.encode(text)
 
 
 def _advance(x: np.ndarray, start: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -152,21 +155,19 @@ class Aligner:
 
     def _tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The tokens of a text, or none where it is empty or a tokenizer does not give its bytes back."""
-        none = np.empty(0, np.int64)
         if not text:
-            return none, none
+            return _NONE, _NONE
         spaced = " " + text
         whole = spaced.encode("utf-8")
         a, b = self.first.encode(spaced), self.second.encode(text)
-        for ids, parts, lengths in ((a, self.first.bytes, self._a_len), (b, self.second.bytes, self._b_len)):
-            if lengths[ids].sum() != len(whole) or b"".join(map(parts.__getitem__, ids.tolist())) != whole:
-                return none, none
-        return a, b
+        if b"".join(map(self.first.bytes.__getitem__, a)) != whole or b"".join(map(self.second.bytes.__getitem__, b)) != whole:
+            return _NONE, _NONE
+        return np.fromiter(a, np.int64, len(a)), np.fromiter(b, np.int64, len(b))
 
     def align(self, rows: list[tuple]) -> Aligned:
         """The rows (doc_id, text), aligned as one list of tokens: the texts lie one after the other."""
         parts = [self._tokens(text) for _, text in rows]
-        a, b = (np.concatenate([p[k] for p in parts] or [np.empty(0, np.int64)]) for k in (0, 1))
+        a, b = (np.concatenate([_NONE, *(p[k] for p in parts)]) for k in (0, 1))
         a_from, b_from = (np.cumsum([0, *(len(p[k]) for p in parts)]) for k in (0, 1))
         a_last, b_last = galloping_intersection(np.cumsum(self._a_len[a]), np.cumsum(self._b_len[b]))
         # both sides end where a text ends, so no group reaches into the next text
