@@ -19,7 +19,7 @@ from feedloom.llm.common import Stage, cut
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 8 << 20  # characters of the texts that are aligned together; a longer text is a block of its own
+BLOCK = 3 << 20  # characters of the texts that are aligned together; a longer text is a block of its own
 GAP = 4  # drivers between two places found before
 CHUNK = 1 << 20  # tokens written out at a time
 # fixed value: the word pattern of byte-level BPE
