@@ -19,7 +19,9 @@ from feedloom.llm.common import Stage, cut
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK = 3 << 20  # characters of the texts that are aligned together; a longer text is a block of its own
+TOGETHER = 1 << 19  # characters of the texts that are aligned together; a longer text is aligned by itself
+BLOCK = 4 << 20  # characters of the texts whose links are counted together
+ROWS = 250  # rows read from a batch at a time
 GAP = 4  # drivers between two places found before
 CHUNK = 1 << 20  # tokens written out at a time
 # fixed value: the word pattern of byte-level BPE
@@ -201,12 +203,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple
     """Rows of the batches, gathered until their texts reach `size` characters."""
     held, chars = [], 0
     for batch in batches:
-        for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            held.append(row)
-            chars += len(row[1] or "")
-            if chars >= size:
-                yield held
-                held, chars = [], 0
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            for row in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                held.append(row)
+                chars += len(row[1] or "")
+                if chars >= size:
+                    yield held
+                    held, chars = [], 0
     if held:
         yield held
 
@@ -215,7 +219,7 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def token_groups(docs: DataFrame, byte_path: str, piece_path: str, block: int = BLOCK) -> DataFrame:
+def token_groups(docs: DataFrame, byte_path: str, piece_path: str, together: int = TOGETHER) -> DataFrame:
     """(doc_id, a, b, a_end, b_end, links) of every row: both token lists and how they fit together.
 
     a and b are the ids of space + text in each vocabulary. Group g holds the tokens from rank a_end[g - 1]
@@ -226,7 +230,7 @@ def token_groups(docs: DataFrame, byte_path: str, piece_path: str, block: int =
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(byte_path, piece_path)
-        for rows in _blocks(batches, block):
+        for rows in _blocks(batches, together):
             found = aligner.align(rows)
             out = []
             for i, doc_id in enumerate(found.doc_ids):
@@ -249,7 +253,7 @@ _DOC = pa.struct([
 ])
 
 
-def link_scores(docs: DataFrame, byte_path: str, piece_path: str, block: int = BLOCK) -> DataFrame:
+def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int = TOGETHER, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row.
 
     A link joins the A and the B token that end together at the end of a group. Its count is the number
@@ -268,17 +272,30 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, block: int = B
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << 33
-        for rows in _blocks(batches, block):
-            found = aligner.align(rows)
-            pairs, links, counts = np.unique(found.a[found.a_last] * second + found.b[found.b_last], return_inverse=True, return_counts=True)
-            per = [np.diff(x).tolist() for x in (found.a_from, found.b_from, found.group_from)]
-            names = [f.name for f in _DOC]
-            docs_of = [dict(zip(names, values, strict=True)) for values in zip(found.doc_ids, *per, aligner.written(found), strict=True)]
-            yield pa.RecordBatch.from_arrays([
+        names = [f.name for f in _DOC]
+        docs_of: list[dict] = []
+        ends: list[np.ndarray] = []
+        chars = 0
+
+        def counted() -> pa.RecordBatch:
+            pairs, links, counts = np.unique(np.concatenate(ends), return_inverse=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([docs_of], pa.list_(_DOC)), pa.array([pairs], pa.list_(pa.int64())),
                 pa.array([counts], pa.list_(pa.int64())), pa.array([links.astype(np.int32)], pa.list_(pa.int32())),
             ], schema=blocks_schema)
-            number += 1
+
+        for rows in _blocks(batches, together):
+            found = aligner.align(rows)
+            per = [np.diff(x).tolist() for x in (found.a_from, found.b_from, found.group_from)]
+            docs_of += [dict(zip(names, values, strict=True)) for values in zip(found.doc_ids, *per, aligner.written(found), strict=True)]
+            ends.append(found.a[found.a_last] * second + found.b[found.b_last])
+            chars += sum(len(r[1] or "") for r in rows)
+            if chars >= block:
+                yield counted()
+                docs_of, ends, chars = [], [], 0
+                number += 1
+        if docs_of:
+            yield counted()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
