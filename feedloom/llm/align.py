@@ -52,7 +52,7 @@ class ByteTokens:
 
     def encode(self, text: str) -> list[int]:
         try:
-            return self._fast.encode_ordinary(text)
+            return self._fast.encode(text, disallowed_special=())  # encode_ordinary panics where this raises
         except ValueError:  # its pattern gives up on about a million white-space characters in a row
             if self._library is None:
                 from tokenizers import Tokenizer
