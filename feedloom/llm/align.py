@@ -14,7 +14,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Stage, cut
+from feedloom.llm.common import Stage, batches_of, cut
 
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -325,6 +325,8 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
         highest = totals.groupBy(piece.alias("piece")).agg(F.max("total").alias("highest"))
         marked = totals.join(F.broadcast(highest), piece == F.col("piece")).select("pair", "total", (F.col("total") == F.col("highest")).alias("best"))
         back = pairs.join(marked, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "total", "best"))).alias("scores"))
-        return cut(blocks.join(back, "block", "left").select("docs", "links", "scores").mapInArrow(
+        scored = blocks.join(back, "block", "left").select("docs", "links", "scores").mapInArrow(
             score, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
-        ))
+        )
+        with batches_of(docs.sparkSession, 1):
+            return cut(scored)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.llm.common import cut
+
 RATIO = 0.02  # lines on more than this share of a host's pages are boilerplate ...
 MIN_PAGES = 4  # ... if they are on so many of its pages at least
+BROADCAST = 1 << 19  # boilerplate lines up to which their hashes go to all tasks (4 MB)
 
 
 def _lines(text: str) -> Column:
@@ -19,53 +22,60 @@ def _key(line: Column) -> Column:
     return F.xxhash64(F.trim(line))
 
 
-def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
-    """(host, line_key, pages, total, first) of the lines that exceed the ratio; a page counts a line once.
+def _keys(text: str) -> Column:
+    return F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
+
+
+def boilerplate_lines(
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, page: Column | None = None,
+) -> DataFrame:
+    """(host, line_key, pages, total) of the lines that exceed the ratio; a page counts a line once.
 
-    Lines are compared trimmed and by 64-bit hash; blank lines are never boilerplate. Rows with
-    a null host make up one host. Only hashes move. Each row is a page, or, without copies, each
-    distinct text of a host. `first` is the least hash of the texts that have the line.
+    A page is what `page` tells apart on its host: by default each distinct text, so copies of a
+    text are one page. Lines are compared trimmed and by 64-bit hash; blank lines are never boilerplate.
+    Rows with a null host make up one host. Only hashes move.
     """
-    keys = F.array_distinct(F.transform(F.filter(_lines(text), lambda x: F.trim(x) != ""), _key))
-    pages = docs.select(F.col(host).alias("host"), F.xxhash64(text).alias("page"), keys.alias("keys"))
-    if copies:
-        totals = pages.groupBy("host").agg(F.count("*").alias("total"))
-    else:
-        totals = pages.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("total"))
-        pages = pages.groupBy("host", "page").agg(F.any_value("keys").alias("keys"))
+    which = F.xxhash64(text) if page is None else F.xxhash64(page)
+    pages = docs.select(F.col(host).alias("host"), which.alias("page"), _keys(text).alias("keys"))
+    totals = pages.groupBy("host", "page").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("total"))
     counted = (
-        pages.select("host", "page", F.explode("keys").alias("line_key"))
-        .groupBy("host", "line_key").agg(F.count("*").alias("pages"), F.min("page").alias("first")).where(F.col("pages") >= min_pages)
+        pages.select("host", "page", F.explode("keys").alias("line_key")).distinct()
+        .groupBy("host", "line_key").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     )
     return (
         counted.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h")))
-        .where(F.col("pages") > F.col("total") * ratio).select("host", "line_key", "pages", "total", "first")
+        .where(F.col("pages") > F.col("total") * ratio).select("host", "line_key", "pages", "total")
     )
 
 
-def dedup_lines(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, host: str = "source", text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, page: Column | None = None,
+) -> DataFrame:
     """docs with the boilerplate lines of each row's host taken out of its text; all rows and columns stay.
 
     A host has at most (lines a page) / ratio boilerplate lines, so their hashes travel as one
-    array for each host, and texts need no regrouping. Null texts stay null, empty ones empty; a
-    text of boilerplate alone becomes empty. Repeated rows each count as a page. Columns named
-    like the ones used here stay as they are.
+    array for each host. They are sent to all tasks where all of them are few (BROADCAST), and texts stay
+    where they are; else they are dealt out with a salt, so that a large host is no single task's.
 
-    Without copies, exact copies of a text count as one page, so they do not make its lines
-    boilerplate. Near copies still do: a text that would lose more than half its characters keeps
-    the lines of which it is the first on its host by hash, so one of the group stays readable.
+    Null texts stay null, empty ones empty; a text of boilerplate alone becomes empty. Copies of a text are one page
+    (see boilerplate_lines), and each loses the same lines. Columns of any name stay as they are.
     """
-    found = boilerplate_lines(docs, host, text, ratio, min_pages, copies)
-    own = F.xxhash64("line_key", "first")
-    held = found.groupBy("host").agg(F.collect_list("line_key").alias("__keys"), F.collect_list(own).alias("__firsts")).withColumnRenamed("host", "__host")
-
-    def without(gone: Callable[[Column], Column]) -> Column:
-        return F.array_join(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~gone(x)), "\n")
-
-    left = without(lambda x: F.array_contains("__keys", _key(x)))
-    if not copies:
-        first = without(lambda x: F.array_contains("__keys", _key(x)) & ~F.array_contains("__firsts", F.xxhash64(_key(x), F.xxhash64(text))))
-        left = F.when(F.length(left) * 2 < F.length(text), first).otherwise(left)
-    return docs.join(held, F.col(host).eqNullSafe(F.col("__host")), "left").select(
-        *(F.when(F.col("__keys").isNull(), F.col(text)).otherwise(left).alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns)
-    )
+    spark = docs.sparkSession
+    mark = uuid.uuid4().hex  # no column of docs has it in its name
+    found = boilerplate_lines(docs, host, text, ratio, min_pages, page)
+    held = cut(found.groupBy("host").agg(F.collect_list("line_key").alias(f"keys_{mark}"), F.count("*").alias("n")).withColumnRenamed("host", f"host_{mark}"))
+    few = (held.agg(F.sum("n")).first()[0] or 0) <= BROADCAST
+    matches = F.col(host).eqNullSafe(F.col(f"host_{mark}"))
+    if few:
+        joined = docs.join(F.broadcast(held), matches, "left")
+    else:
+        salts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        salted = held.withColumn(f"salt_{mark}", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = docs.withColumn(f"own_{mark}", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")).join(
+            salted, matches & (F.col(f"own_{mark}") == F.col(f"salt_{mark}")), "left"
+        )
+    hits = f"hits_{mark}"
+    joined = joined.withColumn(hits, F.array_intersect(_keys(text), F.col(f"keys_{mark}")))
+    left = F.array_join(F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains(hits, _key(x))), "\n")
+    cleaned = F.when(F.size(hits) > 0, left).otherwise(F.col(text))
+    return joined.select(*(cleaned.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns))

@@ -21,7 +21,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BANDS, ROWS = 45, 6  # a pair at similarity 0.8 is missed by all bands with probability 1.2e-6
 DEVIATIONS = 6.0  # the signature may lie so many standard deviations below the threshold
-SMALL = 32  # members of a hub that are compared with each other outright
+PIVOTS = 3  # members of a bucket that all others are compared with before what is still apart is paired
+LANES = 8  # longs of a set's bitmap, which tells most pairs apart
 SEED = 20_011
 PIECE = 1 << 20  # bytes of a text split into words at a time
 CHUNK = 1 << 16  # shingles hashed at a time
@@ -100,7 +101,7 @@ def _minima(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 _SIGNED = pa.schema([
     ("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()),
-    ("keys", pa.list_(pa.int64())), ("signature", pa.binary()),
+    ("keys", pa.list_(pa.int64())), ("signature", pa.binary()), ("mark", pa.int64()),
 ])
 
 
@@ -128,7 +129,7 @@ def _signer(words: int, bands: int, rows: int):
                 yield pa.RecordBatch.from_arrays([
                     part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(k1, pa.int64()), pa.array(k2, pa.int64()),
-                    pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()),
+                    pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), part.column(2),
                 ], schema=_SIGNED)
     return sign
 
@@ -166,28 +167,31 @@ def _confirmed(words: int, num: int, den: int):
 
 
 def _against_hub(words: int, num: int, den: int):
-    """What each member has in common with its hub, and which of its other shingles a link has to hit.
+    """The shingles of each member that a link of it may have to hit: those that its hub lacks, then the hub's.
 
-    A link needs num * n / den shingles of the member. Those in the hub give `inside` at most, so
-    the others have to give the rest: of those, in order of hash, all but the last (rest - 1) are kept,
-    and two members with enough of them in common meet on one that both keep.
+    Two linked sets share num * n / den shingles of each. So in any one order of all shingles, each
+    has one they share among its first n - num * n / den + 1 (`need`). The hub's come last in that
+    order, and where those outside the hub are as many as needed, they are left out.
     """
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, at, hub_set = _WordHashes(), None, None
         for batch in batches:
-            sizes, insides, outsides = [], [], []
+            sizes, needs, outsides, insides, maps = [], [], [], [], []
             for hub, x, y in zip(*(batch.column(i).to_pylist() for i in (0, 3, 4)), strict=True):
                 if hub != at:
                     at, hub_set = hub, shingle_set(x, words, known)
                 own = shingle_set(y, words, known)
                 outside = np.setdiff1d(own, hub_set, assume_unique=True)
-                inside = len(own) - len(outside)
-                rest = max(1, -(-num * len(own) // den) - inside)
-                sizes.append(len(own)), insides.append(inside)
-                outsides.append(outside[: max(0, len(outside) - rest + 1)].view(np.int64))
+                need = len(own) - -(-num * len(own) // den) + 1
+                sizes.append(len(own)), needs.append(need), outsides.append(outside.view(np.int64))
+                insides.append(np.setdiff1d(own, outside, assume_unique=True).view(np.int64) if need > len(outside) else None)
+                bits = np.zeros(64 * LANES, np.uint8)
+                bits[own % np.uint64(64 * LANES)] = 1
+                maps.append(np.packbits(bits).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(insides, pa.int64()), pa.array(outsides, pa.list_(pa.int64()))],
-                ["hub", "id", "component", "n", "inside", "outside"],
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(needs, pa.int64()),
+                 pa.array(outsides, pa.list_(pa.int64())), pa.array(insides, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
+                ["hub", "id", "component", "n", "need", "outside", "inside", "bits"],
             )
     return split
 
@@ -203,33 +207,39 @@ def near_duplicates(
     """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
     Links hold where den * intersection >= num * union of the shingle sets. Equal sets are one
-    class, represented by its least doc_id. Classes that share a band key are candidates. Each is first
+    class, represented by a text of its least doc_id. Classes that share a band key are candidates. Each is first
     compared with the hub of its bucket, the member with the largest buckets in all bands. Members
-    of one hub that are then still in several components are compared with each other: in groups
-    of at most SMALL all of them, in larger ones those that share a shingle which the hub has not,
-    or whose shingles in the hub alone may make a link (see _against_hub). No other two can be linked, so no
-    candidate link between components is left out, and groups of alike rows do not become all
-    their pairs. Candidates are checked on signatures and confirmed on full sets.
+    of one hub that are then still in several components meet on the rarest of the shingles that
+    several components have (see _against_hub and open_buckets), where no two that can be linked miss each other.
+    In each such bucket all are compared with one member, PIVOTS times over, which joins what is
+    alike at a cost in proportion to the bucket; those still apart are paired where sizes and bitmaps
+    let them be linked. So no candidate link between components is left out, and groups of alike
+    rows do not become all their pairs. Candidates are checked on signatures and confirmed on full sets.
 
     Null or empty texts have no shingles and no links. A null doc_id is never linked: its
-    component_id is null and it is kept. doc_id is taken as the key of a text: rows that repeat it
-    are each returned, and a repeated id with several texts is searched by one of them. Other
+    component_id is null and it is kept. Rows that repeat a doc_id are each returned; if their texts
+    differ, each is searched, and what is linked to one of them is linked to the document. Other
     columns are not looked at; an empty table gives an empty result.
     """
     num, den = threshold
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hashed = texts.withColumn("mark", F.xxhash64("text"))
     with Stage(spark) as stage:
         signed = stage.table(
-            texts.mapInArrow(
+            hashed.mapInArrow(
                 _signer(shingle_words, bands, rows),
-                "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, signature binary",
+                "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, signature binary, mark long",
             ), "signed",
         )
-        classes = cut(signed.where("k1 is not null and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
+        found = signed.where("k1 is not null and doc_id is not null")
+        classes = cut(
+            found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
+            .select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("id"))
+        )
         known = stage.table(
-            signed.join(classes, (F.col("doc_id") == F.col("rep")) & (signed.k1 == classes.k1) & (signed.k2 == classes.k2))
-            .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "n_shingles", "keys", "signature"), "known",
+            signed.join(classes, ["k1", "k2"]).where("doc_id = rep AND mark = rep_mark")
+            .dropDuplicates(["id"]).select("id", "rep", "rep_mark", "n_shingles", "keys", "signature"), "known",
         )
         rows_of = known.select("id", F.explode("keys").alias("key"))
         shared = stage.table(rows_of.join(rows_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
@@ -241,6 +251,17 @@ def near_duplicates(
             shared.join(hubs, "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "members"
         )
 
+        # rows of an id may have several texts; the rows of one text are read once
+        repeated = signed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
+        one = hashed.where("doc_id is not null").toDF("rep", "text", "rep_mark")
+        if repeated:
+            one = one.dropDuplicates(["rep", "rep_mark"])
+
+        def with_text(rows: DataFrame, column: str, out: str) -> DataFrame:
+            """rows with the text of the class that column names."""
+            named = rows.join(known.select(F.col("id").alias(column), "rep", "rep_mark"), column)
+            return named.join(one.withColumnRenamed("text", out), ["rep", "rep_mark"]).drop("rep", "rep_mark")
+
         def links(pairs: DataFrame) -> DataFrame:
             x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
             y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
@@ -249,54 +270,79 @@ def near_duplicates(
                 .select("a", "b", "sa", "sb").mapInArrow(_alike(num / den, bands * rows), "a long, b long")
             )
             return cut(
-                cut(alike).join(one.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-                .join(one.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-                .select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
+                with_text(with_text(cut(alike), "b", "y"), "a", "x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
-        repeated = signed.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count() > 0
-        one = texts.where("doc_id is not null").withColumnRenamed("doc_id", "id")
-        if repeated:
-            one = one.groupBy("id").agg(F.min("text").alias("text"))
+        def still_open(rows: DataFrame) -> DataFrame:
+            """Rows of the buckets that hold several components."""
+            several = rows.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+            return rows.join(several.select("hub", "shingle"), ["hub", "shingle"]).select("hub", "shingle", "id", "component", "n", "bits")
+
+        def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+            """(hub, shingle, id, component, n): where members of a hub, of several components as yet, may meet.
+
+            Shingles that only one component has come first in the order, as nobody meets there, then
+            the others by how many members have them. So members that share a common
+            passage alone don't meet on it.
+            """
+            placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            several = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+            parts = stage.table(
+                with_text(with_text(placed.join(several.select("hub"), "hub"), "id", "y"), "hub", "x").select("hub", "id", "component", "x", "y")
+                .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, need long, outside array<long>, inside array<long>, bits array<long>"),
+                "parts",
+            )
+            # two members meet on a shingle of the hub only if neither has as many outside it as needed
+            within = parts.where(F.col("need") > F.size("outside"))
+            wide = within.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("hub")
+            found = parts.select("hub", "id", "component", F.lit(0).alias("kind"), F.explode("outside").alias("shingle")).union(
+                within.join(wide, "hub").select("hub", "id", "component", F.lit(1).alias("kind"), F.explode("inside").alias("shingle"))
+            )
+            live = found.groupBy("hub", "shingle").agg(
+                F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("often")
+            ).where("low < high").select("hub", "shingle", "often")
+            ordered = found.join(live, ["hub", "shingle"]).groupBy("hub", "id").agg(F.sort_array(F.collect_list(F.struct("kind", "often", "shingle"))).alias("live"))
+            sides = parts.select("hub", "id", "component", "n", "bits", "need", F.size("outside").alias("o"), F.coalesce(F.size("inside"), F.lit(0)).alias("i")).join(ordered, ["hub", "id"])
+            first, last = (F.filter("live", lambda x, k=k: x["kind"] == k) for k in (0, 1))
+            kept = F.concat(
+                F.slice(first, 1, F.greatest(F.lit(0), F.least("need", "o") - (F.col("o") - F.size(first))).cast("int")),
+                F.slice(last, 1, F.greatest(F.lit(0), F.col("need") - F.col("o") - (F.col("i") - F.size(last))).cast("int")),
+            )
+            return still_open(sides.select("hub", "id", "component", "n", "bits", F.explode(kept).alias("k")).select("hub", F.col("k.shingle").alias("shingle"), "id", "component", "n", "bits"))
+
         found = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
         labels = connected_components(found, "a", "b")
-        placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = placed.groupBy("hub").agg(
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")
-        ).where("low < high")
-        left = stage.table(placed.join(several.select("hub", "size"), "hub").select("hub", "id", "component", "size"), "open")
-
-        def sides(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-            """df twice, its columns but for the join keys marked 1 and 2."""
-            return tuple(df.withColumnsRenamed({c: f"{c}{k}" for c in ("id", "component", *columns)}) for k in (1, 2))
-
-        apart = "id1 < id2 AND component1 <> component2"
-        one_side, other = sides(left.where(F.col("size") <= SMALL).select("hub", "id", "component"))
-        pairs = one_side.join(other, "hub").where(apart).select("id1", "id2")
-        parts = cut(
-            left.where(F.col("size") > SMALL).join(one.select("id", F.col("text").alias("y")), "id")
-            .join(one.select(F.col("id").alias("hub"), F.col("text").alias("x")), "hub")
-            .select("hub", "id", "component", "x", "y")
-            .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, inside long, outside array<long>")
-        )
-        one_side, other = sides(parts.select("hub", "id", "component", "n", F.explode("outside").alias("shingle")), "n")
-        pairs = pairs.union(
-            one_side.join(other, ["hub", "shingle"]).where(apart).where(_fits(F.col("n1"), F.col("n2"), num, den)).select("id1", "id2")
-        )
-        one_side, other = sides(parts.where(F.col("inside") * den >= F.col("n") * num).drop("outside"), "n", "inside")
-        pairs = pairs.union(
-            one_side.join(other, "hub").where(apart)
-            .where(F.least("inside1", "inside2") * (num + den) >= (F.col("n1") + F.col("n2")) * num).select("id1", "id2")
-        )
-        more = links(pairs.distinct().toDF("a", "b"))
-        labels = connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "a", "b")
-        narrow = signed.select("doc_id", "n_shingles", "k1", "k2")
-        return cut(
-            narrow.join(classes, ["k1", "k2"], "left")
-            .withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-            .join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-            .select(
-                "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"),
-                F.coalesce(F.col("doc_id") == F.coalesce("component", "rep"), F.lit(True)).alias("kept"),
+        def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+            """The labels once the links among these pairs are known too."""
+            return connected_components(
+                labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links(pairs.select("id1", "id2").distinct().toDF("a", "b"))), "a", "b"
             )
-        )
+
+        buckets = stage.table(open_buckets(members, labels), "buckets")
+        for turn in range(PIVOTS):
+            pivots = buckets.groupBy("hub", "shingle").agg(F.min(F.struct("id", "component", "n")).alias("p"))
+            pivots = pivots.select("hub", "shingle", F.col("p.id").alias("id1"), F.col("p.component").alias("component1"), F.col("p.n").alias("n1"))
+            others = buckets.join(pivots, ["hub", "shingle"]).where("id <> id1")
+            labels = merged(labels, others.withColumnRenamed("id", "id2").where((F.col("component1") != F.col("component")) & _fits(F.col("n1"), F.col("n"), num, den)))
+            again = others.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            buckets = stage.table(still_open(again), f"buckets-{turn}")
+        one_side, other = (buckets.withColumnsRenamed({c: f"{c}{k}" for c in ("id", "component", "n", "bits")}) for k in (1, 2))
+        # a bit that one set alone has is a shingle that the other lacks, and linked sets lack few of each other's
+        unlike = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(LANES)), F.lit(0))
+        alike = (num + den) * unlike <= (den - num) * (F.col("n1") + F.col("n2"))
+        labels = merged(labels, one_side.join(other, ["hub", "shingle"]).where("id1 < id2 AND component1 <> component2").where(_fits(F.col("n1"), F.col("n2"), num, den) & alike))
+        narrow = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
+        if repeated:  # the texts of an id are one document, so their classes are linked
+            of = narrow.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()
+            shared_ids = of.join(of.groupBy("doc_id").agg(F.min("id").alias("first")), "doc_id").where("id <> first")
+            labels = connected_components(
+                labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(shared_ids.select("id", "first")), "a", "b"
+            )
+        grouped = classes.select("id", "rep").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
+        named = grouped.join(least, "component").select("id", "least")
+        result = narrow.join(named, "id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+        if repeated:  # also for rows of it without words
+            least = result.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+            result = result.drop("component_id").join(least, result.doc_id.eqNullSafe(least.doc_id)).drop(least.doc_id)
+        return cut(result.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")))

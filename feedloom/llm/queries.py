@@ -132,13 +132,13 @@ ORACLES: dict[str, str] = {
         FROM x""",
     "op6_site_lines": f"""
         WITH l AS (
-            SELECT rowid_ AS r, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
+            SELECT rowid_ AS r, text, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
             FROM (SELECT *, row_number() OVER () AS rowid_ FROM documents)
-        ), t AS (SELECT source, count(*) AS total FROM documents GROUP BY source
+        ), t AS (SELECT source, count(DISTINCT coalesce('t' || text, '')) AS total FROM documents GROUP BY source
         ), f AS (
             SELECT l.source, trim(line, ' ') AS line FROM l WHERE trim(line, ' ') <> '' GROUP BY l.source, trim(line, ' ')
-            HAVING count(DISTINCT r) >= {lines.MIN_PAGES}
-               AND count(DISTINCT r) > {lines.RATIO} * (SELECT total FROM t WHERE t.source IS NOT DISTINCT FROM l.source)
+            HAVING count(DISTINCT l.text) >= {lines.MIN_PAGES}
+               AND count(DISTINCT l.text) > {lines.RATIO} * (SELECT total FROM t WHERE t.source IS NOT DISTINCT FROM l.source)
         ), k AS (
             SELECT r, string_agg(l.line, chr(10) ORDER BY i) AS text FROM l
             WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source IS NOT DISTINCT FROM l.source AND f.line = trim(l.line, ' '))

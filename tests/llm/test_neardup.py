@@ -16,22 +16,21 @@ def _shingles(text, k):
 
 
 def _brute(rows, k):
-    sets = {d: _shingles(t, k) for d, t in rows}
-    parent = {d: d for d in sets}
+    parent = {d: d for d, _ in rows}
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+    sets = [(d, _shingles(t, k)) for d, t in rows]
+    for i, (a, s) in enumerate(sets):
+        for b, t in sets[i + 1 :]:
+            both = len(s & t)
+            if s and t and 100 * both >= 80 * (len(s) + len(t) - both):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d)) for d in sets}
+    return sorted((d, len(s), find(d), d == find(d)) for d, s in sets)
 
 
 def _result(spark, rows, k, schema=DOCS):
@@ -55,9 +54,74 @@ def test_equals_brute_force(spark, k):
     texts += ["", "   ", "One", "one", "one two", "ONE  two", "é É", "é é"] + [" ".join(rng.choices(words, k=30)) for _ in range(40)]
     rng.shuffle(texts)
     rows = list(enumerate(texts, 100))
-    want = _brute(rows, k)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in _result(spark, rows, k).collect()}
-    assert got == {d: (n, c, d == c) for d, (n, c) in want.items()}
+    assert sorted(map(tuple, _result(spark, rows, k).collect())) == _brute(rows, k)
+    shared = [(d // 3, t) for d, t in rows[:200]]  # ids with several texts
+    assert sorted(map(tuple, _result(spark, shared, k).collect())) == _brute(shared, k)
+
+
+def test_ids_with_several_texts(spark):
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [(5, a), (5, b), (9, a + " more"), (7, b + " more"), (5, ""), (5, a)]
+    assert sorted(map(tuple, _result(spark, rows, 2).collect())) == _brute(rows, 2)
+    assert {r.component_id for r in _result(spark, rows, 2).collect()} == {5}
+
+
+def test_group_around_a_common_passage(spark, monkeypatch):
+    """5,000 texts share a passage; some are edited copies of others. Candidates grow with the group, not with its square."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for i in range(5000):
+        own = [f"w{rng.randrange(4000)}" for _ in range(25)]
+        if i % 10 == 9:
+            own = texts[-1].split()[60:]
+            own[rng.randrange(25)] = "edit"
+        texts.append(f"{passage} {' '.join(own)}")
+    rows = list(enumerate(texts))
+    # the passage is shared by all; two texts are linked where enough of the rest is shared too
+    counted, alike = [], neardup._alike
+
+    def counting(share, hashes):
+        keep, seen = alike(share, hashes), spark.sparkContext.accumulator(0)
+        counted.append(seen)
+
+        def run(batches):
+            def each():
+                for batch in batches:
+                    seen.add(batch.num_rows)
+                    yield batch
+            return keep(each())
+        return run
+
+    monkeypatch.setattr(neardup, "_alike", counting)
+    got = sorted(map(tuple, _result(spark, rows, 2).collect()))
+    sets = [_shingles(t, 2) for t in texts]
+    index = {}
+    for i, s in enumerate(sets):
+        for shingle in s:
+            index.setdefault(shingle, []).append(i)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    common = len(_shingles(passage, 2))
+    for i, s in enumerate(sets):
+        shared = {}
+        for shingle in s:
+            if len(index[shingle]) < 100:
+                for j in index[shingle]:
+                    if j > i:
+                        shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            both = n + common
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == [(i, len(sets[i]), find(i), i == find(i)) for i in range(len(rows))]
+    assert sum(a.value for a in counted) < 10 * len(rows)
 
 
 def test_nulls_repeats_and_empty(spark):

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from feedloom.llm import extract, leaks, lines, packing, secrets, winnow
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,18 +29,34 @@ def test_lines_above_the_ratio_go(spark):
     assert lines.dedup_lines(df).columns == df.columns
 
 
-def test_copies_keep_one_text(spark):
+def test_copies_are_one_page(spark):
     body = [f"line {k} of a copied text with words of its own" for k in range(20)]
-    near = [f"row {k} of a text that was copied and edited" for k in range(20)]
     rows = [(i, "s", f"Menu\nown {i} " + "w" * 60) for i in range(50)]
     rows += [(100 + i, "s", "\n".join(["Menu", *body])) for i in range(30)]
-    rows += [(200 + i, "s", "\n".join(["Menu", *near[:i], f"edit {i}", *near[i + 1 :]])) for i in range(20)]
-    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, source string, text string"), copies=False).collect()}
-    assert len(got) == len(rows) and all(got[i] == f"own {i} " + "w" * 60 for i in range(50))
-    assert all(got[100 + i] == "\n".join(body) for i in range(30))
-    kept = [[x for x in got[200 + i].split("\n") if x in near] for i in range(20)]
-    assert max(map(len, kept)) == 19 and {x for each in kept for x in each} == set(near)
-    assert all(f"edit {i}" in got[200 + i].split("\n") for i in range(20))
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert got == {i: f"own {i} " + "w" * 60 for i in range(50)} | {100 + i: "\n".join(body) for i in range(30)}
+    salted = lines.BROADCAST
+    try:
+        lines.BROADCAST = 0
+        assert {r.doc_id: r.text for r in lines.dedup_lines(df).collect()} == got
+    finally:
+        lines.BROADCAST = salted
+
+
+def test_near_copies_keep_one_whole_text(spark):
+    """The line stage leaves near copies whole but for their menu, and near-dedup keeps one of them."""
+    rng = random.Random(11)
+    near = [" ".join(rng.choices([f"n{j}" for j in range(900)], k=9)) for _ in range(20)]
+    rows = [(i, "s", f"Menu\nown {i} " + " ".join(f"u{i}x{j}" for j in range(12)), i) for i in range(100)]
+    rows += [(200 + i, "s", "\n".join(["Menu", *near[: i % 20], f"edit {i}", *near[i % 20 + 1 :]]), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars int")
+    cleaned = corpus_pipeline.line_stage(spark, df, "")
+    got = {r.doc_id: r for r in cleaned.collect()}
+    assert cleaned.columns == df.columns and all(got[i].n_chars == len(got[i].text) for i in got)
+    assert all(got[r[0]].text == r[2].removeprefix("Menu\n") for r in rows)
+    kept = [r.doc_id for r in corpus_pipeline.neardup_stage(spark, cleaned, "").collect()]
+    assert sorted(kept) == [*range(100), 200]
 
 
 # --- leaks --------------------------------------------------------------------------------
