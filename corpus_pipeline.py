@@ -22,9 +22,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of their source; n_chars follows the text.
 
-    Copies of a text are not pages of their own here: the next stage keeps one of them, with its text.
+    The near-duplicates of a text are one page: the next stage keeps one of them, and its lines are
+    not boilerplate for being in all of them.
     """
-    cleaned = lines.dedup_lines(docs, copies=False)
+    key, component = (f"{name}_{uuid.uuid4().hex}" for name in ("key", "component"))  # no column of docs has these names
+    groups = neardup.near_duplicates(docs).where("doc_id is not null").groupBy(F.col("doc_id").alias(key)).agg(F.min("component_id").alias(component))
+    found = docs.join(groups, F.col("doc_id") == F.col(key), "left")
+    page = F.coalesce(F.col(component).cast("string"), F.concat(F.lit("t"), F.col("text")))
+    cleaned = lines.dedup_lines(found, page=page).select(*docs.columns)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
