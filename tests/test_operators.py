@@ -20,7 +20,7 @@ from feedloom.sources.store import (
     last_run_time, read_articles, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
 )
 from feedloom.streaming.feed_stop import feed_stop_stream
-from feedloom.streaming.incremental import append_to, run_available
+from feedloom.streaming.incremental import append_to, fresh_links, run_available
 
 SITE = SiteProfile("https://feed.example", "feed.example", "Feed Example", categories=(("A", "a"), ("B", "b")))
 NOW = datetime(2026, 4, 10, 12)
@@ -302,6 +302,27 @@ def test_streamed_stops_do_not_depend_on_batches(spark, tmp_path):
     assert spark.read.parquet(out).count() == len(feeds)
 
 
+def test_streamed_links_are_judged_however_late(spark, tmp_path):
+    """Days 10, 5, 11 and 3 in four batches: every link comes out once, old ones put aside."""
+    day = lambda d: datetime(2026, 4, d, 12)
+    batches = [
+        [("c", "/page/a", "2 hours ago", day(10))], [("c", "/page/b", "1 hour ago", day(5)), ("c", "/page/a", "1 hour ago", day(9))],
+        [("c", "/page/c", None, day(11)), ("c", "/page/old", "9 days ago", day(11)), (None, "/page/c", "1 hour ago", day(11))],
+        [("c", "/page/d", "3 minutes ago", day(3)), ("c", "/page/a", "1 hour ago", day(11)), ("c", "/page/e", "Apr 3, 2026", day(3)), ("c", "/settings", None, day(3))],
+    ]
+    schema = "category string, href string, timestamp string, observed_at timestamp"
+    got = []
+    for turn, order in enumerate(([0, 1, 2, 3], [3, 2, 1, 0])):
+        source, out, late = (str(tmp_path / f"{name}{turn}") for name in ("in", "out", "late"))
+        for k in order:
+            spark.createDataFrame(batches[k], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        links = fresh_links(stream, SITE, arrived_at=F.lit("2026-04-11 12:00:00").cast("timestamp"), memory="4 days")
+        run_available(links, str(tmp_path / f"check{turn}"), append_to(out, late), by_clock=True).awaitTermination()
+        got.append([sorted((r.category or "", r.url.rsplit("/", 1)[1]) for r in spark.read.parquet(p).collect()) for p in (out, late)])
+    assert got[0] == got[1] == [[("", "c"), ("c", "a"), ("c", "c")], [("c", "b"), ("c", "d"), ("c", "e")]]
+
+
 def test_lexicon_terms_stand_for_themselves(spark):
     lexicon = {"kinds": ("c++", "o'neil", "big data", "a.b", "plain", r"x\y"), "more": ("plain",)}
     texts = [(1, "We know C++ and O'Neil; big data, a.b."), (2, "c+ ab axb o neil bigdata"), (3, "PLAIN"), (4, None), (5, r"an x\y here")]

@@ -468,14 +468,17 @@ def _in_batches(df: DataFrame, path: str, batches: int, *by: str) -> None:
 
 
 def incremental_stream(spark, sf_dir):
-    """Streaming load of the feed cards in four batches, new and old ones mixed."""
-    observed = _items(spark, sf_dir).withColumn("observed_at", F.lit(AS_OF).cast("timestamp"))
-    items = stage(observed, "feed-items")
-    folder, out = scratch_path(spark, "feed-batches"), scratch_path(spark, "stream-links")
+    """Streaming load of the feed cards in four shuffled batches, observed over ten days; late ones are put aside and read again."""
+    as_of = F.lit(AS_OF).cast("timestamp")
+    days = F.pmod(F.col("pos"), F.lit(10)).cast("int")
+    items = stage(_items(spark, sf_dir).withColumn("observed_at", as_of - F.make_dt_interval(days)), "feed-items")
+    folder, out, late = (scratch_path(spark, name) for name in ("feed-batches", "stream-links", "late-links"))
     _in_batches(items, folder, 4, "pos")
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(folder)
-    run_available(fresh_links(stream, SITE), scratch_path(spark, "checkpoint"), append_to(out)).awaitTermination()
-    return spark.read.option("basePath", out).parquet(out).select("category", "url")
+    links = fresh_links(stream, SITE, arrived_at=as_of)
+    run_available(links, scratch_path(spark, "checkpoint"), append_to(out, late), by_clock=True).awaitTermination()
+    found = [spark.read.option("basePath", path).parquet(path).select("category", "url") for path in (out, late)]
+    return found[0].union(found[1])
 
 
 def feed_stop_streamed(spark, sf_dir):
