@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from feedloom import SiteProfile
-from feedloom.functions.entities import extract_entities, tag_with_lexicon
+from feedloom.functions.entities import entities_by_kind, extract_entities, tag_with_lexicon
 from feedloom.functions.render import render_markdown, render_record_v1
 from feedloom.operators.feed import feed_links, feed_links_v1
 from feedloom.operators.nest import linked_pages, nest_linked_pages
@@ -331,5 +331,20 @@ def test_lexicon_terms_stand_for_themselves(spark):
     assert got[1].kinds == ["c++", "o'neil", "big data", "a.b"] and got[2].kinds == [] and got[4].kinds == []
     assert (got[3].kinds, got[3].more) == (["plain"], ["plain"]) and got[5].kinds == [r"x\y"]
     table = spark.createDataFrame([("k", "Big Data"), ("k", "plain"), ("m", "plain"), ("m", "plain"), ("k", "data big")], "kind string, term string")
-    tagged = tag_with_lexicon(df, table, "id", "text", max_words=2).collect()
+    tagged = tag_with_lexicon(df, table, "id", "text").select("id", "kind", "term").collect()
     assert sorted(map(tuple, tagged)) == [(1, "k", "Big Data"), (3, "k", "plain"), (3, "m", "plain")]
+
+
+def test_lexicon_table_equals_the_expression(spark):
+    """Random terms with marks and blanks, in texts made of their pieces: both forms agree, in lexicon order."""
+    rng = random.Random(21)
+    pieces = ["c", "c++", "node", ".", "js", " ", " ", "new", "york", "r&d", "python", "-", "é", "x_1", "\\E", "'", "+", "3.0", "\n", "NEW", "."]
+    make = lambda n: "".join(rng.choices(pieces, k=rng.randint(1, n)))
+    terms = {"c++", "node.js", "new york", "r&d", "python", ".net", "+", "a \\E b"} | {t for t in (make(4).lower() for _ in range(60)) if t.strip() == t and t}
+    lexicon = {kind: tuple(rng.sample(sorted(terms), 30)) for kind in ("k", "m")}
+    texts = [(i, make(14)) for i in range(150)] + [(900, None), (901, ""), (902, "C++ and Node.js in New York, R&D, python")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    want = {r.id: {k: list(r.e[k]) for k in lexicon if r.e[k]} for r in df.select("id", extract_entities("text", lexicon).alias("e")).collect()}
+    table = spark.createDataFrame([(k, t, i) for k, ts in lexicon.items() for i, t in enumerate(ts)], "kind string, term string, term_idx int")
+    got = {r.id: r.entities for r in entities_by_kind(tag_with_lexicon(df, table, "id", "text"), "id").collect()}
+    assert got == {i: e for i, e in want.items() if e} and len(got) > 50

@@ -230,7 +230,7 @@ def entity_tags_table(spark, sf_dir):
     """The same tags from a lexicon that is a table."""
     rows = [(kind, term) for kind, terms in site_lexicon(SITE).items() for term in terms]
     lexicon = spark.createDataFrame(rows, "kind string, term string")
-    return tag_with_lexicon(_noisy(spark, sf_dir), lexicon, "doc_id", "text", max_words=2)
+    return tag_with_lexicon(_noisy(spark, sf_dir), lexicon, "doc_id", "text").select("doc_id", "kind", "term")
 
 
 def entity_counts(spark, sf_dir):
