@@ -19,7 +19,7 @@ from feedloom.operators.summary import run_summary
 from feedloom.profile import SiteProfile
 from feedloom.schema import ARTICLE
 from feedloom.sources.categories import categories
-from feedloom.sources.pages import latest_pages, page_facts, page_facts_v1
+from feedloom.sources.pages import cleaned_links, latest_pages, page_facts, page_facts_v1
 
 
 @dataclass(frozen=True)
@@ -80,7 +80,7 @@ def harvest(
     """Articles of all categories with related stories, sources and entities.
 
     Pages are looked up before they are parsed: first those behind fresh links, then those that
-    the articles before the stops link to. Of several snapshots of a url the newest counts.
+    the articles before the stops link to and that are not among the first, so no page is parsed twice. Of several snapshots of a url the newest counts.
     What is kept is staged once, and only its texts are cleaned. ``dedup_against`` leaves out
     articles whose (category, url) it already holds.
     """
@@ -90,17 +90,18 @@ def harvest(
     )
     behind_links = latest_pages(pages, links.select("url").distinct())
     facts = stage(
-        page_facts(behind_links, profile, ("title", "date_text", "raw_content", "top_links"), limits), "opened-pages"
+        page_facts(behind_links, profile, ("title", "date_text", "raw_content", "top_links", "raw_related", "raw_source"), limits), "opened-pages"
     )
     opened = opened_articles(links, facts, cut)
     if dedup_against is not None:
         opened = opened.join(dedup_against.select("category", "url"), ["category", "url"], "left_anti")
     body = facts.select("url", "title", clean_noise("raw_content").alias("content"), "top_links")
     articles = stage(opened.join(body, "url"), "articles")
-    linked_urls = articles.select(F.explode("top_links.url").alias("url")).distinct()
-    linked_facts = page_facts(
-        latest_pages(pages, linked_urls), profile, ("date_text", "related_content", "source_content"), limits
-    )
+    linked_urls = stage(articles.select(F.explode("top_links.url").alias("url")).distinct(), "linked-urls")
+    opened_before = facts.select("url", "date_text", "raw_related", "raw_source").join(linked_urls, "url", "left_semi")
+    others = linked_urls.join(facts.select("url"), "url", "left_anti")
+    parsed_now = page_facts(latest_pages(pages, others), profile, ("date_text", "raw_related", "raw_source"), limits)
+    linked_facts = stage(cleaned_links(opened_before.unionByName(parsed_now)), "linked-pages")
     linked = linked_pages(articles, linked_facts, *cut.args())
     nested = nest_linked_pages(articles.drop("top_links"), linked)
     tagged = nested.withColumn(

@@ -53,8 +53,8 @@ def page_facts(
 ) -> DataFrame:
     """One row per page with its url and the ``fields`` asked for.
 
-    ``raw_content`` is the article text before cleaning. ``source_content`` is NULL for a page
-    without paragraphs. ``top_links`` are the few links whose pages are looked up.
+    ``raw_content``, ``raw_related`` and ``raw_source`` are the texts before cleaning (see
+    ``cleaned_links``). ``source_content`` is NULL for a page without paragraphs. ``top_links`` are the few links whose pages are looked up.
     """
     source = page.paragraphs_text()
     if limits.source_chars is not None:
@@ -64,7 +64,9 @@ def page_facts(
         "date_text": lambda: page.page_date_text(limits.date_search_chars),
         "raw_content": page.article_text_raw,
         "content": page.article_text_raw,
+        "raw_related": page.related_text_raw,
         "related_content": page.related_text_raw,
+        "raw_source": lambda: source,
         "source_content": lambda: source,
         "top_links": lambda: top_links(page.page_links(), profile),
     }
@@ -80,6 +82,14 @@ def page_facts(
     )
 
 
+def cleaned_links(facts: DataFrame) -> DataFrame:
+    """(url, date_text, related_content, source_content) of facts that hold the raw texts."""
+    return facts.select(
+        "url", "date_text", clean_noise("raw_related").alias("related_content"),
+        F.when(F.col("raw_source") != "", clean_noise("raw_source")).alias("source_content"),
+    )
+
+
 def page_facts_v1(pages: DataFrame, profile: SiteProfile) -> DataFrame:
     """First-generation reading of a page; columns other than ``html`` are kept."""
     return parse_pages(pages, first_generation=True).select(
