@@ -19,6 +19,7 @@ from feedloom.sources.pages import page_facts
 from feedloom.sources.store import (
     last_run_time, read_articles, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
 )
+from feedloom.sources import pages as sources_pages
 from feedloom.streaming.feed_stop import feed_stop_stream
 from feedloom.streaming.incremental import append_to, fresh_links, run_available
 
@@ -162,6 +163,22 @@ def test_harvest(spark):
     assert summary == {"A": (4, 1), "B": (1, 1), None: (5, 2)}
 
 
+def test_no_page_is_parsed_twice(spark, monkeypatch):
+    """Links between opened stories: what was read when they were opened serves as related story too."""
+    items, pages = _site(spark)
+    linking = [(u, _page("Headline of b1", "<a href='/discover/r1'>Related one</a>") if u.endswith("b1") else h) for u, h in map(tuple, pages.collect())]
+    items = items.union(spark.createDataFrame([("B", 2, "/discover/r1", None)], items.schema))
+    want = harvest(items, spark.createDataFrame(linking, pages.schema), SITE, Recency(NOW)).articles.collect()
+    parsed, plain = [], sources_pages.parse_pages
+    monkeypatch.setattr(sources_pages, "parse_pages", lambda p, *a, **k: (parsed.append(p.select("url")), plain(p, *a, **k))[1])
+    got = harvest(items, spark.createDataFrame(linking, pages.schema), SITE, Recency(NOW)).articles.collect()
+    urls = [r.url for p in parsed for r in p.collect()]
+    assert len(urls) == len(set(urls)) and "https://feed.example/discover/r1" in urls
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    stories = {(r.category, r.url.rsplit("/", 1)[1]): [s.url.rsplit("/", 1)[1] for s in r.related_stories] for r in got}
+    assert stories["A", "a1"] == ["r1", "r2"] and stories["B", "b1"] == ["r1"]
+
+
 def test_newest_snapshot_counts(spark):
     items, pages = _site(spark)
     rows = [(i, r.url, r.html) for i, r in enumerate(pages.collect())]
