@@ -22,6 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BANDS, ROWS = 45, 6  # a pair at similarity 0.8 is missed by all bands with probability 1.2e-6
 DEVIATIONS = 6.0  # the signature may lie so many standard deviations below the threshold
 PIVOTS = 3  # members of a bucket that all others are compared with before what is still apart is paired
+BROADCAST = 1 << 18  # ids up to which a list of them goes to all tasks (a few MB)
 LANES = 8  # longs of a set's bitmap, which tells most pairs apart
 SEED = 20_011
 PIECE = 1 << 20  # bytes of a text split into words at a time
@@ -257,10 +258,19 @@ def near_duplicates(
         if repeated:
             one = one.dropDuplicates(["rep", "rep_mark"])
 
-        def with_text(rows: DataFrame, column: str, out: str) -> DataFrame:
-            """rows with the text of the class that column names."""
-            named = rows.join(known.select(F.col("id").alias(column), "rep", "rep_mark"), column)
-            return named.join(one.withColumnRenamed("text", out), ["rep", "rep_mark"]).drop("rep", "rep_mark")
+        involved = members.select("id").union(members.select("hub")).distinct()
+        named = known.select("id", "rep", "rep_mark").join(involved, "id", "left_semi")
+        few = named.count() <= BROADCAST
+        compared = stage.table(one.join(F.broadcast(named) if few else named, ["rep", "rep_mark"]).select("id", "text"), "texts")
+
+        def with_texts(rows: DataFrame, **named: str) -> DataFrame:
+            """rows, cut before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
+            out = rows
+            for column, text in named.items():
+                asked = cut(rows.select(F.col(column).alias("id")).distinct())
+                found = compared.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "id", "left_semi")
+                out = out.join(found.select(F.col("id").alias(column), F.col("text").alias(text)), column)
+            return out
 
         def links(pairs: DataFrame) -> DataFrame:
             x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
@@ -270,7 +280,7 @@ def near_duplicates(
                 .select("a", "b", "sa", "sb").mapInArrow(_alike(num / den, bands * rows), "a long, b long")
             )
             return cut(
-                with_text(with_text(cut(alike), "b", "y"), "a", "x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
+                with_texts(cut(alike), b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
         def still_open(rows: DataFrame) -> DataFrame:
@@ -288,7 +298,7 @@ def near_duplicates(
             placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
             parts = stage.table(
-                with_text(with_text(placed.join(several.select("hub"), "hub"), "id", "y"), "hub", "x").select("hub", "id", "component", "x", "y")
+                with_texts(cut(placed.join(several.select("hub"), "hub")), id="y", hub="x").select("hub", "id", "component", "x", "y")
                 .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, need long, outside array<long>, inside array<long>, bits array<long>"),
                 "parts",
             )
