@@ -12,9 +12,11 @@ from feedloom.functions.render import render_markdown
 from feedloom.operators.staging import stage
 from feedloom.plans.harvest import Recency, harvest
 from feedloom.profile import SiteProfile
+from feedloom.sources.commits import commit, new_attempt
 from feedloom.sources.store import (
     last_run_time,
-    read_articles,
+    read_keys,
+    restore_marks,
     save_last_run,
     write_articles_json,
     write_digest_markdown,
@@ -60,18 +62,23 @@ def incremental_harvest(
 ) -> DataFrame:
     """Harvest what is newer than the last run into the store and the digest.
 
-    Both keep one folder per run, which a repeated run replaces. The cut-off reaches five
-    minutes behind the mark, so an article may be stored by two runs; ``skip_stored`` leaves
-    out what other runs have stored.
+    Both are written into folders of this try. One entry in the log of the store makes them count,
+    together and with the mark of the run: before it readers see neither, after it both, and a mark
+    that a killed run could not record is taken from there by the next one. A repeated run replaces
+    itself. The cut-off reaches five minutes behind the mark, so an article may be stored by two
+    runs; ``skip_stored`` leaves out what other runs have stored, by its key.
     """
+    restore_marks(spark, store, state)
 
     def build(cut: Recency) -> DataFrame:
-        known = read_articles(spark, store, without_run=run_start) if skip_stored else None
+        known = read_keys(spark, store, without_run=run_start) if skip_stored else None
         return harvest(items, pages, profile, cut, dedup_against=known).articles
 
     def save(articles: DataFrame) -> None:
+        attempt = new_attempt()
         if digest is not None:
-            write_digest_markdown(articles, render_markdown(profile.site_name), digest, run_start)
-        write_articles_json(articles, store, run_start)
+            write_digest_markdown(articles, render_markdown(profile.site_name), digest, run_start, attempt)
+        write_articles_json(articles, store, run_start, attempt)
+        commit(spark, store, run_start, attempt)
 
     return run_since_last(spark, state, run_start, build, save, as_of)

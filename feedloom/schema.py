@@ -44,6 +44,8 @@ ARTICLE_V1 = _struct(("url", _STR), ("title", _STR), ("content", _STR))
 
 RUN_STATE = _struct(("last_run", _STR))
 
+COMMIT = _struct(("run", _STR), ("attempt", _STR), ("seq", T.LongType()), ("mark", _STR))
+
 FEED_OBSERVATION = _struct(
     ("category", _STR), ("run", T.LongType()), ("step", T.LongType()), ("ts_text", _STR), ("observed_at", T.TimestampType())
 )

@@ -13,11 +13,13 @@ from feedloom.operators.stops import feed_stop, feed_stop_v1, take_until_stale
 from feedloom.functions.urls import top_links
 from feedloom.limits import CLASSIC_LIMITS, NO_LIMITS
 from feedloom.plans.harvest import Recency, harvest, harvest_v1
+from feedloom.plans import incremental
 from feedloom.plans.incremental import incremental_harvest
 from feedloom.schema import ARTICLE, FEED_OBSERVATION
 from feedloom.sources.pages import page_facts
+from feedloom.sources.commits import compact_log, remove_uncommitted
 from feedloom.sources.store import (
-    last_run_time, read_articles, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
+    last_run_time, read_articles, read_digest, read_keys, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
 )
 from feedloom.sources import pages as sources_pages
 from feedloom.streaming.feed_stop import feed_stop_stream
@@ -216,7 +218,7 @@ def test_incremental_harvest(spark, tmp_path):
     assert again.count() == 2 and read_articles(spark, store).count() == 2  # a repeated run replaces itself
     later = incremental_harvest(spark, items, pages, SITE, NOW + timedelta(minutes=1), store, state, digest, as_of=NOW, skip_stored=True)
     assert later.count() == 0 and read_articles(spark, store).count() == 2
-    text = "\n".join(r.value for r in spark.read.text(digest).filter("category = 'B'").collect())
+    text = "\n".join(r.value for r in read_digest(spark, digest, log=store).filter("category = 'B'").collect())
     assert text.count("# [CATEGORY] B") == 1 and "## [NEWS] Headline of b1" in text
     save_last_run(spark, NOW + timedelta(hours=1), state)
     assert last_run_time(spark, state, NOW) == NOW + timedelta(hours=1)
@@ -226,8 +228,74 @@ def test_corrupt_state_and_store(spark, tmp_path):
     (tmp_path / "state").mkdir()
     (tmp_path / "state" / "x.json").write_text("not json\n")
     assert last_run_time(spark, str(tmp_path / "state"), NOW) == NOW - timedelta(hours=24)
-    with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
-        read_articles(spark, str(tmp_path / "state")).collect()
+    store = str(tmp_path / "store")
+    write_articles_json(_one_article(spark, "u"), store, NOW)
+    assert [r.url for r in read_articles(spark, store).collect()] == ["u"]
+    for folder in (next((tmp_path / "store" / "data").glob("run=*/attempt=*/category=*")), tmp_path / "store" / "commits"):
+        (folder / "x.json").write_text("not json\n")
+        with pytest.raises(Exception, match="MALFORMED|FAILED_READ"):
+            read_articles(spark, store).collect()
+        (folder / "x.json").write_text("")
+
+
+def _one_article(spark, *urls):
+    return spark.createDataFrame([(u, "T", "c", "d", "A", [], [], ([], [], [])) for u in urls], ARTICLE)
+
+
+def test_tries_count_when_they_are_committed(spark, tmp_path):
+    store, later = str(tmp_path / "store"), NOW + timedelta(hours=1)
+    urls = lambda df: sorted(r.url for r in df.collect())
+    assert read_keys(spark, store).count() == 0
+    write_articles_json(_one_article(spark, "a", "b"), store, NOW)
+    write_articles_json(_one_article(spark, "c"), store, later)
+    write_articles_json(_one_article(spark, "x"), store, NOW, attempt="cut-off")  # never committed
+    torn = next((tmp_path / "store" / "data").glob("run=*/attempt=cut-off/category=A/part-*.json"))
+    torn.write_text('{"url": "x", "ti')
+    for read in (read_articles, read_keys):
+        assert urls(read(spark, store)) == ["a", "b", "c"] and urls(read(spark, store, without_run=NOW)) == ["c"]
+    write_articles_json(_one_article(spark, "a2"), store, NOW)
+    assert urls(read_articles(spark, store)) == urls(read_keys(spark, store)) == ["a2", "c"]
+    assert len(list((tmp_path / "store" / "commits").glob("part-*"))) == 3
+    compact_log(spark, store)
+    assert len(list((tmp_path / "store" / "commits").glob("part-*"))) == 1
+    assert remove_uncommitted(spark, store) == 0 and remove_uncommitted(spark, store, older_than_hours=0) == 2
+    assert urls(read_articles(spark, store)) == ["a2", "c"]
+    plan = read_keys(spark, store)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<category:string,url:string>" in plan and "json" not in plan.lower()
+
+
+@pytest.mark.parametrize("killed_in", ["write_articles_json", "commit", "save_last_run"])
+def test_a_killed_run_is_repeated(spark, tmp_path, monkeypatch, killed_in):
+    """Wherever a run is killed, readers see it whole or not at all, and the next runs give what they would have given."""
+    items, pages = _site(spark)
+    later = NOW + timedelta(minutes=30)
+
+    def hold(name):
+        store, digest = str(tmp_path / name / "store"), str(tmp_path / name / "digest")
+        told = [r.value for r in read_digest(spark, digest, log=store).collect()] if (tmp_path / name / "digest").exists() else []
+        return sorted(r.url for r in read_articles(spark, store).collect()), sum("## [NEWS]" in v for v in told)
+
+    def run(name, start):
+        paths = (str(tmp_path / name / n) for n in ("store", "state", "digest"))
+        incremental_harvest(spark, items, pages, SITE, start, *paths, skip_stored=True)
+
+    run("whole", NOW)
+    whole = hold("whole")
+
+    def kill(*_, **__):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patched:
+        patched.setattr(incremental, killed_in, kill)
+        with pytest.raises(KeyboardInterrupt):
+            run("killed", NOW)
+    assert hold("killed") == (whole if killed_in == "save_last_run" else ([], 0))
+    if killed_in == "save_last_run":
+        run("killed", later)  # takes the mark from the log
+        assert last_run_time(spark, str(tmp_path / "killed" / "state"), NOW, before=later) == NOW
+    else:
+        run("killed", NOW)
+    assert hold("killed") == whole
 
 
 def test_digest_order_and_text(spark, tmp_path):
@@ -235,7 +303,7 @@ def test_digest_order_and_text(spark, tmp_path):
     schema = ", ".join([ARTICLE.simpleString()[7:-1], "cat_idx:int", "pos:long"])
     articles = spark.createDataFrame(rows, schema).repartition(5)
     write_digest_markdown(articles, render_markdown("Feed Example"), str(tmp_path / "md"), NOW)
-    files = sorted((tmp_path / "md" / "run=20260410T120000" / "category=A").glob("part-*"))
+    files = sorted((tmp_path / "md" / "data" / "run=20260410T120000").glob("attempt=*/category=A/part-*"))
     text = "".join(f.read_text() for f in files)
     heads = [line for line in text.splitlines() if line.startswith("## [NEWS]")]
     assert heads == [f"## [NEWS] T{i}" for i in range(50)]

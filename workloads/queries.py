@@ -24,8 +24,9 @@ from feedloom.schema import FEED_OBSERVATION
 from feedloom.sources.categories import categories
 from feedloom.sources.dom import parse_pages
 from feedloom.sources.pages import extract_cards, extract_links, page_facts, read_pages
+from feedloom.sources.commits import committed, data_folder
 from feedloom.sources.store import (
-    last_run_time, read_articles, write_articles_json, write_digest_markdown, write_records_text,
+    last_run_time, read_articles, read_digest, write_articles_json, write_digest_markdown, write_records_text,
 )
 from feedloom.streaming.feed_stop import feed_stop_stream
 from feedloom.streaming.incremental import append_to, fresh_links, run_available
@@ -415,9 +416,11 @@ def incremental_harvest_query(spark, sf_dir):
     """What the store and the digest hold after two runs of which the second was repeated."""
     path = scratch_path(spark, "harvest")
     _stored_harvest(spark, sf_dir, path)
-    stored = spark.read.schema("url string, title string, date string, category string, run string").json(f"{path}/store")
+    runs = committed(spark, f"{path}/store").select("run", "attempt")
+    files = spark.read.schema("url string, title string, date string, category string, run string, attempt string").json(data_folder(f"{path}/store"))
+    stored = files.join(runs, ["run", "attempt"], "left_semi")
     told = (
-        spark.read.schema("value string, run string, category string").text(f"{path}/digest")
+        read_digest(spark, f"{path}/digest", log=f"{path}/store")
         .select("run", "category", F.regexp_extract("value", r"\[Abrir en Feed Example\]\((.*)\)$", 1).alias("url"))
         .filter("url <> ''").groupBy("run", "category", "url").agg(F.count("*").alias("blocks"))
     )
@@ -443,7 +446,7 @@ def digest_roundtrip(spark, sf_dir):
     path, made = scratch_path(spark, "digest"), _ordered_articles(spark, sf_dir)
     for start, rows in ((FIRST_RUN, made), (AS_OF, made.filter("pos % 2 = 0")), (AS_OF, made.filter("pos % 3 = 0"))):
         write_digest_markdown(rows, render_markdown(SITE.site_name), path, datetime.fromisoformat(start))
-    files = spark.read.schema("value string, run string, category string").text(path, wholetext=True)
+    files = read_digest(spark, path, wholetext=True)
     return _placed(files, r"## \[NEWS\] \(Doc\) (\d+)", "run", "category").select(
         "run", "category", F.col("found").cast("bigint").alias("doc_id"), "place"
     )
