@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 ERROR_RATE = 0.08  # edits an item may differ by, as a share of its length
-MIN_CHARS = 40  # shorter items are too common to be evidence inside a text; they match whole texts only
+MIN_CHARS = 40  # shorter items have no error budget: they match as they are, between word boundaries
 BLOCK_CHARS = 4_000_000  # characters of items that are searched for in one pass
 
 
@@ -53,22 +53,28 @@ def myers_search(pattern: str, text: str, most: int) -> tuple[int, int] | None:
     return (best, end) if best <= most else None
 
 
+def _word(ch: str) -> bool:
+    return ch.isalnum() or ch == "_"
+
+
+def _apart(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] cuts through no word."""
+    return not (start and _word(text[start - 1]) and _word(text[start])) and not (end < len(text) and _word(text[end - 1]) and _word(text[end]))
+
+
 class Matcher:
     """Finds all items of one block in normalized texts."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, min_chars: int) -> None:
-        self.whole: dict[str, list[int]] = defaultdict(list)
-        self.items: list[tuple[int, str, int]] = []
+    def __init__(self, items: list[tuple[int | None, str]], rate: float, min_chars: int) -> None:
+        self.items: list[tuple[int | None, str, int, bool]] = []
         pieces: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item_id, text in items:
             text = normalized(text)
             if not text:
                 continue
-            if len(text) < min_chars:
-                self.whole[text].append(item_id)
-                continue
-            errors, index = int(len(text) * rate), len(self.items)
-            self.items.append((item_id, text, errors))
+            short, index = len(text) < min_chars, len(self.items)
+            errors = 0 if short else int(len(text) * rate)
+            self.items.append((item_id, text, errors, short))
             cuts = [len(text) * i // (errors + 1) for i in range(errors + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces[text[a:b]].append((index, a))
@@ -78,18 +84,22 @@ class Matcher:
         if pieces:
             self.pieces.make_automaton()
 
-    def find(self, raw: str | None) -> dict[int, tuple[int, int]]:
+    def find(self, raw: str | None) -> dict[int | None, tuple[int, int]]:
         """item_id -> (distance, end in the normalized text), the best place of each item found."""
         text = normalized(raw)
-        found = {i: (0, len(text)) for i in self.whole.get(text, ())} if text else {}
+        found: dict[int | None, tuple[int, int]] = {}
         if not self.items or not text:
             return found
         starts: dict[int, set[int]] = defaultdict(set)
         for last, (length, places) in self.pieces.iter(text):
             for index, offset in places:
-                starts[index].add(last + 1 - length - offset)
+                item_id, _, _, short = self.items[index]
+                if not short:
+                    starts[index].add(last + 1 - length - offset)
+                elif _apart(text, last + 1 - length, last + 1) and found.get(item_id, (1, 0)) > (0, last + 1):
+                    found[item_id] = (0, last + 1)
         for index, all_starts in starts.items():
-            item_id, item, errors = self.items[index]
+            item_id, item, errors, _ = self.items[index]
             ordered = sorted(all_starts)
             low = high = ordered[0]
             for start in [*ordered[1:], None]:
@@ -105,14 +115,14 @@ class Matcher:
         return found
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
     """The items, some at a time: the query set may be of any size, what is held at once is bounded."""
-    rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text")
+    rows = benchmark.where("text is not null").select("item_id", "text")
     volume = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     count = max(1, -(-volume // block_chars))
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
-        yield sorted({(r.item_id, r.text) for r in part.toLocalIterator()})
+        yield sorted({(r.item_id, r.text) for r in part.toLocalIterator()}, key=lambda item: (item[0] is None, item))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -122,7 +132,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
     budget of e edits is cut into e + 1 pieces; a text that holds it within e edits holds one piece
     unchanged, so no such place is missed. `end` counts normalized characters. Each row of docs is
     searched whole, repeated rows each; of several places the best and first is given. Null or
-    empty texts and items match nothing; items under min_chars match only texts equal to them.
+    empty texts and items match nothing. Items under min_chars are found where they stand unchanged between
+    word boundaries. Items without an id are one item, given with a null item_id, at its best place in each block.
     """
     spark, out = docs.sparkSession, None
     for items in _blocks(benchmark, block_chars):
@@ -134,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RATE,
                 rows = [
                     (doc, item, distance, end)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                    for item, (distance, end) in sorted(matcher.find(text).items())
+                    for item, (distance, end) in sorted(matcher.find(text).items(), key=lambda hit: (hit[0] is None, hit))
                 ]
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "end"])

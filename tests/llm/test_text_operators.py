@@ -78,6 +78,18 @@ def _edited(rng, text, edits):
     return text
 
 
+def test_short_items_and_items_without_id(spark):
+    """A short item counts where it stands between word boundaries, an item without an id as any other."""
+    long = "an item that has no id and is certainly longer than forty characters"
+    items = [(1, "Capital of Peru?"), (2, "no"), (None, long), (None, "(x)")]
+    texts = ["tell the capital  OF peru? now", "capital of peru", "nor know", "say no.", f"<<{long.replace('certainly', 'certainli')}>>", "f(x)", "a no (x) b", long, "kno"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in leaks.find_leaks(docs, benchmark).collect()}
+    assert got == {(0, 1, 0), (3, 2, 0), (4, None, 1), (4, 2, 0), (5, None, 0), (6, 2, 0), (6, None, 0), (7, None, 0), (7, 2, 0)}
+    assert sorted(r.doc_id for r in leaks.without_leaks(docs, benchmark).collect()) == [1, 2, 8]
+
+
 def test_leaks_equal_dynamic_programming(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 6)))
@@ -97,7 +109,7 @@ def test_leaks_equal_dynamic_programming(spark):
             if not item or not t:
                 continue
             if len(item) < leaks.MIN_CHARS:
-                want += [(d, i, 0)] if item == t else []
+                want += [(d, i, 0)] if re.search(rf"(?<!\w){re.escape(item)}(?!\w)", t) else []
             elif (n := _distance(item, t)) <= int(len(item) * leaks.ERROR_RATE):
                 want.append((d, i, n))
     found = sorted((r.doc_id, r.item_id, r.distance) for r in got.collect())
