@@ -24,6 +24,21 @@ def read_pages(spark: SparkSession, path: str, partitions: int | None = None) ->
     return read_table(spark, path, partitions).filter(~page.is_challenge_page("html"))
 
 
+def write_page_table(pages: DataFrame, table: str, path: str, buckets: int, mode: str = "append") -> None:
+    """Add snapshots to a Parquet table bucketed and sorted by url, with its files under ``path``.
+
+    Rows are dealt to their buckets first, so that each bucket gets one file per write. Looking up
+    urls in such a table and finding their newest snapshots moves the urls and no html.
+    """
+    dealt = pages.repartition(buckets, "url")
+    dealt.write.mode(mode).format("parquet").option("path", path).bucketBy(buckets, "url").sortBy("url").saveAsTable(table)
+
+
+def read_page_table(spark: SparkSession, table: str) -> DataFrame:
+    """Page snapshots of a bucketed table without bot-challenge pages; its buckets are kept."""
+    return spark.table(table).filter(~page.is_challenge_page("html"))
+
+
 SNAPSHOT_ORDER = ("fetched_at", "page_id")
 
 
@@ -38,7 +53,8 @@ def latest_pages(pages: DataFrame, urls: DataFrame | None = None) -> DataFrame:
     asked = pages if urls is None else pages.join(urls.select("url"), "url", "left_semi")
     if order:
         newest = asked.groupBy("url").agg(F.max(F.struct(*order)).alias("_newest"))
-        asked = asked.join(newest, "url").filter(F.struct(*order).eqNullSafe(F.col("_newest"))).drop("_newest")
+        # no snapshot is newer, so "at least" means "equal", and only the url is a key of the join
+        asked = asked.join(newest, "url").filter(F.struct(*order) >= F.col("_newest")).drop("_newest")
     rest = [c for c in pages.columns if c != "url"]
     return asked.groupBy("url").agg(
         F.max_by(F.struct(*rest), F.xxhash64("html")).alias("_page")

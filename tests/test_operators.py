@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,7 +17,7 @@ from feedloom.plans.harvest import Recency, harvest, harvest_v1
 from feedloom.plans import incremental
 from feedloom.plans.incremental import incremental_harvest
 from feedloom.schema import ARTICLE, FEED_OBSERVATION
-from feedloom.sources.pages import page_facts
+from feedloom.sources.pages import latest_pages, page_facts, read_page_table, write_page_table
 from feedloom.sources.commits import compact_log, remove_uncommitted
 from feedloom.sources.store import (
     last_run_time, read_articles, read_digest, read_keys, save_last_run, write_articles_json, write_digest_markdown, write_records_text,
@@ -195,6 +196,31 @@ def test_newest_snapshot_counts(spark):
     assert sorted(r.title for r in v1.collect()) == ["Headline of a1", "Headline of a2", "Headline of a3"]
 
 
+def test_page_table_moves_no_html(spark, tmp_path):
+    """In a table bucketed by url the newest snapshots are found where they lie: only urls are shuffled."""
+    rows = [(i, f"u{i % 40}", f"<p>snapshot {i}</p>") for i in range(200)]
+    pages = spark.createDataFrame([*rows, rows[-1]], "page_id long, url string, html string")
+    write_page_table(pages.filter("page_id < 100"), "snapshots_by_url", str(tmp_path / "pages"), 4)
+    write_page_table(pages.filter("page_id >= 100"), "snapshots_by_url", str(tmp_path / "pages"), 4)
+    asked = spark.range(30).select(F.concat(F.lit("u"), "id").alias("url"))
+    plain = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for urls, n in ((asked, 30), (None, 40)):
+            found = latest_pages(read_page_table(spark, "snapshots_by_url"), urls)
+            got = sorted(map(tuple, found.select("page_id", "url", "html").collect()))
+            assert got == sorted(r for r in rows if r[0] >= 160 and int(r[1][1:]) < n)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            moved = [len(line) - len(line.lstrip(" :|+-")) for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            below = [line for line in plan.splitlines() if "Scan parquet" in line]
+            assert "Bucketed: true" in plan and all("DisabledBucketing" not in line and "Bucketed: false" not in line for line in below)
+            assert len(moved) <= (0 if urls is None else 2)  # the urls asked for, once for each side of the lookup
+            assert all(key.startswith("url#") and "," not in key for key in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", plain)
+        spark.sql("DROP TABLE snapshots_by_url")
+
+
 def test_unlinked_pages_are_not_parsed(spark):
     """The scan for pages is cut down by a semi-join below each parser."""
     items, pages = _site(spark)

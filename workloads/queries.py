@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -23,8 +24,10 @@ from feedloom.plans.incremental import incremental_harvest, run_since_last
 from feedloom.schema import FEED_OBSERVATION
 from feedloom.sources.categories import categories
 from feedloom.sources.dom import parse_pages
-from feedloom.sources.pages import extract_cards, extract_links, page_facts, read_pages
 from feedloom.sources.commits import committed, data_folder
+from feedloom.sources.pages import (
+    extract_cards, extract_links, page_facts, read_page_table, read_pages, write_page_table,
+)
 from feedloom.sources.store import (
     last_run_time, read_articles, read_digest, write_articles_json, write_digest_markdown, write_records_text,
 )
@@ -379,6 +382,15 @@ def harvest_resnapshot(spark, sf_dir):
     return _digest_rows(harvest(_items(spark, sf_dir), read_pages(spark, path), SITE, CUT).articles)
 
 
+def harvest_page_table(spark, sf_dir):
+    """The same from a table bucketed by url, written in two loads."""
+    snapshots = V.read(spark, sf_dir, V.snapshot_pages(SPARK))
+    table, path = f"pages_{uuid.uuid4().hex}", scratch_path(spark, "page-table")
+    for part in (0, 1):
+        write_page_table(snapshots.filter(F.pmod(F.xxhash64("html"), F.lit(2)) == part), table, path, buckets=8)
+    return _digest_rows(harvest(_items(spark, sf_dir), read_page_table(spark, table), SITE, CUT).articles)
+
+
 def harvest_v1_query(spark, sf_dir):
     return harvest_v1(
         _items(spark, sf_dir), _stories(spark, sf_dir), SITE, AS_OF, "2024-01-16 00:00:00"
@@ -556,6 +568,7 @@ QUERIES: dict[str, Query] = {
     "json_roundtrip": json_roundtrip,
     "harvest_digest": harvest_digest,
     "harvest_resnapshot": harvest_resnapshot,
+    "harvest_page_table": harvest_page_table,
     "harvest_v1": harvest_v1_query,
     "digest_roundtrip": digest_roundtrip,
     "records_roundtrip": records_roundtrip,
