@@ -57,11 +57,11 @@ def _shape(token: str) -> str:
     if len(token) == 1 and not token.isalnum():
         return token
     if token.isascii() and token.isalpha():  # most tokens: letters of one or two cases, no change of kind
-        kind = "l" if token[:64].islower() else "u" if token[:64].isupper() else "lu"
+        kind = "l" if token.islower() else "u" if token.isupper() else "lu"
         return f"{kind}|{min(10, int(math.log2(len(token)) * 2))}|0|{_HEX_LETTERS.fullmatch(token) is not None}"
-    kinds = Counter("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p" for c in token[:64])
-    turns = sum(a.isalpha() != b.isalpha() for a, b in zip(token[:64], token[1:64], strict=False))
-    mixed = min(9, turns * 10 // len(token[:64]))
+    kinds = Counter("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "p" for c in token)
+    turns = sum(a.isalpha() != b.isalpha() for a, b in zip(token, token[1:], strict=False))
+    mixed = min(9, turns * 10 // len(token))
     hexed = all(c in "0123456789abcdefABCDEF" for c in token)
     return f"{''.join(sorted(kinds))}|{min(10, int(math.log2(len(token)) * 2))}|{mixed}|{hexed}"
 
@@ -209,7 +209,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     inside = next((a for a, b in spans if a < m.end() and m.start() < b), None)
                     label = O if inside is None else I if before != O and inside == before_span else B
                     before, before_span = label, inside
-                    tokens.append(m[0][:200]), labels.append(label)
+                    tokens.append(m[0]), labels.append(label)
                 if tokens:
                     out.append((secret, xxhash.xxh3_64_intdigest(f"{mark} {middle}") >> 1, tokens, labels, _file_features(text)))
         columns = list(zip(*out, strict=True)) or [()] * 5
@@ -218,16 +218,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field fitted on at most `sample` windows of docs.text, the first in order of hash.
+    """A field fitted on at most `sample` different windows of docs.text, the first in order of hash.
 
     No table marks secrets, so the values in base matches are the labels. Windows are cut on the
-    executors; the driver gets `sample` of at most 2 * AROUND tokens. Without base matches the field
-    marks nothing.
+    executors. How many different ones lie below each power of two of the hash is counted first, so that
+    only a few times `sample`, however many tasks there are, are sorted and reach the driver; each has
+    at most 2 * AROUND tokens. Without base matches the field marks nothing.
     """
     windows = docs.select(F.col("text").cast("string")).mapInArrow(_windows, "secret boolean, place long, tokens array<string>, labels array<int>, file array<int>")
-    rows = []
+    size = F.length(F.bin("place"))  # the hash lies below 2 to the power of this
+    counts = windows.groupBy("secret", size.alias("size")).agg(F.approx_count_distinct("place").alias("n")).collect()
+    chosen = F.lit(False)
     for secret in (True, False):
-        rows += windows.where(F.col("secret") == secret).orderBy("place", "tokens").limit(sample // 2).collect()
+        below, power = 0, 64
+        for row in sorted((r for r in counts if r.secret == secret), key=lambda r: r.size):
+            below, power = below + row.n, row.size
+            if below >= sample:  # twice what is wanted, for the error of the counts
+                break
+        chosen = chosen | ((F.col("secret") == secret) & (size <= power))
+    different = sorted(windows.where(chosen).dropDuplicates(["secret", "place"]).collect(), key=lambda r: r.place)
+    rows = [r for secret in (True, False) for r in [r for r in different if r.secret == secret][: sample // 2]]
     return fit_windows([(r.tokens, r.labels, r.file) for r in rows])
 
 

@@ -160,6 +160,20 @@ def test_tagger_marks_values_that_no_pattern_names(spark):
     assert right >= 86
 
 
+def test_sample_is_the_first_different_windows(spark, monkeypatch):
+    """However often texts repeat and however many tasks there are, the field sees the first windows by hash, each once."""
+    docs = _secret_docs(random.Random(5), 400)
+    df = spark.createDataFrame(docs + docs[:1] * 300, "doc_id long, text string").repartition(16)
+    columns = "secret boolean, place long, tokens array<string>, labels array<int>, file array<int>"
+    all_windows = {(r.secret, r.place): (r.tokens, r.labels, r.file) for r in df.select("text").mapInArrow(secrets._windows, columns).collect()}
+    want = [all_windows[k] for secret in (True, False) for k in sorted(k for k in all_windows if k[0] == secret)[:20]]
+    seen = []
+    monkeypatch.setattr(secrets, "fit_windows", lambda windows: seen.extend(windows))
+    secrets.fit(df, sample=40)
+    assert [tuple(w) for w in seen] == want
+    assert secrets._shape("a1" * 100) != secrets._shape("a1" * 32 + "a" * 136)  # the whole token counts
+
+
 def test_viterbi_equals_enumeration():
     rng = np.random.default_rng(3)
     moves = rng.normal(size=(3, 3))
