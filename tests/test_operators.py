@@ -221,14 +221,16 @@ def test_page_table_moves_no_html(spark, tmp_path):
         spark.sql("DROP TABLE snapshots_by_url")
 
 
-def test_unlinked_pages_are_not_parsed(spark):
+def test_unlinked_pages_are_not_parsed(spark, monkeypatch):
     """The scan for pages is cut down by a semi-join below each parser."""
     items, pages = _site(spark)
     extra = spark.range(2_000).select(F.concat(F.lit("https://feed.example/never/"), "id").alias("url"), F.lit("<p>x</p>").alias("html"))
+    parsed, plain = [], sources_pages.parse_pages
+    monkeypatch.setattr(sources_pages, "parse_pages", lambda p, *a, **k: (parsed.append(p), plain(p, *a, **k))[1])
     result = harvest(items, pages.union(extra), SITE, Recency(NOW)).articles
-    plan = result._jdf.queryExecution().optimizedPlan().toString()
-    below = plan[plan.index("MapInArrow"):]
-    assert "LeftSemi" in below and plan.count("MapInArrow") == 1
+    assert len(parsed) == 2  # behind links, and linked by those; both results are staged
+    assert all("LeftSemi" in p._jdf.queryExecution().optimizedPlan().toString() for p in parsed)
+    assert not [r.url for p in parsed for r in p.select("url").collect() if "never" in r.url]
     assert result.count() == 2
 
 
