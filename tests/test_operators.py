@@ -101,6 +101,38 @@ def test_feed_stop_equals_loop(spark):
             assert got == {k: (s, why, why == "cutoff") for k, (s, why) in want.items()}
 
 
+@pytest.mark.parametrize("chunk_steps", [1, 2, 3, 7])
+def test_feed_stop_in_chunks_equals_loop(spark, chunk_steps):
+    """A stretch may go on over chunks without a value, and a chunk may begin with the value before it."""
+    rng = random.Random(chunk_steps)
+    pool = ["1h ago", "2h ago", None]
+    feeds = {}
+    for i in range(300):
+        values = [v for _ in range(12) for v in [rng.choice(pool[: rng.randint(1, 3)])] * rng.randint(1, 4)]
+        if rng.random() < 0.3:
+            values[rng.randrange(len(values))] = "9 days ago"
+        feeds[f"f{i:03}"] = values
+    rows = [(k, 1, s, v) for k, vs in feeds.items() for s, v in enumerate(vs, 1)]
+    obs = spark.createDataFrame(rows, OBS).repartition(4)
+    for generation, df in ((2, feed_stop(obs, NOW, chunk_steps=chunk_steps)), (1, feed_stop_v1(obs, NOW, NOW - timedelta(days=1), chunk_steps=chunk_steps))):
+        got = {r.category: (r.steps, r.reason) for r in df.collect()}
+        assert got == {k: _stop_loop(v, None, generation) for k, v in feeds.items()}
+
+
+def test_one_long_run_is_scanned_by_many_tasks(spark):
+    """300,000 steps of one run: the stop near its end is found, and no task scans more than a chunk."""
+    obs = spark.range(1, 300_001).select(
+        F.lit("A").alias("category"), F.lit(1).cast("long").alias("run"), F.col("id").alias("step"),
+        F.when(F.col("id") >= 299_000, "1h ago").otherwise(F.concat((F.col("id") / 4 % 20 + 1).cast("int"), F.lit("h ago"))).alias("ts_text"),
+    )
+    stop = feed_stop(obs, NOW, chunk_steps=5_000)
+    assert [(r.steps, r.reason) for r in stop.collect()] == [(299_005, "stuck")]
+    plan = stop._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert [line for line in windows if "chunk#" in line.split("windowspecdefinition(")[1].split(" ASC")[0]]
+    assert not [line for line in windows if "step#" in line and "chunk#" not in line]
+
+
 def test_runs_of_a_feed_are_apart(spark):
     rows = [("A", run, step, "1h ago" if run else f"{step}h ago") for run in (0, 1) for step in range(1, 9)]
     got = {r.run: (r.steps, r.reason) for r in feed_stop(spark.createDataFrame(rows, OBS), NOW).collect()}
