@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import sys
 from collections.abc import Iterator
 
@@ -10,81 +9,122 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from feedloom.functions.dates import AsOf, recency
 from feedloom.functions.fixed import UNKNOWN_LABEL
 from feedloom.operators.stops import FEED, MAX_STUCK
+from feedloom.streaming.incremental import use_rocksdb
 
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUTPUT = "category string, run bigint, steps bigint, reason string, reached_end boolean"
-_STATE = "last string, stuck int, step bigint, done boolean, ends_at bigint, held string"
+_SCAN = "last string, stuck int, step bigint, done boolean, ends_at bigint"
 
 
-def feed_stop_stream(
-    observations: DataFrame,
-    as_of: AsOf,
-    mode: str = "last_24h",
-    last_run: AsOf | None = None,
-    custom_hours: int = 24,
-    max_steps: int | None = None,
-    patience: str = "10 minutes",
-) -> DataFrame:
-    """Stream of stops: one row per feed and run as soon as its scan ends.
+class _StopScan(StatefulProcessor):
+    """Scan of one run: a value state of fixed size, and a map of the steps that came early.
 
-    ``observations`` is a stream of (category, run, step, ts_text, observed_at) with steps from 1 and
-    observed_at a TIMESTAMP. Steps may arrive in any order and in any batch: those that come
-    early are held back until the ones before have come, and rows may be ``patience`` late. A run
-    that shows nothing new for that long after, by the watermark, ends as ``no_more``; what it holds back is looked at then, and
-    its state is given up. Until then later rows of an ended run are ignored. Rows without a
-    category only move the watermark.
+    A step that is held back is one entry of the map, written once and removed when its turn comes, so
+    a batch reads and writes what it brings and not all that is held.
     """
-    verdict = recency("ts_text", as_of, mode, last_run, custom_hours)
-    stuck_limit = MAX_STUCK
-    wait_ms = int(pd.Timedelta(patience).total_seconds() * 1000)
 
-    def scan(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, stuck, step, done, ends_at, text = state.get if state.exists else (None, 0, 0, False, 0, "{}")
-        held = {int(k): v for k, v in json.loads(text).items()}
-        if pd.isna(key[0]):
-            return
-        expired = state.hasTimedOut
-        for rows in batches:
-            for row in rows.itertuples(index=False):
-                ends_at = max(ends_at, int(row.observed_ms) + wait_ms)
-                if not done and row.step > step:
-                    held.setdefault(int(row.step), (row.ts_text or None, bool(row.too_old)))
+    def __init__(self, stuck_limit: int, max_steps: int | None, wait_ms: int) -> None:
+        self.stuck_limit, self.max_steps, self.wait_ms = stuck_limit, max_steps, wait_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.scan = handle.getValueState("scan", _SCAN)
+        self.held = handle.getMapState("held", "step bigint", "value string, too_old boolean")
+
+    def _go_on(self, key: tuple, state: list, new: dict, early: Iterator[int] | None) -> Iterator[pd.DataFrame]:
+        """Scans the steps that follow, or, for ``early``, those steps whatever is missing between them."""
+        last, stuck, step, _, _ = state
         reason = None
-        while held and not done and reason is None:
-            following = min(held)
-            if following != step + 1 and not expired:
+        while reason is None:
+            following = step + 1 if early is None else next(early, None)
+            if following in new:
+                value, too_old = new.pop(following)
+            elif following is not None and self.held.containsKey((following,)):
+                value, too_old = self.held.getValue((following,))
+                self.held.removeKey((following,))
+            else:
                 break
             step = following
-            value, too_old = held.pop(step)
             changed = value is not None and value != last
             stuck = 0 if changed else stuck + 1
             last = value if changed else last
-            if stuck >= stuck_limit:
+            if stuck >= self.stuck_limit:
                 reason = "stuck"
             elif value is not None and too_old:
                 reason = "cutoff"
-            elif max_steps is not None and step >= max_steps:
+            elif self.max_steps is not None and step >= self.max_steps:
                 reason = "max_steps"
-        if reason is None and expired and not done:
+        if reason is None and early is not None:
             reason = "no_more"
+        state[:4] = last, stuck, step, reason is not None
         if reason is not None:
-            done, held = True, {}
             yield pd.DataFrame({
                 "category": [key[0]], "run": [key[1]], "steps": [step], "reason": [reason], "reached_end": [reason == "cutoff"],
             })
-        if expired:
-            state.remove()
-        else:
-            state.update((last, int(stuck), int(step), bool(done), int(ends_at), json.dumps(held)))
-            state.setTimeoutTimestamp(max(ends_at, state.getCurrentWatermarkMs() + 1))
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if pd.isna(key[0]):
+            return
+        state = list(self.scan.get() or (None, 0, 0, False, 0))
+        due, new = state[4], {}
+        for batch in rows:
+            for row in batch.itertuples(index=False):
+                state[4] = max(state[4], int(row.observed_ms) + self.wait_ms)
+                if not state[3] and row.step > state[2] and not self.held.containsKey((int(row.step),)):
+                    new.setdefault(int(row.step), (row.ts_text or None, bool(row.too_old)))
+        state[4] = max(state[4], timerValues.getCurrentWatermarkInMs() + 1)
+        if not state[3]:
+            yield from self._go_on(key, state, new, None)
+            if state[3]:
+                self.held.clear()
+            else:
+                for step, value in new.items():
+                    self.held.updateValue((step,), value)
+        if state[4] != due:
+            if due:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(state[4])
+        self.scan.update(tuple(state))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = list(self.scan.get())
+        if not state[3]:
+            yield from self._go_on(key, state, {}, iter(sorted(step for (step,) in self.held.keys())))
+        self.held.clear()
+        self.scan.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def feed_stop_stream(
+    observations: DataFrame,
+    as_of: AsOf,
+    mode: str = "last_24h",
+    last_run: AsOf | None = None,
+    custom_hours: int = 24,
+    max_steps: int | None = None,
+    patience: str = "10 minutes",
+) -> DataFrame:
+    """Stream of stops: one row per feed and run as soon as its scan ends.
+
+    ``observations`` is a stream of (category, run, step, ts_text, observed_at) with steps from 1 and
+    observed_at a TIMESTAMP. Steps may arrive in any order and in any batch: those that come
+    early are held back until the ones before have come, and rows may be ``patience`` late. A run
+    that shows nothing new for that long after, by the watermark, ends as ``no_more``; what it holds back is looked at then, and
+    its state is given up. Until then later rows of an ended run are ignored. Rows without a
+    category only move the watermark. State lies in RocksDB, a row for each run and one for each step held back.
+    """
+    use_rocksdb(observations.sparkSession)
+    verdict = recency("ts_text", as_of, mode, last_run, custom_hours)
+    scan = _StopScan(MAX_STUCK, max_steps, int(pd.Timedelta(patience).total_seconds() * 1000))
     rows = observations.withWatermark("observed_at", patience)
     if max_steps is not None:
         rows = rows.filter(F.col("step") <= max_steps)
@@ -99,5 +139,5 @@ def feed_stop_stream(
             "observed_at",
         )
         .groupBy(*FEED)
-        .applyInPandasWithState(scan, _OUTPUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        .transformWithStateInPandas(scan, _OUTPUT, "append", "EventTime")
     )
