@@ -79,9 +79,13 @@ def _span(binary: str, start: str, end: str) -> str:
     return f"decode(substring({binary}, {start} + 1, {end} - {start}), 'UTF-8')"
 
 
-def _over(sql: str) -> Column:
+def _over_sql(sql: str) -> str:
     """Expression in which ``inner_bytes`` stands for the displayed text of the page."""
-    return F.expr(let("CAST(inner_text AS BINARY)", "inner_bytes", sql))
+    return let("CAST(inner_text AS BINARY)", "inner_bytes", sql)
+
+
+def _over(sql: str) -> Column:
+    return F.expr(_over_sql(sql))
 
 
 def _text(e: str) -> str:
@@ -112,7 +116,7 @@ def _document_title(site_name: str, everywhere: bool) -> str:
     return strip_sql(title)
 
 
-def article_title(site_name: str) -> Column:
+def article_title_sql(site_name: str) -> str:
     """First headline with more than five characters, else the page title without the site."""
     h1 = _tag("h1")
     headlines = (
@@ -127,7 +131,12 @@ def article_title(site_name: str) -> Column:
         for found in headlines
     ]
     fallback = f"nullif({_document_title(site_name, everywhere=True)}, '')"
-    return _over(f"coalesce({', '.join(long_enough)}, {fallback}, {_quoted(fixed.UNTITLED)})")
+    return _over_sql(f"coalesce({', '.join(long_enough)}, {fallback}, {_quoted(fixed.UNTITLED)})")
+
+
+def article_title(site_name: str) -> Column:
+    """First headline with more than five characters, else the page title without the site."""
+    return F.expr(article_title_sql(site_name))
 
 
 def article_title_v1(site_name: str) -> Column:
@@ -138,7 +147,7 @@ def article_title_v1(site_name: str) -> Column:
 
 
 # --- dates --------------------------------------------------------------------------------
-def page_date_text(search_chars: int | None = None) -> Column:
+def page_date_text_sql(search_chars: int | None = None) -> str:
     """Text that dates the page: first date-like element, else a pattern in the page text.
 
     The whole text is searched, or its first ``search_chars`` characters.
@@ -166,7 +175,12 @@ def page_date_text(search_chars: int | None = None) -> Column:
         "start",
         rf"CASE WHEN rlike(start, r'\p{{Nd}}') THEN coalesce({hits}) END",  # all need a digit
     )
-    return _over(f"coalesce({', '.join(elements)}, {in_text}, '{fixed.UNKNOWN_LABEL}')")
+    return _over_sql(f"coalesce({', '.join(elements)}, {in_text}, '{fixed.UNKNOWN_LABEL}')")
+
+
+def page_date_text(search_chars: int | None = None) -> Column:
+    """Text that dates the page: first date-like element, else a pattern in the page text."""
+    return F.expr(page_date_text_sql(search_chars))
 
 
 def page_date_text_v1() -> Column:
@@ -208,13 +222,16 @@ def visible_timestamp_v1() -> Column:
 
 
 # --- texts --------------------------------------------------------------------------------
-def article_text_raw() -> Column:
+def article_text_raw_sql() -> str:
     """Text of the content element with image names; the page text if there is none."""
     walked = let(_first(_is_main), "m", _span("CAST(walk_text AS BINARY)", "m.w0", "m.w1"))
     gap = literal(java(r"\n\s*\n", ignore_case=False))
-    return F.expr(
-        rf"coalesce(regexp_replace({walked}, {gap}, '\n\n'), {strip_sql('inner_text')})"
-    )
+    return rf"coalesce(regexp_replace({walked}, {gap}, '\n\n'), {strip_sql('inner_text')})"
+
+
+def article_text_raw() -> Column:
+    """Text of the content element with image names; the page text if there is none."""
+    return F.expr(article_text_raw_sql())
 
 
 def article_text() -> Column:
@@ -231,20 +248,30 @@ def related_text_raw() -> Column:
     return _over(f"coalesce({_text_of(_first(_is_main))}, '{fixed.NO_CONTENT}')")
 
 
-def paragraphs_text() -> Column:
+def paragraphs_text_sql() -> str:
     """Paragraphs of the article over 30 characters, joined by blank lines."""
     in_article = lambda e: f"article IS NULL OR {_inside('article')(e)}"
     paragraphs = let(_first(_tag("article")), "article", _select(_all(_tag("p"), in_article)))
     texts = f"transform({paragraphs}, p -> {_text('p')})"
-    return _over(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
+    return _over_sql(rf"array_join(filter({texts}, t -> length(t) > 30), '\n\n')")
+
+
+def paragraphs_text() -> Column:
+    """Paragraphs of the article over 30 characters, joined by blank lines."""
+    return F.expr(paragraphs_text_sql())
 
 
 # --- links --------------------------------------------------------------------------------
-def page_links() -> Column:
+def page_links_sql() -> str:
     """All links of the page: array of (pos, title, href, url) in document order."""
     anchors = _select(lambda e: f"{e}.tag = 'a' AND {e}.href IS NOT NULL")
     link = f"named_struct('pos', i, 'title', {_text('a')}, 'href', a.href, 'url', a.url)"
-    return _over(f"transform({anchors}, (a, i) -> {link})")
+    return _over_sql(f"transform({anchors}, (a, i) -> {link})")
+
+
+def page_links() -> Column:
+    """All links of the page: array of (pos, title, href, url) in document order."""
+    return F.expr(page_links_sql())
 
 
 def _cards(anchors: str, stamps: tuple[str, ...]) -> Column:

@@ -17,6 +17,7 @@ from urllib.parse import urljoin
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from feedloom.functions.fixed import CARD_ROW_CLASSES, DATE_STRING_V1
@@ -302,3 +303,23 @@ def parse_pages(pages: DataFrame, first_generation: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(passed + built.columns(arrow), schema=arrow)
 
     return pages.mapInArrow(run, schema)
+
+
+def page_function():
+    """The element table of a page as a function of (url, html), to be called from SQL.
+
+    It gives what ``parse_pages`` gives, as one struct, a batch of pages at a time.
+    """
+    arrow = to_arrow_schema(DOM)
+
+    @F.arrow_udf(returnType=DOM)
+    def parse(urls: pa.Array, htmls: pa.Array) -> pa.Array:
+        parts = [pa.StructArray.from_arrays([pa.array([], f.type) for f in arrow], fields=list(arrow))]
+        for start in range(0, len(urls), _PAGES_PER_BATCH):
+            built, span = _Batch(), slice(start, start + _PAGES_PER_BATCH)
+            for url, html in zip(urls[span].to_pylist(), htmls[span].to_pylist(), strict=True):
+                built.add(url, html, None)
+            parts.append(pa.StructArray.from_arrays(built.columns(arrow), fields=list(arrow)))
+        return pa.concat_arrays(parts)
+
+    return parse

@@ -1,7 +1,8 @@
 import pytest
 
 from feedloom import SiteProfile
-from feedloom.functions import page
+from feedloom.functions import fixed, page
+from feedloom.functions.pagesql import register_page_functions
 from feedloom.sources.dom import parse_pages
 from feedloom.sources.pages import extract_cards, page_facts, page_facts_v1, read_pages
 
@@ -138,3 +139,20 @@ def test_one_long_page(spark):
         assert [(c.href, c.timestamp) for c in cards] == [(f"/page/{i}", f"{i % 20 + 1}h ago") for i in range(n)]
     links = parse_pages(pages).select(page.page_links()).first()[0]
     assert len(links) == n and links[-1].title == f"Título {n - 1} {(n - 1) % 20 + 1}h ago"
+
+
+def test_pages_from_sql(spark):
+    """Null and empty pages, ties and pages without links have their rows; every page is parsed once."""
+    html = "<title>T</title><article><h1>A long headline</h1><p>One paragraph of more than thirty characters.</p><a href='/x'>X</a><a href='/y'>Y</a></article>"
+    rows = [(1, "https://feed.example/1", html), (2, None, None), (3, "https://feed.example/3", ""), (1, "https://feed.example/1", html)]
+    spark.createDataFrame(rows, "id int, url string, html string").createOrReplaceTempView("some_pages")
+    register_page_functions(spark, SITE)
+    parsed = "(SELECT id, feed_page(url, html) AS dom FROM some_pages) p"
+    facts = spark.sql(f"SELECT id, feed_page_title(dom) AS title, feed_page_paragraphs(dom) AS texts, size(feed_page_links(dom)) AS n FROM {parsed}")
+    assert facts._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    got = sorted(map(tuple, facts.collect()))
+    full = (1, "A long headline", "One paragraph of more than thirty characters.", 2)
+    assert got == [full, full, (2, fixed.UNTITLED, "", 0), (3, fixed.UNTITLED, "", 0)]
+    links = spark.sql("SELECT id, l.title, l.url FROM (SELECT id, feed_page_links(feed_page(url, html)) AS links FROM some_pages) p, LATERAL inline(p.links) AS l")
+    assert sorted(map(tuple, links.distinct().collect())) == [(1, "X", "https://feed.example/x"), (1, "Y", "https://feed.example/y")]
+    assert spark.sql("SELECT feed_page_title(feed_page(url, html)) FROM some_pages WHERE id > 9").collect() == []

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions import dates, page, text
 from feedloom.functions.entities import extract_entities, site_lexicon, tag_with_lexicon
+from feedloom.functions.pagesql import register_page_functions
 from feedloom.functions.registry import register_functions
 from feedloom.functions.render import render_markdown, render_record_v1
 from feedloom.operators.feed import feed_items_from_pages, feed_links, feed_links_v1, with_feed_position
@@ -254,6 +255,36 @@ def sql_functions(spark, sf_dir):
     )
 
 
+def sql_page_paragraphs(spark, sf_dir):
+    """The article paragraphs of all pages, by SQL text alone."""
+    register_page_functions(spark, SITE)
+    return spark.sql(
+        """SELECT page_id, feed_page_paragraphs(dom) AS content
+           FROM (SELECT page_id, feed_page(url, html) AS dom FROM {pages})""",
+        pages=V.table(spark, sf_dir, "pages"),
+    )
+
+
+def sql_page_texts(spark, sf_dir):
+    """Titles, dates and texts of the story pages by SQL text alone, from one parse of each."""
+    register_page_functions(spark, SITE)
+    return spark.sql(
+        """SELECT page_id, feed_page_title(dom) AS title, feed_page_date_text(dom) AS date_text, feed_page_content(dom) AS content
+           FROM (SELECT page_id, feed_page(url, html) AS dom FROM {pages})""",
+        pages=_stories(spark, sf_dir),
+    )
+
+
+def sql_page_links(spark, sf_dir):
+    """All links of the story pages, as rows of a lateral join."""
+    register_page_functions(spark, SITE)
+    return spark.sql(
+        """SELECT p.url AS page_url, CAST(l.pos AS BIGINT) AS pos, l.title, l.url
+           FROM (SELECT url, feed_page_links(feed_page(url, html)) AS links FROM {pages}) p, LATERAL inline(p.links) AS l""",
+        pages=_stories(spark, sf_dir),
+    )
+
+
 # --- stops --------------------------------------------------------------------------------
 def take_until_stale_query(spark, sf_dir):
     """Events of each type up to the first one older than ten days, undated ones skipped."""
@@ -555,6 +586,9 @@ QUERIES: dict[str, Query] = {
     "entity_tags_table": entity_tags_table,
     "entity_counts": entity_counts,
     "sql_functions": sql_functions,
+    "sql_page_paragraphs": sql_page_paragraphs,
+    "sql_page_texts": sql_page_texts,
+    "sql_page_links": sql_page_links,
     "take_until_stale": take_until_stale_query,
     "feed_stop": feed_stop_query,
     "feed_stop_v1": feed_stop_v1_query,
