@@ -20,14 +20,15 @@ from feedloom.streaming.incremental import use_rocksdb
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _OUTPUT = "category string, run bigint, steps bigint, reason string, reached_end boolean"
-_SCAN = "last string, stuck int, step bigint, done boolean, ends_at bigint"
+_SCAN = "last string, stuck int, step bigint, done boolean, ends_at bigint, waiting int"
 
 
 class _StopScan(StatefulProcessor):
     """Scan of one run: a value state of fixed size, and a map of the steps that came early.
 
     A step that is held back is one entry of the map, written once and removed when its turn comes, so
-    a batch reads and writes what it brings and not all that is held.
+    a batch reads and writes what it brings and not all that is held. The value state counts them, as the
+    map need not be asked for anything while it is empty.
     """
 
     def __init__(self, stuck_limit: int, max_steps: int | None, wait_ms: int) -> None:
@@ -40,15 +41,16 @@ class _StopScan(StatefulProcessor):
 
     def _go_on(self, key: tuple, state: list, new: dict, early: Iterator[int] | None) -> Iterator[pd.DataFrame]:
         """Scans the steps that follow, or, for ``early``, those steps whatever is missing between them."""
-        last, stuck, step, _, _ = state
+        last, stuck, step = state[:3]
         reason = None
         while reason is None:
             following = step + 1 if early is None else next(early, None)
             if following in new:
                 value, too_old = new.pop(following)
-            elif following is not None and self.held.containsKey((following,)):
+            elif following is not None and state[5] and self.held.containsKey((following,)):
                 value, too_old = self.held.getValue((following,))
                 self.held.removeKey((following,))
+                state[5] -= 1
             else:
                 break
             step = following
@@ -69,22 +71,28 @@ class _StopScan(StatefulProcessor):
                 "category": [key[0]], "run": [key[1]], "steps": [step], "reason": [reason], "reached_end": [reason == "cutoff"],
             })
 
+    def _drop_held(self, state: list) -> None:
+        if state[5]:
+            self.held.clear()
+        state[5] = 0
+
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return
-        state = list(self.scan.get() or (None, 0, 0, False, 0))
+        state = list(self.scan.get() or (None, 0, 0, False, 0, 0))
         due, new = state[4], {}
         for batch in rows:
             for row in batch.itertuples(index=False):
                 state[4] = max(state[4], int(row.observed_ms) + self.wait_ms)
-                if not state[3] and row.step > state[2] and not self.held.containsKey((int(row.step),)):
+                if not state[3] and row.step > state[2] and not (state[5] and self.held.containsKey((int(row.step),))):
                     new.setdefault(int(row.step), (row.ts_text or None, bool(row.too_old)))
         state[4] = max(state[4], timerValues.getCurrentWatermarkInMs() + 1)
         if not state[3]:
             yield from self._go_on(key, state, new, None)
             if state[3]:
-                self.held.clear()
+                self._drop_held(state)
             else:
+                state[5] += len(new)
                 for step, value in new.items():
                     self.held.updateValue((step,), value)
         if state[4] != due:
@@ -96,8 +104,8 @@ class _StopScan(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = list(self.scan.get())
         if not state[3]:
-            yield from self._go_on(key, state, {}, iter(sorted(step for (step,) in self.held.keys())))
-        self.held.clear()
+            yield from self._go_on(key, state, {}, iter(sorted(step for (step,) in self.held.keys()) if state[5] else ()))
+        self._drop_held(state)
         self.scan.clear()
 
     def close(self) -> None:
