@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,20 +28,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, component) of every node that is not the least of its component.
 
     Rounds go on until the edges stay the same; all that comes to the driver is their count and
     checksum. Neighbours are aggregated, never gathered, so a node with very many links is a
-    skewed join at most. Self links and nulls are dropped, repeated links count once.
+    skewed join at most. Self links and nulls are dropped, repeated links count once. `keep` writes
+    the edges of a round and gives them back.
     """
     least, most = F.least(a, b), F.greatest(a, b)
-    now = cut(
+    now = keep(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
         .select(most.alias("u"), least.alias("v")).distinct()
     )
     mark, before = _mark(now), None
     while mark != before:
-        now, before = cut(_small_star(_large_star(now))), mark
+        now, before = keep(_small_star(_large_star(now))), mark
         mark = _mark(now)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

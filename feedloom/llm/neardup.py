@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Stage, cut
+from feedloom.llm.common import Stage, cut, shuffles_dropped
 from feedloom.llm.components import connected_components
 
 # Workers get this module's code with the task, so it need not be installed there.
@@ -226,7 +226,7 @@ def near_duplicates(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = texts.withColumn("mark", F.xxhash64("text"))
-    with Stage(spark) as stage:
+    with Stage(spark) as stage, shuffles_dropped(spark):
         signed = stage.table(
             hashed.mapInArrow(
                 _signer(shingle_words, bands, rows),
@@ -234,7 +234,7 @@ def near_duplicates(
             ), "signed",
         )
         found = signed.where("k1 is not null and doc_id is not null")
-        classes = cut(
+        classes = stage.keep(
             found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
             .select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("id"))
         )
@@ -264,10 +264,10 @@ def near_duplicates(
         compared = stage.table(one.join(F.broadcast(named) if few else named, ["rep", "rep_mark"]).select("id", "text"), "texts")
 
         def with_texts(rows: DataFrame, **named: str) -> DataFrame:
-            """rows, cut before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
+            """rows, staged before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
             out = rows
             for column, text in named.items():
-                asked = cut(rows.select(F.col(column).alias("id")).distinct())
+                asked = stage.keep(rows.select(F.col(column).alias("id")).distinct())
                 found = compared.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "id", "left_semi")
                 out = out.join(found.select(F.col("id").alias(column), F.col("text").alias(text)), column)
             return out
@@ -279,8 +279,11 @@ def near_duplicates(
                 pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb"), num, den))
                 .select("a", "b", "sa", "sb").mapInArrow(_alike(num / den, bands * rows), "a long, b long")
             )
-            return cut(
-                with_texts(cut(alike), b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
+            alike = stage.keep(alike)
+            if not alike.head(1):
+                return alike
+            return stage.keep(
+                with_texts(alike, b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
         def still_open(rows: DataFrame) -> DataFrame:
@@ -297,8 +300,11 @@ def near_duplicates(
             """
             placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
+            apart = stage.keep(placed.join(several.select("hub"), "hub"))
+            if not apart.head(1):
+                return apart.select("hub", F.lit(0).cast("long").alias("shingle"), "id", "component", F.col("n"), F.lit(None).cast("array<long>").alias("bits"))
             parts = stage.table(
-                with_texts(cut(placed.join(several.select("hub"), "hub")), id="y", hub="x").select("hub", "id", "component", "x", "y")
+                with_texts(apart, id="y", hub="x").select("hub", "id", "component", "x", "y")
                 .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, need long, outside array<long>, inside array<long>, bits array<long>"),
                 "parts",
             )
@@ -320,16 +326,22 @@ def near_duplicates(
             )
             return still_open(sides.select("hub", "id", "component", "n", "bits", F.explode(kept).alias("k")).select("hub", F.col("k.shingle").alias("shingle"), "id", "component", "n", "bits"))
 
-        found = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        labels = connected_components(found, "a", "b")
+        def joined(labels: DataFrame, found: DataFrame) -> DataFrame:
+            """The labels once the links found (a, b) are known too."""
+            return connected_components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(found), "a", "b", stage.keep)
+
         def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
             """The labels once the links among these pairs are known too."""
-            return connected_components(
-                labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(links(pairs.select("id1", "id2").distinct().toDF("a", "b"))), "a", "b"
-            )
+            found = links(pairs.select("id1", "id2").distinct().toDF("a", "b"))
+            return joined(labels, found) if found.head(1) else labels
+
+        found = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        labels = connected_components(found, "a", "b", stage.keep)
 
         buckets = stage.table(open_buckets(members, labels), "buckets")
         for turn in range(PIVOTS):
+            if not buckets.head(1):
+                break
             pivots = buckets.groupBy("hub", "shingle").agg(F.min(F.struct("id", "component", "n")).alias("p"))
             pivots = pivots.select("hub", "shingle", F.col("p.id").alias("id1"), F.col("p.component").alias("component1"), F.col("p.n").alias("n1"))
             others = buckets.join(pivots, ["hub", "shingle"]).where("id <> id1")
@@ -340,14 +352,13 @@ def near_duplicates(
         # a bit that one set alone has is a shingle that the other lacks, and linked sets lack few of each other's
         unlike = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(LANES)), F.lit(0))
         alike = (num + den) * unlike <= (den - num) * (F.col("n1") + F.col("n2"))
-        labels = merged(labels, one_side.join(other, ["hub", "shingle"]).where("id1 < id2 AND component1 <> component2").where(_fits(F.col("n1"), F.col("n2"), num, den) & alike))
+        if buckets.head(1):
+            labels = merged(labels, one_side.join(other, ["hub", "shingle"]).where("id1 < id2 AND component1 <> component2").where(_fits(F.col("n1"), F.col("n2"), num, den) & alike))
         narrow = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
         if repeated:  # the texts of an id are one document, so their classes are linked
             of = narrow.where("doc_id is not null and id is not null").select("doc_id", "id").distinct()
             shared_ids = of.join(of.groupBy("doc_id").agg(F.min("id").alias("first")), "doc_id").where("id <> first")
-            labels = connected_components(
-                labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(shared_ids.select("id", "first")), "a", "b"
-            )
+            labels = joined(labels, shared_ids.select("id", "first"))
         grouped = classes.select("id", "rep").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
         least = grouped.groupBy("component").agg(F.min("rep").alias("least"))
         named = grouped.join(least, "component").select("id", "least")

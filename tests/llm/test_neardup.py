@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from pathlib import Path
 
 import pytest
 
@@ -144,3 +146,26 @@ def test_components_of_chains_and_stars(spark):
     rng.shuffle(links)
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(1, 61)} | {100 + i: 100 for i in range(1, 40)}
+
+
+def test_shuffle_files_go_and_empty_rounds_are_left_out(spark):
+    base = [[f"w{i}x{k}" for k in range(40)] for i in range(20)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b, "more"]) for b in base]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    held = lambda: {p.name for f in folders for p in Path(f).rglob("shuffle_*.data")}
+    before = held()
+    spark.sparkContext.setJobGroup("neardup", "jobs are counted")
+    try:
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, shingle_words=2).collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("neardup"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: i % 20 for i in range(40)}
+    assert jobs < 150  # the rounds on open buckets have nothing to do here
+    for _ in range(50):  # files are deleted a moment later
+        if len(held() - before) <= 10:
+            break
+        time.sleep(0.2)
+    assert len(held() - before) <= 10  # of some hundred; what reads df itself may stay
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
