@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 
 from feedloom import SiteProfile
 from feedloom.functions import fixed, page
 from feedloom.functions.pagesql import register_page_functions
+from feedloom.sources import dom
 from feedloom.sources.dom import parse_pages
 from feedloom.sources.pages import extract_cards, page_facts, page_facts_v1, read_pages
 
@@ -156,3 +158,18 @@ def test_pages_from_sql(spark):
     links = spark.sql("SELECT id, l.title, l.url FROM (SELECT id, feed_page_links(feed_page(url, html)) AS links FROM some_pages) p, LATERAL inline(p.links) AS l")
     assert sorted(map(tuple, links.distinct().collect())) == [(1, "X", "https://feed.example/x"), (1, "Y", "https://feed.example/y")]
     assert spark.sql("SELECT feed_page_title(feed_page(url, html)) FROM some_pages WHERE id > 9").collect() == []
+
+
+def test_page_function_hands_back_a_few_pages_at_a_time():
+    """A worker that gets very many pages at once holds the tables of _PAGES_PER_BATCH of them, fewer where they are long."""
+    function = dom.page_function().func
+    htmls = [f"<p>page {i}</p>" for i in range(1000)] + ["<p>" + "x" * (3 << 20)] * 3 + [None]
+    read = []
+
+    def batches():
+        read.append(1)
+        yield pa.array([f"http://h/{i}" for i in range(len(htmls))]), pa.array(htmls)
+
+    found = list(function(batches()))
+    assert sum(map(len, found)) == len(htmls) and max(map(len, found)) <= 256 and [len(f) for f in found[-2:]] == [234, 2]
+    assert [f["inner_text"].as_py() for part in found for f in part][:1000] == [f"page {i}" for i in range(1000)]
