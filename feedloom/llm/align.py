@@ -294,6 +294,7 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
                 yield counted()
                 docs_of, ends, chars = [], [], 0
                 number += 1
+                pa.default_memory_pool().release_unused()
         if docs_of:
             yield counted()
 
@@ -315,10 +316,11 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
                 })
 
     with Stage(docs.sparkSession) as stage:
-        blocks = stage.table(_plain(docs).mapInArrow(
-            align, "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,groups_sha256:string>>,"
-            " pairs array<long>, counts array<long>, links array<int>",
-        ), "blocks")
+        with batches_of(docs.sparkSession, ROWS):  # neither side of the pipe has to hold more texts than are read at a time
+            blocks = stage.table(_plain(docs).mapInArrow(
+                align, "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,groups_sha256:string>>,"
+                " pairs array<long>, counts array<long>, links array<int>",
+            ), "blocks")
         pairs = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("pos", "p")).select("block", "pos", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
         totals = stage.table(pairs.groupBy("pair").agg(F.sum("n").alias("total")), "totals")
         piece = F.col("pair") % second

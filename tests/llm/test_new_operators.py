@@ -229,3 +229,11 @@ def test_proofs_equal_loops(spark, n, langs):
 
 def test_proofs_of_an_empty_table(spark):
     assert merkle.verified_rows(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_texts_are_aligned_from_small_batches(spark, monkeypatch):
+    name, seen, table = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, align.Stage.table
+    monkeypatch.setattr(align.Stage, "table", lambda self, df, to: (seen.update({to: spark.conf.get(name)}), table(self, df, to))[1])
+    before = spark.conf.get(name)
+    assert align.link_scores(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), BYTES, PIECES).count() == 1
+    assert seen["blocks"] == str(align.ROWS) and spark.conf.get(name) == before
