@@ -79,6 +79,15 @@ def test_written_shards_hold_all_rows_in_order(spark, tmp_path):
     assert all(r.n == r.d == r.m + 1 for r in per) and max(r.n for r in per) - min(r.n for r in per) <= 1
 
 
+def test_shuffle_moves_whole_records(spark, monkeypatch):
+    """What the second pass writes holds each text, and the places are read from it."""
+    rows, written, table = [(i, f"text {i} é") for i in range(200)], [], shards.Stage.table
+    monkeypatch.setattr(shards.Stage, "table", lambda self, df, name: (written.append((out := table(self, df, name)).collect()), out)[1])
+    got = shards.placed(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 8).collect()
+    assert sorted(tuple(r.record) for r in written[-1]) == rows and len({r.bucket for r in written[-1]}) == 8
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == [(i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in rows]
+
+
 def test_classifier_learns_and_handles_odd_rows(spark):
     rng = random.Random(3)
     good, bad = (["Der", "city", "was", "built", "in", "spring.", "People", "came"], ["BUY!!", "NOW!!", "$$$x", "click|", "|here", "WIN!!"])
