@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import sys
 from collections.abc import Iterator
 
@@ -19,6 +20,7 @@ from feedloom.streaming.incremental import use_rocksdb
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+BLOCK = 64  # steps that are held back in one entry
 _OUTPUT = "category string, run bigint, steps bigint, reason string, reached_end boolean"
 _SCAN = "last string, stuck int, step bigint, done boolean, ends_at bigint, waiting int"
 
@@ -26,9 +28,9 @@ _SCAN = "last string, stuck int, step bigint, done boolean, ends_at bigint, wait
 class _StopScan(StatefulProcessor):
     """Scan of one run: a value state of fixed size, and a map of the steps that came early.
 
-    A step that is held back is one entry of the map, written once and removed when its turn comes, so
-    a batch reads and writes what it brings and not all that is held. The value state counts them, as the
-    map need not be asked for anything while it is empty.
+    Steps that are held back lie in the map by blocks of BLOCK steps, so a batch reads and writes the blocks that
+    it brings steps of and not all that is held, with one call for each and not for each step. The value
+    state counts the steps, as the map need not be asked for anything while it is empty.
     """
 
     def __init__(self, stuck_limit: int, max_steps: int | None, wait_ms: int) -> None:
@@ -37,20 +39,28 @@ class _StopScan(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.scan = handle.getValueState("scan", _SCAN)
-        self.held = handle.getMapState("held", "step bigint", "value string, too_old boolean")
+        self.held = handle.getMapState("held", "block bigint", "steps string")
 
-    def _go_on(self, key: tuple, state: list, new: dict, early: Iterator[int] | None) -> Iterator[pd.DataFrame]:
+    def _block(self, state: list, blocks: dict, step: int) -> dict:
+        """The held steps {step: [value, is too old]} of the block of a step; ``blocks`` has those read before."""
+        at = step // BLOCK
+        if at not in blocks:
+            found = self.held.getValue((at,)) if state[5] and self.held.containsKey((at,)) else None
+            blocks[at] = {int(k): v for k, v in json.loads(found[0]).items()} if found else {}
+        return blocks[at]
+
+    def _go_on(self, key: tuple, state: list, new: dict, blocks: dict, early: Iterator[int] | None) -> Iterator[pd.DataFrame]:
         """Scans the steps that follow, or, for ``early``, those steps whatever is missing between them."""
         last, stuck, step = state[:3]
-        reason = None
+        reason, taken = None, set()
         while reason is None:
             following = step + 1 if early is None else next(early, None)
             if following in new:
                 value, too_old = new.pop(following)
-            elif following is not None and state[5] and self.held.containsKey((following,)):
-                value, too_old = self.held.getValue((following,))
-                self.held.removeKey((following,))
+            elif following is not None and state[5] and following in self._block(state, blocks, following):
+                value, too_old = self._block(state, blocks, following).pop(following)
                 state[5] -= 1
+                taken.add(following // BLOCK)
             else:
                 break
             step = following
@@ -65,36 +75,43 @@ class _StopScan(StatefulProcessor):
                 reason = "max_steps"
         if reason is None and early is not None:
             reason = "no_more"
+        if reason is not None and (taken or state[5]):
+            self.held.clear()
+            state[5] = 0
+        elif reason is None:
+            for at in taken:
+                if not blocks[at]:
+                    self.held.removeKey((at,))
+                else:
+                    self._write(at, blocks[at])
         state[:4] = last, stuck, step, reason is not None
         if reason is not None:
             yield pd.DataFrame({
                 "category": [key[0]], "run": [key[1]], "steps": [step], "reason": [reason], "reached_end": [reason == "cutoff"],
             })
 
-    def _drop_held(self, state: list) -> None:
-        if state[5]:
-            self.held.clear()
-        state[5] = 0
+    def _write(self, at: int, steps: dict) -> None:
+        self.held.updateValue((at,), (json.dumps(steps),))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if pd.isna(key[0]):
             return
         state = list(self.scan.get() or (None, 0, 0, False, 0, 0))
-        due, new = state[4], {}
+        due, new, blocks = state[4], {}, {}
         for batch in rows:
             for row in batch.itertuples(index=False):
                 state[4] = max(state[4], int(row.observed_ms) + self.wait_ms)
-                if not state[3] and row.step > state[2] and not (state[5] and self.held.containsKey((int(row.step),))):
+                if not state[3] and row.step > state[2] and int(row.step) not in self._block(state, blocks, int(row.step)):
                     new.setdefault(int(row.step), (row.ts_text or None, bool(row.too_old)))
         state[4] = max(state[4], timerValues.getCurrentWatermarkInMs() + 1)
         if not state[3]:
-            yield from self._go_on(key, state, new, None)
-            if state[3]:
-                self._drop_held(state)
-            else:
+            yield from self._go_on(key, state, new, blocks, None)
+            if not state[3]:
                 state[5] += len(new)
                 for step, value in new.items():
-                    self.held.updateValue((step,), value)
+                    self._block(state, blocks, step)[step] = value
+                for at in {step // BLOCK for step in new}:
+                    self._write(at, blocks[at])
         if state[4] != due:
             if due:
                 self.handle.deleteTimer(due)
@@ -104,8 +121,8 @@ class _StopScan(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         state = list(self.scan.get())
         if not state[3]:
-            yield from self._go_on(key, state, {}, iter(sorted(step for (step,) in self.held.keys()) if state[5] else ()))
-        self._drop_held(state)
+            blocks = {at: {int(k): v for k, v in json.loads(steps).items()} for (at,), (steps,) in self.held.iterator()} if state[5] else {}
+            yield from self._go_on(key, state, {}, blocks, iter(sorted(step for steps in blocks.values() for step in steps)))
         self.scan.clear()
 
     def close(self) -> None:
@@ -128,7 +145,7 @@ def feed_stop_stream(
     early are held back until the ones before have come, and rows may be ``patience`` late. A run
     that shows nothing new for that long after, by the watermark, ends as ``no_more``; what it holds back is looked at then, and
     its state is given up. Until then later rows of an ended run are ignored. Rows without a
-    category only move the watermark. State lies in RocksDB, a row for each run and one for each step held back.
+    category only move the watermark. State lies in RocksDB, a row for each run and one for each block of steps held back.
     """
     use_rocksdb(observations.sparkSession)
     verdict = recency("ts_text", as_of, mode, last_run, custom_hours)

@@ -464,6 +464,21 @@ def test_streamed_stop_holds_each_early_step_once(spark, tmp_path):
     assert query.recentProgress[-1].stateOperators[0].numRowsTotal == 0
 
 
+def test_streamed_stop_writes_blocks_of_early_steps(spark, tmp_path):
+    """300 steps without the first one: each batch writes a few entries, and steps held in blocks are scanned in order."""
+    rest = [("A", 1, k, f"{k % 5 + 1}h ago", NOW) for k in range(2, 301)]
+    batches = [rest[i::3] for i in range(3)] + [[("A", 1, 1, "9h ago", NOW)], [("A", 1, 302, "1h ago", NOW)], [("A", 1, 301, "2h ago", NOW), ("A", 1, 303, "9 days ago", NOW)], [(None, None, None, None, NOW + timedelta(days=1))]]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in batches:
+        spark.createDataFrame(batch, FEED_OBSERVATION).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(FEED_OBSERVATION).option("maxFilesPerTrigger", 1).parquet(source)
+    query = run_available(feed_stop_stream(stream, NOW), str(tmp_path / "check"), append_to(out))
+    query.awaitTermination()
+    assert [tuple(r)[:4] for r in spark.read.parquet(out).drop("batch").collect()] == [("A", 1, 303, "cutoff")]
+    progress = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    assert max(p.numRowsUpdated for p in progress) <= 20 and progress[-1].numRowsTotal == 0
+
+
 def test_streamed_links_are_judged_however_late(spark, tmp_path):
     """Days 10, 5, 11 and 3 in four batches: every link comes out once, old ones put aside."""
     day = lambda d: datetime(2026, 4, d, 12)
