@@ -1,6 +1,7 @@
 """Line dedup, leaks, secrets, packing, fingerprints and page texts against plain code."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -397,6 +398,47 @@ def test_unmarked_pages_lose_what_the_nearest_page_shares(spark):
     assert got[102] == "Top bar Welcome Alone All rights" and got[103] == ""
 
 
+def test_all_pages_are_differenced_and_marked_articles_guarded(spark):
+    """Against a loop over the pages in order, for hosts of several pages, repeated rows and few or many ranges."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(120):
+        own = "".join(f"<p>{rng.choice(['shared passage', f'own {i}', f'text {rng.randrange(30)}'])}</p>" for _ in range(5))
+        body = rng.choice([f"<article>{own}</article>", own, f"<script>'<article>'</script>{own}"])
+        rows.append((i, f"http://h{rng.randrange(4)}.example/{rng.choice('ab')}/{i}", f"<div>Top bar</div>{body}<div>All rights</div>"))
+    rows += rows[:10] + [(500, None, None), (501, None, "<p>x</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keyed = {}
+    for page_id, url, html in rows:
+        digest = hashlib.sha256("\x01".join(str(x) for x in (page_id, url, html) if x is not None).encode()).hexdigest()
+        host, _, path = (url or "").removeprefix("http://").partition("/")
+        keyed[host, "/" * bool(path) + path, digest] = page_id, extract.blocks(html)
+    order, want = sorted(keyed), {}
+    for i, key in enumerate(order):
+        found, best, near = keyed[key][1][1], -1, []
+        for other in (order[(i + 1) % len(order)], order[i - 1]):
+            same = len(os.path.commonprefix([key[1], other[1]]))
+            if other != key and other[0] == key[0] and same > best:
+                best, near = same, [hash(t) for t, _ in keyed[other][1][1]]
+        shared = extract.common_lines([hash(t) for t, _ in found], near)
+        size = sum(len(found[j][0]) for j in shared)
+        if size > extract.COPY_SHARE * sum(len(t) for t, _ in found):
+            shared, size = set(), 0
+        text = " ".join(t for j, (t, inside) in enumerate(found) if (inside if keyed[key][1][0] else j not in shared))
+        want[keyed[key][0]] = text, size
+    assert any(want[page_id][1] for page_id, (has_content, _) in keyed.values() if has_content)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got = extract.differenced(df).collect()
+            assert sorted(r.page_id for r in got) == sorted(r[0] for r in rows)
+            assert {r.page_id: (r.text, r.n_shared) for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert extract.differenced(df.limit(0)).collect() == []
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     rng = random.Random(11)
     for _ in range(300):
