@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _marked(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, tuple]:
+    """The edges as kept, and their count and checksum, seen while they are written."""
+    seen = Observation()
+    kept = keep(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")))
+    found = seen.get
+    return kept, (found["n"], found["sum"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -37,12 +41,12 @@ def connected_components(edges: DataFrame, a: str, b: str, keep: Callable[[DataF
     the edges of a round and gives them back.
     """
     least, most = F.least(a, b), F.greatest(a, b)
-    now = keep(
+    now, mark = _marked(
         edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-        .select(most.alias("u"), least.alias("v")).distinct()
+        .select(most.alias("u"), least.alias("v")).distinct(), keep
     )
-    mark, before = _mark(now), None
-    while mark != before:
-        now, before = keep(_small_star(_large_star(now))), mark
-        mark = _mark(now)
+    before = None
+    while mark != before and mark[0]:
+        before = mark
+        now, mark = _marked(_small_star(_large_star(now)), keep)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

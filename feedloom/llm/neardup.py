@@ -259,30 +259,29 @@ def near_duplicates(
             one = one.dropDuplicates(["rep", "rep_mark"])
 
         involved = members.select("id").union(members.select("hub")).distinct()
-        named = known.select("id", "rep", "rep_mark").join(involved, "id", "left_semi")
-        few = named.count() <= BROADCAST
-        compared = stage.table(one.join(F.broadcast(named) if few else named, ["rep", "rep_mark"]).select("id", "text"), "texts")
+        named, count = stage.counted(known.select("id", "rep", "rep_mark").join(involved, "id", "left_semi"))
+        compared = stage.table(one.join(F.broadcast(named) if count <= BROADCAST else named, ["rep", "rep_mark"]).select("id", "text"), "texts")
 
         def with_texts(rows: DataFrame, **named: str) -> DataFrame:
             """rows, staged before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
             out = rows
             for column, text in named.items():
-                asked = stage.keep(rows.select(F.col(column).alias("id")).distinct())
-                found = compared.join(F.broadcast(asked) if asked.count() <= BROADCAST else asked, "id", "left_semi")
+                asked, count = stage.counted(rows.select(F.col(column).alias("id")).distinct())
+                found = compared.join(F.broadcast(asked) if count <= BROADCAST else asked, "id", "left_semi")
                 out = out.join(found.select(F.col("id").alias(column), F.col("text").alias(text)), column)
             return out
 
-        def links(pairs: DataFrame) -> DataFrame:
+        def links(pairs: DataFrame) -> tuple[DataFrame, int]:
             x = known.select(F.col("id").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
             y = known.select(F.col("id").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
             alike = (
                 pairs.join(x, "a").join(y, "b").where(_fits(F.col("na"), F.col("nb"), num, den))
                 .select("a", "b", "sa", "sb").mapInArrow(_alike(num / den, bands * rows), "a long, b long")
             )
-            alike = stage.keep(alike)
-            if not alike.head(1):
-                return alike
-            return stage.keep(
+            alike, count = stage.counted(alike)
+            if not count:
+                return alike, 0
+            return stage.counted(
                 with_texts(alike, b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
@@ -291,18 +290,18 @@ def near_duplicates(
             several = rows.groupBy("hub", "shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
             return rows.join(several.select("hub", "shingle"), ["hub", "shingle"]).select("hub", "shingle", "id", "component", "n", "bits")
 
-        def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+        def open_buckets(members: DataFrame, labels: DataFrame) -> DataFrame | None:
             """(hub, shingle, id, component, n): where members of a hub, of several components as yet, may meet.
 
             Shingles that only one component has come first in the order, as nobody meets there, then
             the others by how many members have them. So members that share a common
-            passage alone don't meet on it.
+            passage alone don't meet on it. None where no hub's members are apart.
             """
             placed = members.where("n > 2").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
             several = placed.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low < high")
-            apart = stage.keep(placed.join(several.select("hub"), "hub"))
-            if not apart.head(1):
-                return apart.select("hub", F.lit(0).cast("long").alias("shingle"), "id", "component", F.col("n"), F.lit(None).cast("array<long>").alias("bits"))
+            apart, count = stage.counted(placed.join(several.select("hub"), "hub"))
+            if not count:
+                return None
             parts = stage.table(
                 with_texts(apart, id="y", hub="x").select("hub", "id", "component", "x", "y")
                 .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, need long, outside array<long>, inside array<long>, bits array<long>"),
@@ -332,27 +331,28 @@ def near_duplicates(
 
         def merged(labels: DataFrame, pairs: DataFrame) -> DataFrame:
             """The labels once the links among these pairs are known too."""
-            found = links(pairs.select("id1", "id2").distinct().toDF("a", "b"))
-            return joined(labels, found) if found.head(1) else labels
+            found, count = links(pairs.select("id1", "id2").distinct().toDF("a", "b"))
+            return joined(labels, found) if count else labels
 
-        found = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        found, _ = links(members.select(F.col("hub").alias("a"), F.col("id").alias("b")))
         labels = connected_components(found, "a", "b", stage.keep)
 
-        buckets = stage.table(open_buckets(members, labels), "buckets")
+        opened = open_buckets(members, labels)
+        buckets, count = stage.counted(opened, "buckets") if opened is not None else (None, 0)
         for turn in range(PIVOTS):
-            if not buckets.head(1):
+            if not count:
                 break
             pivots = buckets.groupBy("hub", "shingle").agg(F.min(F.struct("id", "component", "n")).alias("p"))
             pivots = pivots.select("hub", "shingle", F.col("p.id").alias("id1"), F.col("p.component").alias("component1"), F.col("p.n").alias("n1"))
             others = buckets.join(pivots, ["hub", "shingle"]).where("id <> id1")
             labels = merged(labels, others.withColumnRenamed("id", "id2").where((F.col("component1") != F.col("component")) & _fits(F.col("n1"), F.col("n"), num, den)))
             again = others.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-            buckets = stage.table(still_open(again), f"buckets-{turn}")
-        one_side, other = (buckets.withColumnsRenamed({c: f"{c}{k}" for c in ("id", "component", "n", "bits")}) for k in (1, 2))
-        # a bit that one set alone has is a shingle that the other lacks, and linked sets lack few of each other's
-        unlike = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(LANES)), F.lit(0))
-        alike = (num + den) * unlike <= (den - num) * (F.col("n1") + F.col("n2"))
-        if buckets.head(1):
+            buckets, count = stage.counted(still_open(again), f"buckets-{turn}")
+        if count:
+            one_side, other = (buckets.withColumnsRenamed({c: f"{c}{k}" for c in ("id", "component", "n", "bits")}) for k in (1, 2))
+            # a bit that one set alone has is a shingle that the other lacks, and linked sets lack few of each other's
+            unlike = sum((F.bit_count(F.col("bits1")[i].bitwiseXOR(F.col("bits2")[i])) for i in range(LANES)), F.lit(0))
+            alike = (num + den) * unlike <= (den - num) * (F.col("n1") + F.col("n2"))
             labels = merged(labels, one_side.join(other, ["hub", "shingle"]).where("id1 < id2 AND component1 <> component2").where(_fits(F.col("n1"), F.col("n2"), num, den) & alike))
         narrow = signed.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2"], "left")
         if repeated:  # the texts of an id are one document, so their classes are linked

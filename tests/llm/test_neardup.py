@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from feedloom.llm import neardup
+from feedloom.llm.common import Stage
 from feedloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, component_id string, rep int"
@@ -169,3 +170,27 @@ def test_shuffle_files_go_and_empty_rounds_are_left_out(spark):
         time.sleep(0.2)
     assert len(held() - before) <= 10  # of some hundred; what reads df itself may stay
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_rows_are_counted_while_they_are_written(spark):
+    """No query of its own counts what a table holds: the driver keeps a plan and its figures for each."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    texts = [" ".join(f"w{i % 20}x{k}" for k in range(40)) + " more" * (i // 20) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before = store.executionsCount()
+    result = neardup.near_duplicates(df, shingle_words=2)
+    for _ in range(50):  # the store follows a moment later
+        seen = store.executionsCount()
+        time.sleep(0.2)
+        if store.executionsCount() == seen:
+            break
+    assert seen - before < 20
+    assert {r.doc_id: r.component_id for r in result.collect()} == {i: i % 20 for i in range(40)}
+
+
+@pytest.mark.parametrize("rows", [0, 1, 57])
+def test_counted_tables(spark, rows):
+    with Stage(spark) as stage:
+        kept, count = stage.counted(spark.range(rows).repartition(3).distinct())
+        again, same = stage.counted(kept.where("id >= 0"), "named")
+        assert count == same == rows == kept.count() == again.count()
