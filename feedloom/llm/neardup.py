@@ -13,7 +13,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Stage, cut, shuffles_dropped
+from feedloom.llm.common import Stage, batches_of, cut, shuffles_dropped
 from feedloom.llm.components import connected_components
 
 # Workers get this module's code with the task, so it need not be installed there.
@@ -28,6 +28,7 @@ SEED = 20_011
 PIECE = 1 << 20  # bytes of a text split into words at a time
 CHUNK = 1 << 16  # shingles hashed at a time
 WORDS_KEPT = 400_000  # words whose hashes a task remembers
+TEXTS = 500  # rows handed to Python at a time; a pair has two texts
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
@@ -112,8 +113,8 @@ def _signer(words: int, bands: int, rows: int):
         weights = np.random.default_rng(SEED + 1).integers(0, 1 << 63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         salt = np.arange(1, bands + 1, dtype=np.uint64) * _MIX
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
                 sets = [shingle_set(t, words, known) for t in part.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 low = iter(_minima(full, a, b)) if full else iter(())
@@ -226,7 +227,7 @@ def near_duplicates(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = texts.withColumn("mark", F.xxhash64("text"))
-    with Stage(spark) as stage, shuffles_dropped(spark):
+    with Stage(spark) as stage, shuffles_dropped(spark), batches_of(spark, TEXTS):
         signed = stage.table(
             hashed.mapInArrow(
                 _signer(shingle_words, bands, rows),

@@ -194,3 +194,38 @@ def test_counted_tables(spark, rows):
         kept, count = stage.counted(spark.range(rows).repartition(3).distinct())
         again, same = stage.counted(kept.where("id >= 0"), "named")
         assert count == same == rows == kept.count() == again.count()
+
+
+def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
+    """Tasks hold a batch of whole texts on both sides of the pipe, and pairs have two of them."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(1500):
+        copy = list(base)
+        copy[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    large, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def watched(make):
+        def made(*args):
+            work = make(*args)
+
+            def run(batches):
+                def each():
+                    for batch in batches:
+                        seen.add(batch.num_rows)
+                        large.add(int(batch.num_rows > 500))
+                        yield batch
+                return work(each())
+            return run
+        return made
+
+    for name in ("_signer", "_alike", "_confirmed", "_against_hub"):
+        monkeypatch.setattr(neardup, name, watched(getattr(neardup, name)))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = neardup.near_duplicates(df, shingle_words=2).collect()
+    assert len(got) == 1500 and {r.component_id for r in got} == {0}
+    assert seen.value > 4 * 1400 and large.value == 0
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
