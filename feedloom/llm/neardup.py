@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
+from contextlib import ExitStack
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Stage, batches_of, cut, shuffles_dropped
+from feedloom.llm.common import Stage, batches_of, cut, planned_once, shuffles_dropped
 from feedloom.llm.components import connected_components
 
 # Workers get this module's code with the task, so it need not be installed there.
@@ -23,6 +24,7 @@ BANDS, ROWS = 45, 6  # a pair at similarity 0.8 is missed by all bands with prob
 DEVIATIONS = 6.0  # the signature may lie so many standard deviations below the threshold
 PIVOTS = 3  # members of a bucket that all others are compared with before what is still apart is paired
 BROADCAST = 1 << 18  # ids up to which a list of them goes to all tasks (a few MB)
+FEW = 1 << 14  # rows up to which queries are planned once, not anew after each stage
 LANES = 8  # longs of a set's bitmap, which tells most pairs apart
 SEED = 20_011
 PIECE = 1 << 20  # bytes of a text split into words at a time
@@ -227,13 +229,15 @@ def near_duplicates(
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hashed = texts.withColumn("mark", F.xxhash64("text"))
-    with Stage(spark) as stage, shuffles_dropped(spark), batches_of(spark, TEXTS):
-        signed = stage.table(
+    with Stage(spark) as stage, shuffles_dropped(spark), batches_of(spark, TEXTS), ExitStack() as plans:
+        signed, count = stage.counted(
             hashed.mapInArrow(
                 _signer(shingle_words, bands, rows),
                 "doc_id long, n_shingles long, k1 long, k2 long, keys array<long>, signature binary, mark long",
             ), "signed",
         )
+        if count <= FEW:
+            plans.enter_context(planned_once(spark))
         found = signed.where("k1 is not null and doc_id is not null")
         classes = stage.keep(
             found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"))

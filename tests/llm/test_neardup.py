@@ -229,3 +229,32 @@ def test_texts_go_to_python_in_small_batches(spark, monkeypatch):
     assert len(got) == 1500 and {r.component_id for r in got} == {0}
     assert seen.value > 4 * 1400 and large.value == 0
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+@pytest.mark.parametrize("few", [0, 1 << 14])
+def test_few_rows_are_planned_once(spark, monkeypatch, few):
+    """A query on few rows is about one job, not one for each of its stages and broadcasts; larger inputs give the same rows."""
+    monkeypatch.setattr(neardup, "FEW", few)
+    names = ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")
+    before = [spark.conf.get(name) for name in names]
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(8):
+        base = [rng.choice(words) for _ in range(40)]
+        for _ in range(30):
+            copy = list(base)
+            for _ in range(rng.randint(0, 6)):
+                copy[rng.randrange(40)] = rng.choice(words)
+            texts.append(" ".join(copy))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    spark.sparkContext.setJobGroup(f"planned-{few}", "jobs are counted")
+    try:
+        got = sorted(map(tuple, neardup.near_duplicates(df, shingle_words=2).collect()))
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"planned-{few}"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == _brute(rows, 2)
+    assert (jobs < 80) == (few > 0)  # 158 and 50 when written
+    assert [spark.conf.get(name) for name in names] == before
