@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from feedloom.llm.common import cut
 
+FEW = 1 << 18  # edges up to which a round is three shuffles (a few MB), all edges of a node in one task
+
 
 def _marked(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, tuple]:
     """The edges as kept, and their count and checksum, seen while they are written."""
@@ -32,12 +34,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Both stars in one round for few edges: minima are taken over a node's edges where they lie, not joined back."""
+    least = F.min("v").over(Window.partitionBy("u"))
+    both = edges.select("u", "v").union(edges.select("v", "u"))
+    large = both.withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.withColumn("m", least).select("m", F.explode(F.array("u", "v")).alias("u"))
+    return small.where("u <> m").select("u", F.col("m").alias("v")).distinct()
+
+
 def connected_components(edges: DataFrame, a: str, b: str, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(id, component) of every node that is not the least of its component.
 
     Rounds go on until the edges stay the same; all that comes to the driver is their count and
     checksum. Neighbours are aggregated, never gathered, so a node with very many links is a
-    skewed join at most. Self links and nulls are dropped, repeated links count once. `keep` writes
+    skewed join at most; rounds on up to FEW edges take fewer shuffles. Self links and nulls are dropped, repeated links count once. `keep` writes
     the edges of a round and gives them back.
     """
     least, most = F.least(a, b), F.greatest(a, b)
@@ -48,5 +59,5 @@ def connected_components(edges: DataFrame, a: str, b: str, keep: Callable[[DataF
     before = None
     while mark != before and mark[0]:
         before = mark
-        now, mark = _marked(_small_star(_large_star(now)), keep)
+        now, mark = _marked(_stars(now) if mark[0] <= FEW else _small_star(_large_star(now)), keep)
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

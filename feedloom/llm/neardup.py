@@ -239,14 +239,16 @@ def near_duplicates(
         if count <= FEW:
             plans.enter_context(planned_once(spark))
         found = signed.where("k1 is not null and doc_id is not null")
-        classes = stage.keep(
-            found.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "mark")).alias("rep"))
-            .select("k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"), F.monotonically_increasing_id().alias("id"))
-        )
+        # equal sets have equal keys and signatures, so those of any row are the class's
         known = stage.table(
-            signed.join(classes, ["k1", "k2"]).where("doc_id = rep AND mark = rep_mark")
-            .dropDuplicates(["id"]).select("id", "rep", "rep_mark", "n_shingles", "keys", "signature"), "known",
+            found.groupBy("k1", "k2").agg(
+                F.min(F.struct("doc_id", "mark")).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "keys", "signature"))
+            ).select(
+                "k1", "k2", F.col("rep.doc_id").alias("rep"), F.col("rep.mark").alias("rep_mark"),
+                "n_shingles", "keys", "signature", F.monotonically_increasing_id().alias("id"),
+            ), "known",
         )
+        classes = known.select("k1", "k2", "rep", "id")
         rows_of = known.select("id", F.explode("keys").alias("key"))
         shared = stage.table(rows_of.join(rows_of.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"), "shared")
         score = shared.groupBy("id").agg(F.sum("n").alias("score"))
@@ -267,12 +269,14 @@ def near_duplicates(
         named, count = stage.counted(known.select("id", "rep", "rep_mark").join(involved, "id", "left_semi"))
         compared = stage.table(one.join(F.broadcast(named) if count <= BROADCAST else named, ["rep", "rep_mark"]).select("id", "text"), "texts")
 
-        def with_texts(rows: DataFrame, **named: str) -> DataFrame:
-            """rows, staged before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
+        def with_texts(rows: DataFrame, count: int, **named: str) -> DataFrame:
+            """`count` rows, staged before, with the text of the class that each column names; of the texts, only those asked for are regrouped."""
             out = rows
             for column, text in named.items():
-                asked, count = stage.counted(rows.select(F.col(column).alias("id")).distinct())
-                found = compared.join(F.broadcast(asked) if count <= BROADCAST else asked, "id", "left_semi")
+                asked, size = rows.select(F.col(column).alias("id")), count
+                if size > BROADCAST:  # few rows go to all tasks as they are
+                    asked, size = stage.counted(asked.distinct())
+                found = compared.join(F.broadcast(asked) if size <= BROADCAST else asked, "id", "left_semi")
                 out = out.join(found.select(F.col("id").alias(column), F.col("text").alias(text)), column)
             return out
 
@@ -287,7 +291,7 @@ def near_duplicates(
             if not count:
                 return alike, 0
             return stage.counted(
-                with_texts(alike, b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
+                with_texts(alike, count, b="y", a="x").select("a", "b", "x", "y").mapInArrow(_confirmed(shingle_words, num, den), "a long, b long")
             )
 
         def still_open(rows: DataFrame) -> DataFrame:
@@ -308,7 +312,7 @@ def near_duplicates(
             if not count:
                 return None
             parts = stage.table(
-                with_texts(apart, id="y", hub="x").select("hub", "id", "component", "x", "y")
+                with_texts(apart, count, id="y", hub="x").select("hub", "id", "component", "x", "y")
                 .mapInArrow(_against_hub(shingle_words, num, den), "hub long, id long, component long, n long, need long, outside array<long>, inside array<long>, bits array<long>"),
                 "parts",
             )

@@ -5,8 +5,8 @@ from pathlib import Path
 
 import pytest
 
-from feedloom.llm import neardup
-from feedloom.llm.common import Stage
+from feedloom.llm import components, neardup
+from feedloom.llm.common import Stage, planned_once
 from feedloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, component_id string, rep int"
@@ -258,3 +258,51 @@ def test_few_rows_are_planned_once(spark, monkeypatch, few):
     assert got == _brute(rows, 2)
     assert (jobs < 80) == (few > 0)  # 158 and 50 when written
     assert [spark.conf.get(name) for name in names] == before
+
+
+def test_few_rows_need_few_queries(spark):
+    """Links are found by two queries, classes by one with one shuffle: the driver holds a plan, jobs and tasks for each."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    texts = [" ".join(f"w{i % 20}x{k}" for k in range(40)) + " more" * (i // 20) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    before = store.executionsCount()
+    result = neardup.near_duplicates(df, shingle_words=2)
+    for _ in range(50):  # the store follows a moment later
+        seen = store.executionsCount()
+        time.sleep(0.2)
+        if store.executionsCount() == seen:
+            break
+    assert seen - before < 15
+    assert {r.doc_id: r.component_id for r in result.collect()} == {i: i % 20 for i in range(40)}
+
+
+def test_few_rows_get_no_generated_code(spark):
+    plan = lambda: spark.range(9).selectExpr("id % 2 AS k").groupBy("k").count()._jdf.queryExecution().executedPlan().toString()
+    before = spark.conf.get("spark.sql.codegen.wholeStage")
+    with planned_once(spark):
+        assert "*(" not in plan()
+    assert spark.conf.get("spark.sql.codegen.wholeStage") == before == "true"
+
+
+@pytest.mark.parametrize("few", [0, 1 << 18])
+def test_rounds_on_few_edges(spark, monkeypatch, few):
+    """Rounds of either kind end at the least node of each component, and few edges are shuffled three times a round."""
+    monkeypatch.setattr(components, "FEW", few)
+    rng = random.Random(11)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, None), (None, 7), (3, 3)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    got = sorted(map(tuple, connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()))
+    assert got == sorted((x, find(x)) for x in parent if x != find(x))
+    with planned_once(spark):
+        edges = spark.createDataFrame([(9, 3), (9, 4), (4, 1)], "u long, v long")
+        assert components._stars(edges)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
