@@ -479,6 +479,33 @@ def test_streamed_stop_writes_blocks_of_early_steps(spark, tmp_path):
     assert max(p.numRowsUpdated for p in progress) <= 20 and progress[-1].numRowsTotal == 0
 
 
+def test_streamed_stops_of_many_runs_share_state_rows(spark, tmp_path):
+    """Runs dealt out over few buckets, some without a number, some that hold back much: each stops as in the loop and is given up at its own time."""
+    rng = random.Random(8)
+    feeds = {}
+    for i in range(90):
+        values = [f"{k % 5 + 1}h ago" if rng.random() < 0.9 else None for k in range(rng.choice([1, 4, 12, 180]))]
+        if i % 4 == 0:
+            values[-1] = "9 days ago"
+        feeds["abc"[i % 3] + "|", i if i > 2 else None] = values
+    rows = [(*key, s, v, NOW + timedelta(hours=(key[1] or 0) % 2)) for key, vs in feeds.items() for s, v in enumerate(vs, 1)]
+    rng.shuffle(rows)
+    ticks = [[(None, None, None, None, NOW + timedelta(hours=h))] for h in (4.5, 48)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in [rows[i::3] for i in range(3)] + ticks:
+        spark.createDataFrame(batch, FEED_OBSERVATION).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(FEED_OBSERVATION).option("maxFilesPerTrigger", 1).parquet(source)
+    query = run_available(feed_stop_stream(stream, NOW, patience="2 hours", buckets=4), str(tmp_path / "check"), append_to(out))
+    query.awaitTermination()
+    found = spark.read.parquet(out).collect()
+    assert {(r.category, r.run): (r.steps, r.reason) for r in found} == {k: _stop_loop(v, None, 2) for k, v in feeds.items()} and len(found) == 90
+    ended = {run: {r.batch for r in found if r.reason == "no_more" and (r.run or 0) % 2 == run} for run in (0, 1)}
+    assert len(ended[0]) == len(ended[1]) == 1 and max(ended[0]) < min(ended[1])
+    progress = [p.stateOperators[0] for p in query.recentProgress if p.stateOperators]
+    held = sum(len(v) > 64 for v in feeds.values()) * (180 // 64 + 2)
+    assert max(p.numRowsUpdated for p in progress) <= 4 + held and progress[-1].numRowsTotal == 0
+
+
 def test_streamed_links_are_judged_however_late(spark, tmp_path):
     """Days 10, 5, 11 and 3 in four batches: every link comes out once, old ones put aside."""
     day = lambda d: datetime(2026, 4, d, 12)
