@@ -14,13 +14,13 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.llm.common import Stage, batches_of, cut
+from feedloom.llm.common import Stage, batches_of, cut, large_rows
 
 # Workers get this module's code with the task, so it need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TOGETHER = 1 << 19  # characters of the texts that are aligned together; a longer text is aligned by itself
-BLOCK = 4 << 20  # characters of the texts whose links are counted together
+BLOCK = 1 << 20  # characters of the texts whose links are counted together, which are a row
 ROWS = 250  # rows read from a batch at a time
 GAP = 4  # drivers between two places found before
 CHUNK = 1 << 20  # tokens written out at a time
@@ -248,6 +248,11 @@ def token_groups(docs: DataFrame, byte_path: str, piece_path: str, together: int
     return _plain(docs).mapInArrow(run, f"doc_id long, a {ids}, b {ids}, a_end {ids}, b_end {ids}, links array<struct<a:long,b:long>>")
 
 
+def _place(pairs: int) -> type:
+    """The smallest type that holds a place among so many pairs."""
+    return np.uint16 if pairs <= 1 << 16 else np.uint32
+
+
 _DOC = pa.struct([
     ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()),
 ])
@@ -262,37 +267,44 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
 
     Each text is tokenized once. The links of a block of texts are counted in the block, and only its distinct
     pairs are shuffled: once to be added up by pair, once to bring the sums back to the block, where
-    each text's own links are looked up. The highest counts, one number for each B id, are broadcast:
+    each text's own links are looked up; they are kept as places among the block's pairs, of 2 bytes where that does. The highest counts, one number for each B id, are broadcast:
     they are as many as the vocabulary at most. Odd rows are as in token_groups, with zeros.
     """
     second = PieceTokens(piece_path).size
     blocks_schema = pa.schema([
-        ("block", pa.int64()), ("docs", pa.list_(_DOC)), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.list_(pa.int32())),
+        ("block", pa.int64()), ("docs", pa.list_(_DOC)), ("pairs", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("links", pa.binary()),
     ])
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, number = Aligner(byte_path, piece_path), TaskContext.get().partitionId() << 33
         names = [f.name for f in _DOC]
         docs_of: list[dict] = []
-        ends: list[np.ndarray] = []
+        found_by: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of texts aligned together: pairs, each link's place among them, counts
         chars = 0
 
         def counted() -> pa.RecordBatch:
-            pairs, links, counts = np.unique(np.concatenate(ends), return_inverse=True, return_counts=True)
+            pairs, places = np.unique(np.concatenate([p for p, _, _ in found_by]), return_inverse=True)
+            counts, links, at = np.zeros(len(pairs), np.int64), [], 0
+            for own, each, n in found_by:
+                place = places[at : at + len(own)]
+                counts[place] += n
+                links.append(place.astype(_place(len(pairs)))[each].tobytes())
+                at += len(own)
             return pa.RecordBatch.from_arrays([
                 pa.array([number], pa.int64()), pa.array([docs_of], pa.list_(_DOC)), pa.array([pairs], pa.list_(pa.int64())),
-                pa.array([counts], pa.list_(pa.int64())), pa.array([links.astype(np.int32)], pa.list_(pa.int32())),
+                pa.array([counts], pa.list_(pa.int64())), pa.array([b"".join(links)], pa.binary()),
             ], schema=blocks_schema)
 
         for rows in _blocks(batches, together):
             found = aligner.align(rows)
             per = [np.diff(x).tolist() for x in (found.a_from, found.b_from, found.group_from)]
             docs_of += [dict(zip(names, values, strict=True)) for values in zip(found.doc_ids, *per, aligner.written(found), strict=True)]
-            ends.append(found.a[found.a_last] * second + found.b[found.b_last])
+            pairs, each, n = np.unique(found.a[found.a_last] * second + found.b[found.b_last], return_inverse=True, return_counts=True)
+            found_by.append((pairs, each.astype(_place(len(pairs))), n))
             chars += sum(len(r[1] or "") for r in rows)
             if chars >= block:
                 yield counted()
-                docs_of, ends, chars = [], [], 0
+                docs_of, found_by, chars = [], [], 0
                 number += 1
                 pa.default_memory_pool().release_unused()
         if docs_of:
@@ -301,8 +313,9 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                docs_of, links = batch.column(0)[i].as_py(), batch.column(1)[i].values.to_numpy()
+                docs_of = batch.column(0)[i].as_py()
                 totals, best = (batch.column(2)[i].values.field(k).to_numpy(zero_copy_only=False) for k in (1, 2)) if batch.column(2)[i].is_valid else (np.zeros(0, np.int64), np.zeros(0, bool))
+                links = np.frombuffer(batch.column(1)[i].as_buffer(), _place(len(totals)))
                 starts = np.cumsum([0, *(d["n_groups"] for d in docs_of)])
                 # running sums: whole numbers, so a difference is the sum of a text's links
                 sums = np.append(0, np.cumsum(totals[links]))
@@ -315,11 +328,11 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
                     "groups_sha256": pa.array([d["groups_sha256"] for d in docs_of], pa.string()),
                 })
 
-    with Stage(docs.sparkSession) as stage:
+    with Stage(docs.sparkSession) as stage, large_rows(docs.sparkSession):
         with batches_of(docs.sparkSession, ROWS):  # neither side of the pipe has to hold more texts than are read at a time
             blocks = stage.table(_plain(docs).mapInArrow(
                 align, "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,groups_sha256:string>>,"
-                " pairs array<long>, counts array<long>, links array<int>",
+                " pairs array<long>, counts array<long>, links binary",
             ), "blocks")
         pairs = blocks.select("block", F.posexplode(F.arrays_zip("pairs", "counts")).alias("pos", "p")).select("block", "pos", F.col("p.pairs").alias("pair"), F.col("p.counts").alias("n"))
         totals = stage.table(pairs.groupBy("pair").agg(F.sum("n").alias("total")), "totals")
@@ -327,7 +340,8 @@ def link_scores(docs: DataFrame, byte_path: str, piece_path: str, together: int
         highest = totals.groupBy(piece.alias("piece")).agg(F.max("total").alias("highest"))
         marked = totals.join(F.broadcast(highest), piece == F.col("piece")).select("pair", "total", (F.col("total") == F.col("highest")).alias("best"))
         back = pairs.join(marked, "pair").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "total", "best"))).alias("scores"))
-        scored = blocks.join(back, "block", "left").select("docs", "links", "scores").mapInArrow(
+        # blocks stream past the sums of their pairs: sorted, as a merge would have them, they would all be held
+        scored = blocks.join(back.hint("shuffle_hash"), "block", "left").select("docs", "links", "scores").mapInArrow(
             score, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string",
         )
         with batches_of(docs.sparkSession, 1):

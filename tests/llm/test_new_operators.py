@@ -8,11 +8,14 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from feedloom.llm import align, ledger, merkle
+from feedloom.llm.common import large_rows
 
 BYTES, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 ODD = [
@@ -237,3 +240,34 @@ def test_texts_are_aligned_from_small_batches(spark, monkeypatch):
     before = spark.conf.get(name)
     assert align.link_scores(spark.createDataFrame([(1, "a text")], "doc_id long, text string"), BYTES, PIECES).count() == 1
     assert seen["blocks"] == str(align.ROWS) and spark.conf.get(name) == before
+
+
+def test_links_of_many_texts_are_small_rows(spark, monkeypatch):
+    """Three million characters are several rows of the blocks table, with two bytes a link, and give the counts of loops over a third of them."""
+    seen, table = {}, align.Stage.table
+
+    def watched(self, df, to):
+        kept = table(self, df, to)
+        if to == "blocks":
+            seen["rows"], seen["links"], seen["bytes"] = kept.agg(F.count("*"), F.sum(F.size("docs")), F.sum(F.length("links"))).first()
+        return kept
+
+    monkeypatch.setattr(align.Stage, "table", watched)
+    texts = [" ".join(f"word{i * k % 97} of {k}" for k in range(400)) for i in range(1, 4)]
+    df = spark.range(0, 600, 1, 1).withColumn("text", F.array(*map(F.lit, texts))[(F.col("id") % 3).cast("int")]).withColumnRenamed("id", "doc_id")
+    chars = df.agg(F.sum(F.length("text"))).first()[0]
+    got = align.link_scores(df, BYTES, PIECES).collect()
+    assert seen["rows"] >= chars // align.BLOCK >= 2 and seen["links"] == 600 and seen["bytes"] == 2 * sum(r.n_links for r in got)
+    _, want = _loop_alignment(list(enumerate(texts)))
+    assert {tuple(r)[1:5] + (r.count_sum, r.groups_sha256) for r in got} == {(*w[1:5], w[6] * 200, w[7]) for w in want}
+
+
+def test_large_rows_are_written_in_small_row_groups(spark, tmp_path):
+    name = "parquet.block.size.row.check.min"
+    rows = spark.createDataFrame([(random.Random(i).randbytes(1 << 20),) for i in range(40)], "x binary").coalesce(1)
+    with large_rows(spark):
+        rows.write.parquet(str(tmp_path / "rows"))
+    assert spark.conf.get(name, None) is None
+    (file,) = (tmp_path / "rows").glob("*.parquet")
+    groups = pq.ParquetFile(file).metadata
+    assert groups.num_rows == 40 and max(groups.row_group(i).total_byte_size for i in range(groups.num_row_groups)) < 20 << 20
